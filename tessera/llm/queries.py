@@ -7,15 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, simhash
+from . import decontaminate, mixing, quality_rules, sharding, simhash
 from .common import table
 
 
+def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.pareto_mix(table(spark, sf_dir, "documents"))
+    return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op5_qgram_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "end", "edits")
 
 
+def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents"))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "row_number",
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
@@ -32,7 +45,9 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pareto_mix": op3_pareto_mix,
     "op5_qgram_decontaminate": op5_qgram_decontaminate,
+    "op8_feistel_shards": op8_feistel_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_groups": op10_simhash_groups,
 }
