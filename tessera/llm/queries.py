@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, sharding, simhash
+from . import block_anchors, decontaminate, mixing, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op5_qgram_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "end", "edits")
 
 
+def op7_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = block_anchors.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -47,6 +52,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pareto_mix": op3_pareto_mix,
     "op5_qgram_decontaminate": op5_qgram_decontaminate,
+    "op7_block_anchors": op7_block_anchors,
     "op8_feistel_shards": op8_feistel_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_groups": op10_simhash_groups,
