@@ -39,4 +39,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM x
 """
 
-ORACLES: dict[str, str] = {"op9_quality_rules": QUALITY_SQL}
+SNAPSHOT_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM t GROUP BY conv_id),
+w AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_logged FROM c GROUP BY turns),
+p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM c)),
+kept AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.turns = w.turns)),
+rows AS (SELECT conv_id, n_logged, turns, unnest(range(1, len(turns) + 1)) AS position FROM kept)
+SELECT conv_id, position, len(turns) AS n_turns, n_logged, turns[position].role AS role,
+       '<|im_start|>' || turns[position].role || chr(10) || turns[position].text || '<|im_end|>' || chr(10) AS rendered
+FROM rows
+"""
+
+ORACLES: dict[str, str] = {"op4_snapshot_collapse": SNAPSHOT_SQL, "op9_quality_rules": QUALITY_SQL}

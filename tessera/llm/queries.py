@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, decontaminate, mixing, quality_rules, sharding, simhash
+from . import block_anchors, decontaminate, mixing, quality_rules, sharding, simhash, snapshots
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.rendered_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_qgram_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "end", "edits")
@@ -51,6 +55,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pareto_mix": op3_pareto_mix,
+    "op4_snapshot_collapse": op4_snapshot_collapse,
     "op5_qgram_decontaminate": op5_qgram_decontaminate,
     "op7_block_anchors": op7_block_anchors,
     "op8_feistel_shards": op8_feistel_shards,
