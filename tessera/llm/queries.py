@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, decontaminate, mixing, quality_rules, sharding, simhash, snapshots
+from . import block_anchors, class_lm, decontaminate, mixing, quality_rules, sharding, simhash, snapshots
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op5_qgram_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "end", "edits")
 
 
+def op6_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = class_lm.score_documents(table(spark, sf_dir, "documents"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op7_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = block_anchors.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pareto_mix": op3_pareto_mix,
     "op4_snapshot_collapse": op4_snapshot_collapse,
     "op5_qgram_decontaminate": op5_qgram_decontaminate,
+    "op6_brown_classes": op6_brown_classes,
     "op7_block_anchors": op7_block_anchors,
     "op8_feistel_shards": op8_feistel_shards,
     "op9_quality_rules": op9_quality_rules,
