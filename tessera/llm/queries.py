@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, class_lm, decontaminate, mixing, quality_rules, sharding, simhash, snapshots
+from . import block_anchors, class_lm, decontaminate, mixing, quality_rules, sharding, simhash, snapshots, toxic_spans
 from .common import table
 
 
+def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxic_spans.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.pareto_mix(table(spark, sf_dir, "documents"))
     return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -59,6 +64,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_crf_toxicity": op2_crf_toxicity,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_snapshot_collapse": op4_snapshot_collapse,
     "op5_qgram_decontaminate": op5_qgram_decontaminate,
