@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, class_lm, decontaminate, mixing, quality_rules, sharding, simhash, snapshots, toxic_spans
+from . import block_anchors, class_lm, decontaminate, mixing, quality_rules, sharding, simhash, snapshots, toxic_spans, wrapper
 from .common import table
 
 
+def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = wrapper.extract_articles(table(spark, sf_dir, "pages"))
+    return pages.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
+
+
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxic_spans.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
@@ -64,6 +69,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_wrapper_induction": op1_wrapper_induction,
     "op2_crf_toxicity": op2_crf_toxicity,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_snapshot_collapse": op4_snapshot_collapse,
