@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def sha_id(prefix: str, *parts: Column, length: int = 24) -> Column:
@@ -20,7 +21,7 @@ def plain_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_folded(text: pd.Series) -> pd.Series:
     """Compatibility composition, white space collapsed, case folded; null stays null."""
     return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold())
