@@ -13,15 +13,13 @@ an empty result. Three-word windows of one text are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
-
 
 class Rule(NamedTuple):
     """A text fails the rule if ``measure`` is on the ``fails`` side of ``threshold``."""
@@ -54,7 +52,8 @@ DEFAULT_RULES: tuple[Rule, ...] = (
 #: Beyond this many comparisons, repeated windows are found by sorting instead of by look-up; both count alike.
 LOOKUP_COMPARISONS = 20_000_000
 
-BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+RATIOS = ("mean_word_chars", "symbols_per_word", "stop_word_ratio", "dup_line_ratio")
 
 
 def _plain_spaces(text: Column) -> Column:
@@ -62,82 +61,92 @@ def _plain_spaces(text: Column) -> Column:
     return reduce(lambda c, code: F.replace(c, F.lit(chr(code)), F.lit(" ")), range(9, 14), text)
 
 
-def _windows(words: Column, n_words: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(words: Column) -> Column:
     """Hashes of the three-word windows by their first word's place."""
     at = lambda i: F.get(words, i)
     return F.when(
-        n_words >= 3,
-        F.transform(F.sequence(F.lit(0), n_words - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))),
+        F.size(words) >= 3,
+        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def text_measures(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """Add the measures that rules may name, each column with ``prefix`` before its name."""
-    t, words, lines, grams, ordered, twice, places = (fresh(df, f"__qr_{x}") for x in ("text", "words", "lines", "grams", "ordered", "twice", "places"))
-    p = lambda name: f"{prefix}{name}"
-    out = df.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    out = out.withColumns({
-        words: F.array_remove(F.split(_plain_spaces(F.col(t)), " "), ""),
-        lines: F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
-    })
-    out = out.withColumn(p("n_words"), F.size(words).cast("long"))
-    out = out.withColumn(grams, _windows(F.col(words), F.col(p("n_words")).cast("int")))
-    out = out.withColumn(ordered, F.sort_array(grams))
-    out = out.withColumn(twice, F.array_distinct(F.filter(ordered, lambda x, i: (i > 0) & (x == F.get(F.col(ordered), i - 1)))))
-    by_look_up = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.array_contains(F.col(twice), F.get(F.col(grams), i)))
-    placed = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    by_sorting = F.flatten(F.transform(
-        F.array(placed),  # sorted once, then named by the lambda
-        lambda s: F.transform(F.filter(s, lambda x, i: ((i > 0) & (x["g"] == F.get(s, i - 1)["g"])) | F.coalesce(x["g"] == F.get(s, i + 1)["g"], F.lit(False))), lambda x: x["i"]),
-    ))
-    out = out.withColumn(
-        places,
-        F.when(F.size(twice) == 0, F.array().cast("array<int>"))
-        .when(F.size(twice).cast("long") * F.size(grams) <= LOOKUP_COMPARISONS, by_look_up)
-        .otherwise(by_sorting),
-    )
+def _repeated_places(grams: Column) -> Column:
+    """Places of windows that the text has twice or more."""
+    ordered = lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))))
+
+    def places(twice: Column) -> Column:
+        by_look_up = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.array_contains(twice, F.get(grams, i)))
+        placed = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        by_sorting = _let(placed, lambda s: F.transform(
+            F.filter(s, lambda x, i: ((i > 0) & (x["g"] == F.get(s, i - 1)["g"])) | F.coalesce(x["g"] == F.get(s, i + 1)["g"], F.lit(False))),
+            lambda x: x["i"],
+        ))
+        return (
+            F.when(F.size(twice) == 0, F.array().cast("array<int>"))
+            .when(F.size(twice).cast("long") * F.size(grams) <= LOOKUP_COMPARISONS, by_look_up)
+            .otherwise(by_sorting)
+        )
+
+    return _let(_let(F.sort_array(grams), ordered), places)
+
+
+def text_measures(text: Column) -> Column:
+    """A struct of the measures that rules may name, in one expression."""
     stop_forms = sorted({form for w in STOP_WORDS for form in (w, w.capitalize())})
-    stop = F.size(F.filter(words, lambda w: w.isin(*stop_forms)))
-    out = out.withColumns({
-        p("word_chars"): F.length(F.array_join(words, "")).cast("long"),
-        p("n_symbols"): F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-        p("n_dup_lines"): (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        p("n_repeat_words"): F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2))))).cast("long"),
-        p("n_lines"): F.size(lines).cast("long"),
-        p("n_stop_words"): stop.cast("long"),
-    })
-    n, n_lines = F.greatest(F.col(p("n_words")), F.lit(1)), F.greatest(F.col(p("n_lines")), F.lit(1))
-    out = out.withColumns({
-        p("mean_word_chars"): F.col(p("word_chars")) / n,
-        p("symbols_per_word"): F.col(p("n_symbols")) / n,
-        p("stop_word_ratio"): F.col(p("n_stop_words")) / n,
-        p("dup_line_ratio"): F.col(p("n_dup_lines")) / n_lines,
-    })
-    return out.drop(t, words, lines, grams, ordered, twice, places)
-
-
-def base_failed(prefix: str = "") -> Column:
-    n, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+
+    def counted(t: Column, words: Column, lines: Column) -> Column:
+        repeated = _let(_windows(words), _repeated_places)
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda i: F.array(i, i + 1, i + 2))))).cast("long").alias("n_repeat_words"),
+            F.size(lines).cast("long").alias("n_lines"),
+            F.size(F.filter(words, lambda w: w.isin(*stop_forms))).cast("long").alias("n_stop_words"),
+        )
+
+    def ratios(m: Column) -> Column:
+        n, n_lines = F.greatest(m["n_words"], F.lit(1)), F.greatest(m["n_lines"], F.lit(1))
+        parts = {"mean_word_chars": m["word_chars"] / n, "symbols_per_word": m["n_symbols"] / n, "stop_word_ratio": m["n_stop_words"] / n, "dup_line_ratio": m["n_dup_lines"] / n_lines}
+        return F.struct(*[m[c].alias(c) for c in COUNTS], *[v.alias(k) for k, v in parts.items()])
+
+    def split(t: Column) -> Column:
+        words = F.array_remove(F.split(_plain_spaces(t), " "), "")
+        lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+        return _let(_let(words, lambda w: _let(lines, lambda ls: counted(t, w, ls))), ratios)
+
+    return _let(F.coalesce(text.cast("string"), F.lit("")), split)
+
+
+def base_failed(m: Column) -> Column:
+    n, repeated = m["n_words"], m["n_repeat_words"]
     return (n < BASE_MIN_WORDS) | (100 * repeated > BASE_MAX_REPEAT_PERCENT * n)
 
 
-def compile_rules(rules: Sequence[Rule] = DEFAULT_RULES, prefix: str = "") -> Column:
-    """The threshold table as one boolean column: true if the text breaks none of the rules."""
-    passes = [
-        (F.col(f"{prefix}{r.measure}") >= r.threshold) if r.fails == "below" else (F.col(f"{prefix}{r.measure}") <= r.threshold)
-        for r in rules
-    ]
+def compile_rules(m: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
+    """The threshold table as one boolean expression of measures: true if the text breaks none of the rules."""
+    passes = [(m[r.measure] >= r.threshold) if r.fails == "below" else (m[r.measure] <= r.threshold) for r in rules]
     return reduce(lambda a, b: a & b, passes, F.lit(True))
 
 
-def judge(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, prefix: str = "") -> DataFrame:
-    """``df`` with all measures, ``base_failed`` and ``kept`` (each with ``prefix``)."""
-    out = text_measures(df, text_col, prefix).withColumn(f"{prefix}base_failed", base_failed(prefix))
-    return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & compile_rules(rules, prefix))
+def judged(text: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
+    """A struct of all measures, ``base_failed`` and ``kept``."""
+    return _let(
+        text_measures(text),
+        lambda m: F.struct(
+            *[m[c].alias(c) for c in (*COUNTS, *RATIOS)],
+            base_failed(m).alias("base_failed"),
+            (~base_failed(m) & compile_rules(m, rules)).alias("kept"),
+        ),
+    )
 
 
 def apply_quality_rules(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """The rows that pass, with the columns of ``df`` and no others."""
-    prefix = fresh(df, "__q") + "_"
-    judged = judge(df, text_col, rules, prefix)
-    return judged.filter(f"`{prefix}kept`").select(*[F.col(f"`{c}`") for c in df.columns])
+    return df.filter(judged(F.col(text_col), rules)["kept"])

@@ -54,10 +54,10 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_lines", "n_stop_words",
+    documents = table(spark, sf_dir, "documents")
+    return documents.select("doc_id", quality_rules.judged(F.col("text")).alias("m")).select(
+        "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "m.base_failed", "m.kept",
+        "m.n_lines", "m.n_stop_words",
     )
 
 
