@@ -129,7 +129,7 @@ def pareto_mix(
 ) -> DataFrame:
     """``(id, h, size, source_size, target, copies, taken)``: how often each row of ``docs`` is taken."""
     rows = checkpointed(sized(docs, id_col, text_col, source_col, seed))
-    sources = rows.groupBy(*_KEY).agg(F.sum("size").alias("source_size"), F.sum(_preference() * F.col("size")).alias("liked"))
+    sources = rows.groupBy(*_KEY).agg(F.sum("size").alias("source_size"), (F.sum(F.floor(_preference() * F.col("size") * 1e6)) / 1e6).alias("liked"))  # whole numbers: any order of adding gives one sum
     targets = source_targets(sources, weights, share, most_copies)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
