@@ -83,3 +83,43 @@ def preferred_edges(edges: DataFrame, source_rank: str) -> DataFrame:
     """One edge for each id: that of the source with the highest rank (later extractors win)."""
     order = Window.partitionBy("edge_id").orderBy(F.desc(source_rank))
     return edges.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+
+
+def repository_tables(files: DataFrame) -> DataFrame:
+    """``(repository, entity, table_name, resolution_status)``: repository types to their entity's table, unique or unresolved."""
+    repos = files.select("path", F.regexp_extract("text", r"interface\s+(\w+)\s+extends\s+\w*Repository\s*<\s*(\w+)", 1).alias("repository"), F.regexp_extract("text", r"interface\s+(\w+)\s+extends\s+\w*Repository\s*<\s*(\w+)", 2).alias("entity"))
+    repos = repos.filter("repository <> ''").select("repository", "entity")
+    name = F.regexp_extract("text", r"\bclass\s+([A-Z]\w*)", 1)
+    stated = F.regexp_extract("text", r"@Table\(\s*name\s*=\s*\"([^\"]+)\"", 1)
+    entities = files.filter(F.col("text").rlike(r"@Entity\b") & (name != "")).select(name.alias("entity"), F.when(stated != "", stated).otherwise(F.lower(name)).alias("table"))
+    found = entities.groupBy("entity").agg(F.countDistinct("table").alias("n"), F.min("table").alias("t"))
+    out = repos.join(found, "entity", "left")
+    status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous_target").otherwise("no_target")
+    return out.select("repository", "entity", F.when(F.col("n") == 1, F.col("t")).alias("table_name"), status.alias("resolution_status"))
+
+
+def database_operation(method: Column) -> Column:
+    """What a repository method does, by the beginning of its name."""
+    return (
+        F.when(method.rlike(r"^(?i)(find|get|read|query|count|exists|search|list|load)"), "read")
+        .when(method.rlike(r"^(?i)(save|create|insert|add|store)"), "create")
+        .when(method.rlike(r"^(?i)(update|set|modify|change)"), "update")
+        .when(method.rlike(r"^(?i)(delete|remove|clear)"), "delete").otherwise("unknown")
+    )
+
+
+def client_calls(files: DataFrame) -> DataFrame:
+    """``(path, method, route)`` of HTTP calls in scripts; a route with an inserted expression has ``{*}`` in its place."""
+    pattern = r"\b(?:axios|http|client|api)\.(get|post|put|delete|patch)\(\s*[`'\"]([^`'\"]+)[`'\"]"
+    calls = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("m"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("r"))
+    rows = files.filter("language in ('javascript', 'typescript')").select("path", F.inline(calls))
+    return rows.select("path", F.upper("m").alias("method"), fn.url_path(F.regexp_replace("r", r"\$\{[^}]*\}", "{*}")).alias("route"))
+
+
+def call_endpoints(files: DataFrame) -> DataFrame:
+    """``(path, method, route, endpoint_id, reason)``: calls to the only endpoint of their method and normalised route."""
+    known = endpoints(files).select("method", F.col("template").alias("route"), "endpoint_id")
+    found = known.groupBy("method", "route").agg(F.countDistinct("endpoint_id").alias("n"), F.min("endpoint_id").alias("e"))
+    out = client_calls(files).join(found, ["method", "route"], "left")
+    reason = F.when(F.col("n") == 1, "resolved_unique").when(F.col("n") > 1, "endpoint_ambiguous").otherwise("endpoint_not_found")
+    return out.select("path", "method", "route", F.when(F.col("n") == 1, F.col("e")).alias("endpoint_id"), reason.alias("reason"))

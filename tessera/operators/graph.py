@@ -67,3 +67,17 @@ def incremental_plan(old: DataFrame, new: DataFrame, links: DataFrame, key: str,
     touched = both.filter("own is not null").select(F.col(key).alias("uses"))
     affected = links.join(touched, "uses", "left_semi").select(key).distinct().withColumn("hit", F.lit(1))
     return both.join(affected, key, "left").select(key, F.coalesce("own", F.when(F.col("hit") == 1, "affected"), F.lit("reused")).alias("action"))
+
+
+def same_record(values: DataFrame, group: str, source: str, name: str, value: str) -> DataFrame:
+    """``(group, sources, connected)``: whether shared (name, value) pairs link all of a group's sources, in chains if need be."""
+    rows = values.filter(F.col(value).isNotNull()).select(group, F.col(source).alias("s"), name, value).distinct()
+    hub = rows.groupBy(group, name, value).agg(F.min("s").alias("h"), F.count("*").alias("n")).filter("n > 1")
+    links = rows.join(hub, [group, name, value]).filter("s <> h").select(group, "s", "h").distinct()
+    key = lambda c: F.to_json(F.struct(F.col(group), F.col(c).alias("s")))
+    edges = links.select(key("s").alias("src"), key("h").alias("dst"))
+    closed = transitive_closure(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    reach = closed.groupBy(F.col("src").alias("k")).agg(F.countDistinct("dst").alias("reached"))
+    members = values.select(group, F.col(source).alias("s")).distinct().withColumn("k", key("s")).join(reach, "k", "left")
+    out = members.groupBy(group).agg(F.count("*").alias("sources"), F.max(F.coalesce("reached", F.lit(1))).alias("most"))
+    return out.select(group, "sources", (F.col("most") == F.col("sources")).alias("connected"))

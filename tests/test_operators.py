@@ -110,3 +110,30 @@ def test_replays_are_dropped_in_a_stream(spark, tmp_path):
     run.awaitTermination(60)
     assert spark.table("once").count() == 10
     assert state.replay_safe(rows, "event_id", "ts").count() == 10
+
+
+def test_leases_in_a_stream(spark, tmp_path):
+    schema = "task_id long, claim_id string, at timestamp, lease_seconds int, released boolean"
+    batches = [
+        [(1, "a", "2024-01-01 00:00:00", 60, False), (1, "b", "2024-01-01 00:00:30", 60, False), (2, "c", "2024-01-01 00:00:00", 600, False)],
+        [(1, "a", "2024-01-01 00:00:50", 60, False), (2, "c", "2024-01-01 00:01:00", 0, True), (2, "d", "2024-01-01 00:01:10", 60, False)],
+        [(3, "z", "2024-01-01 02:00:00", 60, False)],
+        [(3, "z", "2024-01-01 02:00:30", 60, False)],
+    ]
+    run = None
+    for n, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "task_id long, claim_id string, at string, lease_seconds int, released boolean")
+        frame.withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = state.lease_events(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out"))
+        run = out.trigger(availableNow=True).start()
+        run.awaitTermination(60)
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {(1, "a", "claimed"), (1, "b", "rejected"), (1, "a", "renewed"), (1, "a", "expired"), (2, "c", "claimed"), (2, "c", "released"), (2, "d", "claimed"), (2, "d", "expired"), (3, "z", "renewed")} <= got
+
+
+def test_sources_must_be_linked(spark):
+    rows = [(1, "db", "id", "7"), (1, "api", "id", "7"), (1, "api", "name", "x"), (1, "ui", "name", "x"), (2, "db", "id", "1"), (2, "ui", "id", "2"), (3, "db", "id", None)]
+    frame = spark.createDataFrame(rows, "case long, source string, name string, value string")
+    got = {r["case"]: (r["sources"], r["connected"]) for r in graph.same_record(frame, "case", "source", "name", "value").collect()}
+    assert got == {1: (3, True), 2: (2, False), 3: (1, True)}

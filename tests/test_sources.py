@@ -69,3 +69,20 @@ def test_code_graph(spark, tmp_path):
     (end,) = code_graph.endpoints(files).collect()
     assert (end["method"], end["template"]) == ("GET", "/carts/{*}")
     assert readers.tree_digest(files).first()["digest"] == readers.tree_digest(files.orderBy(files.path.desc())).first()["digest"]
+
+
+def test_chains_from_calls_to_tables(spark):
+    texts = [
+        ("a/OrderRepo.java", "java", "public interface OrderRepo extends JpaRepository<Order, Long> {}"),
+        ("a/LostRepo.java", "java", "interface LostRepo extends CrudRepository<Missing, Long> {}"),
+        ("a/Order.java", "java", '@Entity\n@Table(name = "orders")\npublic class Order {}'),
+        ("a/Api.java", "java", '@GetMapping("/orders/{id}") Order one(); @PostMapping("/orders") Order add();'),
+        ("ui/a.ts", "typescript", "api.get(`/orders/${id}`); api.post('/orders'); axios.get('/none')"),
+    ]
+    files = spark.createDataFrame(texts, "path string, language string, text string")
+    got = {(r["repository"], r["table_name"], r["resolution_status"]) for r in code_graph.repository_tables(files).collect()}
+    assert got == {("OrderRepo", "orders", "resolved"), ("LostRepo", None, "no_target")}
+    calls = {(r["method"], r["route"], r["reason"]) for r in code_graph.call_endpoints(files).collect()}
+    assert calls == {("GET", "/orders/{*}", "resolved_unique"), ("POST", "/orders", "resolved_unique"), ("GET", "/none", "endpoint_not_found")}
+    names = spark.createDataFrame([("findById",), ("saveAll",), ("deleteX",), ("run",)], "m string")
+    assert [r[0] for r in names.select(code_graph.database_operation(names.m)).collect()] == ["read", "create", "delete", "unknown"]
