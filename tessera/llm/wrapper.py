@@ -1,7 +1,8 @@
 """Main text of pages by wrapper induction.
 
-Pages of one host share a layout. One page of each host (the first by a hash of its id and url)
-stands for it; the tree of every other page is aligned with that page's tree by simple tree
+Pages of a host are grouped by layout: the same container elements and classes around the article,
+digits aside. One page of each layout of a host (the first by a hash of its id and url)
+stands for it; the tree of every other page of it is aligned with that page's tree by simple tree
 matching: two elements match if their tags and classes do, their children are matched in order
 so that most elements match in all, and matches of equal text count half an element more.
 Elements whose text is the same on most pages that match them are constant: they are the
@@ -11,11 +12,11 @@ Slots vary in menus, footers and adverts, too, so what an element says of itself
 elements like nav, aside, footer, form, script, or with classes like ad, sidebar, comment, aren't
 content, whether constant or not; the slots are read inside the article element, or else the
 main element, where there is one, and else from all blocks that aren't mostly links.
-Pages with the reference page's own article teach nothing about its template, and a template
-that would take over half of an article's text is no template: it is an article that recurs.
+Pages with the reference page's own article teach nothing about its template, and pages with one
+article teach once: copies of an article, however many, don't make a template of it.
 
 Edge cases: a null or empty html has an empty text; a null url or one without a host is a page
-without a template; repeated rows are extracted each; a host's pages meet its one small tree in
+without a template; repeated rows are extracted each; a layout's pages meet its one small tree in
 SALTS parts, so that a hot host is dealt over many tasks; an empty table gives an empty
 result; other columns aren't carried. Elements deeper than 200 become siblings.
 """
@@ -29,13 +30,14 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dom import Node, blocks, main_part, parse, text_key
 
-#: Least pages that match an element, and the least share of them with its text, for a constant.
+#: Least articles whose pages match an element, and the least share of them with its text, for a constant.
 LEAST_PAGES = 3
 CONSTANT_SHARE = 0.6
 #: Parts into which the pages of one host are dealt when they meet its tree.
@@ -166,65 +168,85 @@ def host_of(url: str) -> F.Column:
     return F.lower(F.coalesce(found, F.lit("")))
 
 
+def layout_of(html: str) -> F.Column:
+    """A hash of a page's different container tags, with their classes, outside what lies in article elements."""
+    around = F.regexp_replace(F.lower(html), r"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<article\b.*</article\s*>", " ")
+    tags = F.regexp_extract_all(around, F.lit(r"<((?:div|section|main|nav|header|footer|aside|form)\b(?:[^>]*?\sclass\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?)"), 1)
+    kinds = F.transform(tags, lambda t: F.concat_ws(" ", F.regexp_extract(t, r"^\w+", 0), F.regexp_replace(F.regexp_extract(t, r"\sclass\s*=\s*[\"']?([^\"'>]*)", 1), r"[0-9]+", "")))
+    return F.xxhash64(F.array_sort(F.array_distinct(kinds)))
+
+
 def reference_trees(pages: DataFrame) -> DataFrame:
-    """``(host, tree)``: the tree of one page of each host, as JSON; ``pages(rank, html, host)``."""
+    """``(site, tree)``: the tree of one page of each site, as JSON; ``pages(rank, html, site)``."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first: dict[str, tuple[int, int]] = {}
-            for i, (host, rank) in enumerate(zip(batch.column("host").to_pylist(), batch.column("rank").to_pylist())):
-                if host:
-                    first[host] = min(first.get(host, (rank, i)), (rank, i))
+            for i, (site, rank) in enumerate(zip(batch.column("site").to_pylist(), batch.column("rank").to_pylist())):
+                if site:
+                    first[site] = min(first.get(site, (rank, i)), (rank, i))
             rows = []
-            for host, (rank, i) in first.items():
+            for site, (rank, i) in first.items():
                 root = _prepared(batch.column("html")[i].as_py())
-                rows.append((host, rank, json.dumps([_tree(root), _article_key(root)], separators=(",", ":"))))
+                rows.append((site, rank, json.dumps([_tree(root), _article_key(root)], separators=(",", ":"))))
             columns = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["host", "rank", "tree"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["site", "rank", "tree"])
 
-    picked = pages.mapInArrow(pick, "host string, rank long, tree string")
-    return picked.groupBy("host").agg(F.min(F.struct("rank", "tree")).alias("m")).select("host", "m.tree")
+    picked = pages.mapInArrow(pick, "site string, rank long, tree string")
+    return picked.groupBy("site").agg(F.min(F.struct("rank", "tree")).alias("m")).select("site", "m.tree")
 
 
 def _matches(pages: DataFrame) -> DataFrame:
-    """``(host, node, matched, same)``: for elements of reference trees, pages that match them and have their text."""
+    """``(site, node, matched, same)``: for elements of reference trees, articles whose pages match them and have their text."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
-            for host, tree, page in zip(*(batch.column(c) for c in ("host", "tree", "html"))):
+            found: dict[tuple[str, int], bytes] = {}
+            for site, tree, page in zip(*(batch.column(c) for c in ("site", "tree", "html"))):
                 if not tree.is_valid:
                     continue
                 reference, numbers, article = _reference(tree.as_py())
                 root = _prepared(page.as_py())
-                if _article_key(root) == article:
+                own = _article_key(root)
+                if own == article or (site.as_py(), own) in found:
                     continue
-                for x, y in _Matching().aligned(reference, root):
-                    counts = found[host.as_py(), numbers[id(x)]]
+                pairs = [2 * numbers[id(x)] + (x[1] == y.key) for x, y in _Matching().aligned(reference, root)]
+                found[site.as_py(), own] = np.array(sorted(pairs), dtype=np.int32).tobytes()
+            columns = list(zip(*((*k, v) for k, v in found.items()))) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()))], ["site", "article", "nodes"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
+            for site, nodes in zip(batch.column("site").to_pylist(), batch.column("nodes").to_pylist()):
+                for n in np.frombuffer(nodes, dtype=np.int32).tolist():
+                    counts = found[site, n >> 1]
                     counts[0] += 1
-                    counts[1] += x[1] == y.key
-            rows = [(h, n, *c) for (h, n), c in found.items()]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["host", "node", "matched", "same"])
+                    counts[1] += n & 1
+            columns = list(zip(*((*k, *c) for k, c in found.items()))) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["site", "node", "matched", "same"])
 
-    counted = pages.mapInArrow(count, "host string, node int, matched long, same long")
-    return counted.groupBy("host", "node").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
+    # One page of each article: copies of it would count its own text as the layout's.
+    one = pages.mapInArrow(align, "site string, article long, nodes binary").groupBy("site", "article").agg(F.min("nodes").alias("nodes"))
+    counted = one.mapInArrow(count, "site string, node int, matched long, same long")
+    return counted.groupBy("site", "node").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
 
 
 def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(id, url, host, text, n_template)`` of each page; ``n_template``: its elements that are constant on the host."""
+    """``(id, url, host, text, n_template)`` of each page; ``n_template``: its elements that are constant in its layout."""
     slim = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"),
         host_of(url_col).alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("rank"),
     )
+    slim = slim.withColumn("site", F.when(F.col("host") != "", F.concat_ws(" ", "host", layout_of("html").cast("string"))).otherwise(""))
     slim = slim.withColumn("salt", F.pmod("rank", F.lit(SALTS)).cast("int"))
     trees = reference_trees(slim)
-    parts = slim.select("host", "salt").distinct()  # a host's tree is copied for the parts that it has pages in, no others
-    columns = ["id", "url", "html", "host", "tree"]
-    matches = _matches(slim.join(parts.join(trees, "host"), ["host", "salt"], "left").select(*columns))
+    parts = slim.select("site", "salt").distinct()  # a layout's tree is copied for the parts that it has pages in, no others
+    columns = ["id", "url", "html", "host", "site", "tree"]
+    matches = _matches(slim.join(parts.join(trees, "site"), ["site", "salt"], "left").select(*columns))
     constant = matches.filter((F.col("matched") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("matched")))
-    wrappers = trees.join(constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant")), "host", "left")
-    joined = slim.join(parts.join(wrappers, "host"), ["host", "salt"], "left").select(*columns, "constant")
+    wrappers = trees.join(constant.groupBy("site").agg(F.sort_array(F.collect_list("node")).alias("constant")), "site", "left")
+    joined = slim.join(parts.join(wrappers, "site"), ["site", "salt"], "left").select(*columns, "constant")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,9 +259,7 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
                     reference, numbers, _ = _reference(tree.as_py())
                     chosen = set(nodes.as_py())
                     template = frozenset(id(y) for x, y in _Matching().aligned(reference, root) if numbers[id(x)] in chosen and x[1] == y.key)
-                    slots = article_blocks(root, template)
-                    if 2 * sum(map(len, slots)) >= sum(map(len, plain)):
-                        plain = slots
+                    plain = article_blocks(root, template)
                 texts.append("\n".join(plain))
                 sizes.append(len(template))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("host"), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], ["id", "url", "host", "text", "n_template"])

@@ -53,3 +53,18 @@ def test_long_lists_are_matched_in_order():
     same = [(x, y) for x, y in pairs if x[1] == y.key]
     assert len(pairs) == 43 and len(same) == 1
     assert parse("<p>a").kids[0].tag == "p"
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    menu = "<div class='top'><p>Home of all the best things to read, to hear and to see</p><p>Another constant line of the layout, long enough</p></div>"
+    one = "<body>{menu}<div class='story'><p>Short {n}.</p></div></body>"
+    two = "<body><section class='wide'><p>Constant words of the second layout, which are on all of its pages</p><p>Tale {n}.</p></section></body>"
+    rows = [(n, f"https://a.example/{n}", (one if n % 2 else two).format(n=n, menu=menu), "h", "t") for n in range(16)]
+    assert run(spark, rows) == {n: f"Short {n}." if n % 2 else f"Tale {n}." for n in range(16)}
+
+
+def test_many_copies_of_two_articles_are_no_template(spark):
+    page = "<body><article><h1>{0}</h1><p>Every word of {0} is the same.</p></article>"
+    rows = [(n, f"https://a.example/{n}", page.format("One" if n else "Two"), "h", "t") for n in range(30)]
+    got = run(spark, rows)
+    assert got[0].startswith("Two") and all(got[n] == "One\nEvery word of One is the same." for n in range(1, 30))
