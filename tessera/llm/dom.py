@@ -9,7 +9,7 @@ import zlib
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
 #: Elements that are never part of the main text.
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe textarea title button select option input svg canvas object audio video dialog menu noembed noframes xmp math map".split())
+DROPPED = frozenset("head nav footer aside form script style noscript template iframe textarea title button select option input svg canvas object audio video dialog menu noembed noframes xmp annotation annotation-xml map".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption optgroup option".split())
 _CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "option", "optgroup"}
 #: A start tag of the key ends an open element of these, up to the nearest of the borders.
@@ -20,7 +20,7 @@ _CLOSED_BY = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words in class, id or role that name a part which isn't main text.
+#: Words in class, id or role that name a part which isn't main text; all words of a name have to be of these.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget widgets pagination pager login search complementary contentinfo".split())
 DEEPEST = 200
 
@@ -30,7 +30,7 @@ _PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("hidden", "key", "kids", "label", "names", "role", "tag")
+    __slots__ = ("hidden", "holds", "key", "kids", "label", "names", "role", "tag", "unwanted")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag = tag
@@ -40,11 +40,16 @@ class Node:
         self.label = tag
         self.key = 0
         self.hidden = False
+        self.unwanted = False  # by its names
+        self.holds = False  # what the page is about: see keep()
         if attrs and ("=" in attrs or "hidden" in attrs):
             words = []
             for name, a, b, c in _NAMED.findall(attrs):
                 value = a or b or c
-                words += [w.lower() for w in _PARTS.split(value) if w]
+                for whole in value.split():
+                    own = [w.lower() for w in _PARTS.split(whole) if w]
+                    words += own
+                    self.unwanted = self.unwanted or (bool(own) and NOISE.issuperset(own))
                 if name.lower() == "class":
                     self.label = f"{tag}.{' '.join(value.split())}"
                 elif name.lower() in ("role", "itemprop"):
@@ -55,7 +60,9 @@ class Node:
 
     def noise(self) -> bool:
         """Whether the element itself says that it isn't main text."""
-        return self.tag in DROPPED or self.hidden or (self.tag not in ("html", "body", "article", "main") and not NOISE.isdisjoint(self.names)) or (self.tag == "article" and "comment" in self.names)
+        if self.holds and self.tag not in DROPPED - {"form"}:
+            return False
+        return self.tag in DROPPED or self.hidden or (self.tag not in ("html", "body", "article", "main") and self.unwanted) or (self.tag == "article" and "comment" in self.names)
 
 
 def parse(page: str) -> Node:
@@ -169,6 +176,33 @@ def _elements(root: Node) -> list[Node]:
     return out
 
 
+def _shown(node: Node) -> dict[int, int]:
+    """For every element, by id, the characters in it outside of elements that are dropped by their tag (but for forms)."""
+    sizes: dict[int, int] = {}
+    for n in reversed(_elements(node)):
+        dropped = n.tag in DROPPED and n.tag != "form"
+        sizes[id(n)] = 0 if dropped else sum(len(k.strip()) if isinstance(k, str) else sizes[id(k)] for k in n.kids)
+    return sizes
+
+
+def keep(root: Node) -> None:
+    """Mark the elements that no name, form or hiding drops: those around the largest article (or else main), or else around most text."""
+    nodes = _elements(root)
+    if not any(n.hidden or n.unwanted or n.tag == "form" for n in nodes):
+        return
+    sizes = _shown(root)
+    above = {id(k): n for n in nodes for k in n.kids if isinstance(k, Node)}
+    for tag in ("article", "main"):
+        says = [n for n in nodes if (n.tag == tag or {"article": "articlebody", "main": "main"}[tag] in n.role.split()) and "comment" not in n.names]
+        if says:
+            inner = max(says, key=lambda n: sizes[id(n)])
+            while (inner := above.get(id(inner))) is not None:
+                inner.holds = True
+            return
+    for n in nodes:
+        n.holds = 2 * sizes[id(n)] > sizes[id(root)]
+
+
 def main_part(root: Node) -> Node | None:
     """The element that holds the article: the outermost one that says so, with the most text."""
     for says in (

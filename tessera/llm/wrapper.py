@@ -10,7 +10,7 @@ template. What varies are the slots, and the main text is what the slots of the
 
 Slots vary in menus, footers and adverts, too, so what an element says of itself counts as well:
 elements like nav, aside, footer, form, script, or with classes like ad, sidebar, comment, aren't
-content, whether constant or not; the slots are read inside the article element, or else the
+content, whether constant or not, unless the article (or, without one, most of the text) lies in them; the slots are read inside the article element, or else the
 main element, where there is one, and else from all blocks that aren't mostly links.
 Pages with the reference page's own article teach nothing about its template, and pages with one
 article teach once: copies of an article, however many, don't make a template of it.
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dom import Node, blocks, main_part, parse, text_key
+from .dom import Node, blocks, keep, main_part, parse, text_key
 
 #: Least articles whose pages match an element, and the least share of them with its text, for a constant.
 LEAST_PAGES = 3
@@ -159,6 +159,7 @@ def _article_key(root: Node) -> int:
 
 def _prepared(page: str | None) -> Node:
     root = parse(page or "")
+    keep(root)
     text_key(root)
     return root
 

@@ -68,3 +68,14 @@ def test_many_copies_of_two_articles_are_no_template(spark):
     rows = [(n, f"https://a.example/{n}", page.format("One" if n else "Two"), "h", "t") for n in range(30)]
     got = run(spark, rows)
     assert got[0].startswith("Two") and all(got[n] == "One\nEvery word of One is the same." for n in range(1, 30))
+
+
+def test_names_around_the_article_drop_nothing(spark):
+    story = "<p>What the page is about, in words enough</p>"
+    pages = [
+        f"<div class='layout has-sidebar'><article>{story}</article></div>", f"<div class='post comments-open'>{story}</div><div class='comments'><p>no</p></div>",
+        f"<div id='search-results'>{story}</div>", f"<div class='sidebar'><article>{story}</article></div><div class='related'><article>x</article></div>",
+        f"<div class='widget'>{story}</div><p class='cookie-consent'>yes?", f"<form hidden><article>{story}</article></form>",
+    ]
+    got = run(spark, [(n, f"https://{n}.example/", page, "h", "t") for n, page in enumerate(pages)])
+    assert set(got.values()) == {"What the page is about, in words enough"}
