@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import zlib
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -22,8 +23,6 @@ _CLOSED_BY = {
 }
 #: Words in class, id or role that name a part which isn't main text; all words of a name have to be of these.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget widgets pagination pager login search complementary contentinfo".split())
-DEEPEST = 200
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.S)
 _NAMED = re.compile(r"\b(class|id|role|itemprop)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -68,7 +67,7 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of ``page``; missing and stray end tags are taken as browsers do, roughly."""
     root = Node("html")
-    stack, at = [root], 0
+    stack, at, deepest = [root], 0, 1
     while at < len(page):
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else len(page)]
@@ -119,8 +118,11 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not found[3].endswith("/") and len(stack) < DEEPEST:
+        elif tag not in VOID and not found[3].endswith("/"):
             stack.append(node)
+            deepest = max(deepest, len(stack))
+    # Walks call themselves for each level; such calls take no room on the C stack.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6 * deepest + 1000))
     return root
 
 
@@ -203,24 +205,39 @@ def keep(root: Node) -> None:
         n.holds = 2 * sizes[id(n)] > sizes[id(root)]
 
 
-def main_part(root: Node) -> Node | None:
-    """The element that holds the article: the outermost one that says so, with the most text."""
+def main_part(root: Node, skip: frozenset[int] = frozenset()) -> list[Node]:
+    """The elements that hold the main text, in page order: the outermost articles of one parent that have the most text.
+
+    Where the main element around them has more text beside them, it is that element. Empty, if no element says so.
+    ``skip``: ids of nodes whose text doesn't count.
+    """
+    length = lambda n: sum(len(t) for t, _ in blocks(n, skip, inside_article=True))
     for says in (
         lambda n: n.tag == "article" or "articlebody" in n.role,
         lambda n: n.tag == "main" or "main" in n.role.split(),
     ):
-        found, stack = [], [root]
+        found: dict[int, list[Node]] = {}
+        around: dict[int, Node | None] = {}
+        stack: list[tuple[Node, Node, Node | None]] = [(root, root, None)]
         while stack:
-            node = stack.pop()
-            if node is not root and (node.noise()):
+            node, parent, main = stack.pop()
+            if node is not root and node.noise():
                 continue
             if says(node):
-                found.append(node)
+                found.setdefault(id(parent), []).append(node)
+                around[id(parent)] = main
                 continue
-            stack += [k for k in node.kids if isinstance(k, Node)]
+            if node.tag == "main" or "main" in node.role.split():
+                main = node
+            stack += [(k, node, main) for k in reversed(node.kids) if isinstance(k, Node)]
         if found:
-            return max(reversed(found), key=lambda n: sum(len(t) for t, _ in blocks(n, inside_article=True)))
-    return None
+            sizes = {p: sum(map(length, nodes)) for p, nodes in found.items()} if len(found) > 1 or any(around.values()) else {}
+            best = max(found, key=lambda p: sizes.get(p, 0))
+            main = around[best]
+            if main is not None and length(main) > 2 * sum(sizes[p] for p in found if around[p] is main):
+                return [main]
+            return found[best]
+    return []
 
 
 def text_key(node: Node) -> int:

@@ -18,7 +18,7 @@ article teach once: copies of an article, however many, don't make a template of
 Edge cases: a null or empty html has an empty text; a null url or one without a host is a page
 without a template; repeated rows are extracted each; a layout's pages meet its one small tree in
 SALTS parts, so that a hot host is dealt over many tasks; an empty table gives an empty
-result; other columns aren't carried. Elements deeper than 200 become siblings.
+result; other columns aren't carried.
 """
 
 from __future__ import annotations
@@ -50,7 +50,31 @@ Tree = tuple[str, int, list]
 
 
 def _tree(node: Node) -> Tree:
-    return (node.label, node.key, [_tree(k) for k in node.kids if isinstance(k, Node) and k.tag not in ("script", "style", "br", "head")])
+    return (node.label, node.key, [_tree(k) for k in _kids(node)])
+
+
+def _flat(tree: Tree) -> list[tuple[str, int, int]]:
+    """Label, text key and number of children of each element, a parent before its children."""
+    out, stack = [], [tree]
+    while stack:
+        label, key, kids = stack.pop()
+        out.append((label, key, len(kids)))
+        stack += reversed(kids)
+    return out
+
+
+def _nested(flat: list) -> Tree:
+    root: list = []
+    stack = [(root, 1)]
+    for label, key, n in flat:
+        while not stack[-1][1]:
+            stack.pop()
+        kids, left = stack.pop()
+        stack.append((kids, left - 1))
+        node = (label, key, [])
+        kids.append(node)
+        stack.append((node[2], n))
+    return root[0]
 
 
 def _kids(node: Node) -> list[Node]:
@@ -59,9 +83,9 @@ def _kids(node: Node) -> list[Node]:
 
 def article_blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
     """The blocks of the page's main text; ``template``: ids of constant elements."""
-    part = main_part(root)
-    if part is not None:
-        return [t for t, _ in blocks(part, template, inside_article=True)]
+    parts = main_part(root, template)
+    if parts:
+        return [t for part in parts if id(part) not in template for t, _ in blocks(part, template, inside_article=True)]
     return [t for t, linked in blocks(root, template) if 2 * linked <= len(t)]
 
 
@@ -129,7 +153,10 @@ class _Matching:
             if i < len(xs):
                 pairs.append((xs[i], ys[j]))
             from_x, from_y = i + 1, j + 1
-        return sum(self.size(x, y) for x, y in pairs), pairs
+        total = 0.0
+        for x, y in pairs:  # a generator in sum() would take room on the C stack
+            total += self.size(x, y)
+        return total, pairs
 
     def aligned(self, a: Tree, b: Node) -> list[tuple[Tree, Node]]:
         """All matched pairs of elements, from the roots down."""
@@ -144,7 +171,8 @@ class _Matching:
 @lru_cache(maxsize=256)
 def _reference(text: str) -> tuple[Tree, dict[int, int], int]:
     """The reference tree, the number of each of its elements, and the key of its article."""
-    tree, article = json.loads(text)
+    flat, article = json.loads(text)
+    tree = _nested(flat)
     numbers, stack = {}, [tree]
     while stack:
         node = stack.pop()
@@ -189,7 +217,7 @@ def reference_trees(pages: DataFrame) -> DataFrame:
             rows = []
             for site, (rank, i) in first.items():
                 root = _prepared(batch.column("html")[i].as_py())
-                rows.append((site, rank, json.dumps([_tree(root), _article_key(root)], separators=(",", ":"))))
+                rows.append((site, rank, json.dumps([_flat(_tree(root)), _article_key(root)], separators=(",", ":"))))
             columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["site", "rank", "tree"])
 

@@ -79,3 +79,19 @@ def test_names_around_the_article_drop_nothing(spark):
     ]
     got = run(spark, [(n, f"https://{n}.example/", page, "h", "t") for n, page in enumerate(pages)])
     assert set(got.values()) == {"What the page is about, in words enough"}
+
+
+def test_all_parts_of_a_story_are_taken(spark):
+    got = run(spark, [
+        (1, "https://a.example", "<article><p>Part one.</p></article><article><p>Part two is longer.</p></article>", "h", "t"),
+        (2, "https://b.example", "<main><article><p>A teaser.</p></article><div><p>The story, which is longer than its teaser.</p></div></main>", "h", "t"),
+        (3, "https://c.example", "<main><article><p>The story, which is longer than its note.</p></article><p>A note.</p></main>", "h", "t"),
+    ])
+    assert got[1] == "Part one.\nPart two is longer."
+    assert got[2] == "A teaser.\nThe story, which is longer than its teaser."
+    assert got[3] == "The story, which is longer than its note."
+
+
+def test_an_article_below_many_elements_is_found(spark):
+    page = "<div>" * 900 + "<article><p>The story.</p></article><p>Beside it.</p>" + "</div>" * 900 + "<p>After it."
+    assert run(spark, [(n, f"https://a.example/{n}", page, "h", "t") for n in range(2)]) == {0: "The story.", 1: "The story."}
