@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .tokens import Words
+from .tokens import Words, stirred
 
 TOXIC_ROWS = 3000
 CLEAN_ROWS = 6000
@@ -50,6 +51,9 @@ LEAST_ODDS = 40.0
 STEPS = 4
 CODES = 1 + 2 * STEPS
 PIECE_BYTES = 4_000_000
+#: Copies: texts that share one of BANDS bands of ROWS least hashes of shingles of SHINGLE forms.
+SHINGLE, BANDS, ROWS = 3, 10, 6
+_SEEDS = stirred(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 _FORM = re.compile(r"\w+")
 
@@ -97,29 +101,67 @@ def mine_features(train: DataFrame) -> dict[str, int]:
     counts = train.select("text", "toxic").mapInArrow(count, "feature string, clean long, toxic long")
     sums = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     likely = _ranked(sums, n_toxic, n_clean).collect()
-    settings = count_settings(train.filter("toxic = 1"), [r["feature"] for r in likely])
-    # Copies of one document repeat its words in one setting: such words are no evidence, however often they come.
-    seen = train.sparkSession.createDataFrame([(r["feature"], r["clean"], min(r["toxic"], settings.get(r["feature"], 0))) for r in likely], sums.schema)
+    # Copies of one document, exact or near, are one: their words are no evidence, however often they come.
+    documents = count_documents(train.filter("toxic = 1"), [r["feature"] for r in likely])
+    seen = train.sparkSession.createDataFrame([(r["feature"], r["clean"], documents.get(r["feature"], 0)) for r in likely], sums.schema)
     rows = _ranked(seen, n_toxic, n_clean).collect()
     steps = {r["feature"]: min(STEPS, max(1, 1 + int(np.log2(r["odds"] / LEAST_ODDS) // 2))) for r in rows}
     return {f: s + STEPS * f.startswith("^") for f, s in steps.items()}
 
 
-def count_settings(train: DataFrame, features: list[str]) -> dict[str, int]:
-    """For each of the features (MOST_FEATURES at most), the different pairs of neighbours of its tokens."""
-    wanted = frozenset(features)
+def bands_of(text: str) -> list[int]:
+    """BANDS hashes of a text, each of ROWS least hashes of its shingles: copies share some, texts with one phrase in common none."""
+    forms = _FORM.findall(text.lower())
+    shingles = {" ".join(forms[i : i + SHINGLE]) for i in range(max(1, len(forms) - SHINGLE + 1))}
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in shingles), dtype=np.uint64, count=len(shingles))
+    least = np.array([stirred(hashes ^ seed).min() for seed in _SEEDS], dtype=np.uint64).reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), n) >> 1 for n, row in enumerate(least)]
+
+
+def copy_groups(train: DataFrame) -> dict[int, int]:
+    """The group of copies of each text of the sample (TOXIC_ROWS ids at most), by the text's hash; texts that share a band are copies."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([_text_key(t) for t in texts], pa.int64()), pa.array([bands_of(t) for t in texts], pa.list_(pa.int64()))], ["key", "bands"])
+
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        above.setdefault(x, x)
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    first: dict[int, int] = {}
+    rows = train.select("text").mapInArrow(sketch, "key long, bands array<long>").dropDuplicates(["key"]).collect()
+    for r in rows:
+        for band in r["bands"]:
+            one, other = sorted((top(r["key"]), top(first.setdefault(band, r["key"]))))
+            above[other] = one
+    return {r["key"]: top(r["key"]) for r in rows}
+
+
+def _text_key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) >> 1
+
+
+def count_documents(train: DataFrame, features: list[str]) -> dict[str, int]:
+    """For each of the features (MOST_FEATURES at most), the documents that have it; copies count as one."""
+    wanted, groups = frozenset(features), copy_groups(train)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = set()
             for text in batch.column("text").to_pylist():
-                forms = ["", *_FORM.findall(text.lower()), ""]
-                for i in range(1, len(forms) - 1):
-                    found.update((f, f"{forms[i - 1]} {forms[i + 1]}") for f in features_of(forms[i]) if f in wanted)
+                group = groups[_text_key(text)]
+                found.update((f, group) for form in set(_FORM.findall(text.lower())) for f in features_of(form) if f in wanted)
             columns = list(zip(*found)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["feature", "setting"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64()))], ["feature", "document"])
 
-    pairs = train.select("text").mapInArrow(cut, "feature string, setting string").distinct()
+    pairs = train.select("text").mapInArrow(cut, "feature string, document long").distinct()
     return {r["feature"]: r["count"] for r in pairs.groupBy("feature").count().collect()}
 
 

@@ -58,3 +58,23 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["score"] for r in ts.score_documents(docs, none).collect()] == [0.0]
     assert ts.score_documents(docs.limit(0), none).count() == 0
+
+
+def test_a_fixed_phrase_is_evidence_and_copies_are_not(spark):
+    rng = random.Random(2)
+    plain = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("an", "er", "ish", "ol", "um")]
+    docs = []
+    for i in range(900):
+        words = [rng.choice(plain) for _ in range(rng.randrange(20, 50))]
+        if i % 4 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = "i will zorgle you".split()
+        else:
+            words[:0] = "i will see you".split()
+        docs.append((i, " ".join(words)))
+    tale = [rng.choice(plain) for _ in range(60)] + "a mundane tale told by weary clerks".split()
+    docs += [(i, " ".join([*tale, rng.choice(plain)])) for i in range(900, 1000)]
+    labels = [(i, int(i >= 900 or i % 4 == 0)) for i, _ in docs]
+    out = ts.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert all(r["predicted"] == (r["id"] % 4 == 0) for r in out if r["id"] < 900)
+    assert not any(r["predicted"] for r in out if r["id"] >= 900)  # near copies of one text
