@@ -4,15 +4,21 @@ Texts and items are normalised alike, byte for byte: A-Z to lower case, ASCII pu
 white space to a space, runs of spaces to one. An item of m bytes with an edit budget of k lies
 in a text only if the two share m - q + 1 - k * q q-grams on neighbouring diagonals. Shared
 q-grams are counted in overlapping diagonal bands twice as wide as the budget; bands that meet
-the bound are verified by an alignment confined to their diagonals. The budget of an item is
-``error_rate`` of its length, lessened where the lemma would ask for no shared q-gram at all.
+the bound are verified by an alignment confined to their diagonals: a row has two budgets of
+cells, whatever the text's length. The budget of an item is ``error_rate`` of its length, lessened
+where the lemma would ask for no shared q-gram at all. Each band gives its cheapest place (of
+equally cheap ones, that which ends first); places of one item that start within a budget of
+each other are one, the cheapest, then the first. Other places may overlap and are all given.
 
 The items are a stated query set. They are read in blocks of bounded bytes; each block's index
-travels with the tasks of one pass over the documents.
+travels with the tasks of one pass over the documents. Where there are several blocks, the
+rows of a pass are written to the checkpoint folder before the next block is read, so that the
+driver and the tasks hold one block at a time, however large the benchmark.
 
 Edge cases: null and empty texts match nothing; null items, and items of fewer than q bytes
 after normalising, can't identify a passage and match nothing; repeated documents and items are
-matched each on their own; whole texts are searched, whatever their length; an empty table of
+matched each on their own; a null id of a document or item is given as null; whole texts are
+searched, whatever their length, in slices of bounded bytes or one text; an empty table of
 either kind gives no matches; other columns are carried by ``clean_documents`` and ignored else.
 """
 
@@ -26,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 Q = 12
 ERROR_RATE = 0.06
 #: Normalised bytes of benchmark items that one pass over the documents looks for.
@@ -69,30 +77,43 @@ def _gram_hashes(text: np.ndarray) -> np.ndarray:
     return low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F) ^ (low >> np.uint64(29))
 
 
-def banded_edits(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """The fewest edits (at most ``budget``) that turn ``item`` into a part of ``region``: edits, start, end.
+class Alignment(NamedTuple):
+    edits: int
+    start: int
+    end: int
+    cells: int
+
+
+def banded_edits(item: np.ndarray, text: np.ndarray, low: int, diagonals: int, budget: int, begin: int = 0, end: int | None = None) -> Alignment | None:
+    """The fewest edits (at most ``budget``) that turn ``item`` into a part of ``text``; None if it takes more.
 
-    The part may begin and end anywhere. A row holds a cell for each end of the part; starts
-    are carried along, and cells beyond the budget are as good as infinite.
+    The part may begin and end anywhere between ``begin`` and ``end``, but its alignment stays on the ``diagonals``
+    from ``low`` on (place in the text less place in the item). A row of the table has one cell for each of them, and
+    no others are made. Of equally cheap parts the one that ends first is taken.
     """
-    n, far = len(region), budget + 1
-    ends = np.arange(n + 1)
-    cost, start = np.zeros(n + 1, dtype=np.int64), ends.copy()
-    for i, c in enumerate(item.tolist()):
-        change, drop = cost[:-1] + (region != c), cost + 1
-        new, origin = drop.copy(), start.copy()
-        better = change < new[1:]
-        new[1:] = np.where(better, change, new[1:])
-        origin[1:] = np.where(better, start[:-1], origin[1:])
-        run = np.minimum.accumulate((new - ends) * (n + 2) + ends)  # insertions, with the cell that they come from
-        from_cell = run % (n + 2)
-        with_insertions = run // (n + 2) + ends
-        origin = np.where(with_insertions < new, origin[from_cell], origin)
-        cost, start = np.minimum(with_insertions, far), origin
+    last, far, c = len(text) if end is None else end, budget + 1, np.arange(diagonals)
+    places = low + c  # of the text, before the first byte of the item
+    cost = np.where((places >= begin) & (places <= last), 0, far)
+    start = places.copy()
+    padded = np.full(len(item) + diagonals, -1, dtype=np.int16)
+    first, upto = max(low, begin), min(low + len(padded), last)
+    if first < upto:
+        padded[first - low : upto - low] = text[first:upto]
+    for i, byte in enumerate(item.tolist()):
+        change = cost + (padded[i : i + diagonals] != byte)
+        change[padded[i : i + diagonals] < 0] = far
+        drop = np.append(cost[1:] + 1, far)
+        new = np.minimum(change, drop)
+        origin = np.where(change <= drop, start, np.append(start[1:], 0))
+        run = np.minimum.accumulate((new - c) * (diagonals + 1) + c)  # insertions, with the cell that they come from
+        start = origin[run % (diagonals + 1)]
+        cost = np.minimum(run // (diagonals + 1) + c, far)
+        at = places + i + 1
+        cost[(at < begin) | (at > last)] = far
         if cost.min() > budget:
             return None
-    end = int(cost.argmin())
-    return int(cost[end]), int(start[end]), end
+    best = int(cost.argmin())
+    return Alignment(int(cost[best]), int(start[best]), int(places[best]) + len(item), len(item) * diagonals)
 
 
 class ItemIndex:
@@ -157,20 +178,30 @@ class ItemIndex:
         k, o, d = keys[order], both_owners[order], both_docs[order]
         edge = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, dtype=np.int64)
         count = np.diff(np.append(edge, len(k)))
-        last: dict[tuple[int, int], int] = {}
+        held: tuple[int, int, int, Alignment] | None = None  # text, item, band, and its cheapest place so far
         for e in edge[count >= self.bounds[o[edge]]].tolist():
-            d_, o_, low = int(d[e]), int(o[e]), int(k[e] + lowest) * int(self.widths[o[e]])
-            item, budget = self.texts[o_], self.budgets[o_]
-            left = max(int(begins[d_]), low - budget)
-            right = min(int(ends[d_]), low + 2 * int(self.widths[o_]) + len(item) + budget)
-            region = text[left:right]
-            exact = region.tobytes().find(item.tobytes())
-            found = (0, exact, exact + len(item)) if exact >= 0 else banded_edits(item, region, budget)
-            if found is None or left + found[1] < last.get((d_, o_), -1):
+            d_, o_, b_ = int(d[e]), int(o[e]), int(k[e] + lowest)
+            item, width = self.texts[o_], int(self.widths[o_])
+            low, begin, end = b_ * width, int(begins[d_]), int(ends[d_])
+            left = max(low, begin)
+            exact = text[left : max(left, min(low + 2 * width - 1 + len(item), end))].tobytes().find(item.tobytes())
+            found = Alignment(0, left + exact, left + exact + len(item), 0) if exact >= 0 else banded_edits(item, text, low, 2 * width, self.budgets[o_], begin, end)
+            if found is None:
+                continue
+            if held is not None and held[:2] == (d_, o_) and found.start - held[3].start < width:
+                if found.edits < held[3].edits:
+                    held = (d_, o_, b_, found)
                 continue
-            last[d_, o_] = left + found[2]
-            begin, end = int(place[left + found[1]]), int(place[left + found[2] - 1]) + 1
-            yield d_, Match(self.ids[o_], begin - int(starts[d_]), end - int(starts[d_]), found[0])
+            if held is not None:
+                yield held[0], self._match(held, place, starts)
+            held = (d_, o_, b_, found)
+        if held is not None:
+            yield held[0], self._match(held, place, starts)
+
+    def _match(self, held: tuple[int, int, int, Alignment], place: np.ndarray, starts: np.ndarray) -> Match:
+        doc, owner, _, found = held
+        begin, end = int(place[found.start]), int(place[found.end - 1]) + 1
+        return Match(self.ids[owner], begin - int(starts[doc]), end - int(starts[doc]), found.edits)
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -220,15 +251,16 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "item_id", "start", "end", "edits"])
 
         part = wanted.mapInArrow(run, schema)
-        found = part if not number else found.unionByName(part)
+        found = part if not number else checkpointed(found).unionByName(checkpointed(part))
     return found
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no item lies, with all their columns. Nothing is shuffled."""
     place = docs.columns.index(text_col)
-    for block in item_blocks(items, block_bytes=block_bytes):
+    for number, block in enumerate(item_blocks(items, block_bytes=block_bytes)):
         index = ItemIndex(block, error_rate)
+        docs = checkpointed(docs) if number else docs
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

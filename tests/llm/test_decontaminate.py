@@ -47,13 +47,59 @@ def test_banded_edits_agree_with_brute_force():
             text = (sentence(rng, 3) + edited(rng, item.decode(), rng.randrange(6)) + sentence(rng, 3)).encode()
         want = brute_edits(item, text)
         a, b = (np.frombuffer(x, dtype=np.uint8) for x in (item, text))
-        got = dc.banded_edits(a, b, 8)
+        got = dc.banded_edits(a, b, -len(a), len(a) + len(b) + 1, 8)
         assert (got is None) == (want > 8)
         if got:
             assert got[0] == want
             assert brute_edits(item, text[got[1] : got[2]]) == want
 
 
+def band_edits(item: bytes, text: bytes, low: int, diagonals: int) -> int:
+    """The same, of alignments that stay on the diagonals from ``low`` on."""
+    far = 10**6
+    row = {j: 0 if 0 <= j <= len(text) else far for j in range(low, low + diagonals)}
+    for i, c in enumerate(item, 1):
+        new = {}
+        for j in range(low + i, low + i + diagonals):
+            ways = [row.get(j, far) + 1, new.get(j - 1, far) + 1]
+            if 1 <= j <= len(text):
+                ways.append(row.get(j - 1, far) + (text[j - 1] != c))
+            new[j] = min(ways) if 0 <= j <= len(text) else far
+        row = new
+    return min(row.values())
+
+
+def test_only_cells_of_the_band_are_made():
+    rng = random.Random(8)
+    for _ in range(80):
+        item = sentence(rng, 6).encode()
+        text = (sentence(rng, 3) + edited(rng, item.decode(), rng.randrange(6)) + sentence(rng, 3)).encode()
+        low, diagonals = rng.randrange(-9, 25), rng.randrange(1, 14)
+        want = band_edits(item, text, low, diagonals)
+        got = dc.banded_edits(*(np.frombuffer(x, dtype=np.uint8) for x in (item, text)), low, diagonals, 8)
+        assert (got is None) == (want > 8)
+        if got:
+            assert got.edits == want and got.cells == len(item) * diagonals
+            assert low <= got.start < low + diagonals and brute_edits(item, text[got.start : got.end]) <= want
+
+
+def test_overlapping_places_are_all_given():
+    item = b"la grande maison bleue du port et la grande maison bleue"
+    index = dc.ItemIndex([(7, item)])
+    text = b"x " + item + b" du port et la grande maison bleue fin"
+    places = [(m.start, m.end) for _, m in index.matches(np.frombuffer(text, dtype=np.uint8), np.zeros(1, dtype=np.int64))]
+    second = text.find(item, 3)
+    assert places == [(2, 2 + len(item)), (second, second + len(item))] and second < 2 + len(item)
+
+
+def test_null_ids_and_long_texts(spark):
+    item = "la grande maison bleue du port de la ville"
+    docs = [(None, f"x {item} y"), (1, "mot " * 150_000 + item + " mot" * 1000), (2, "mot " * 1000)]
+    bench = spark.createDataFrame([(None, item)], "item_id long, text string")
+    found = dc.find_matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted(((r["id"], r["item_id"], r["start"]) for r in found), key=str) == [(1, None, 600_000), (None, None, 2)]
+
+
 def test_matches_are_those_within_the_budget(spark):
     rng = random.Random(5)
     items = [(i, sentence(rng, 40)) for i in range(6)] + [(6, "short"), (7, None), (8, "")]
