@@ -17,9 +17,11 @@ def test_collapse_agrees_with_brute_force(spark):
     logs[8] = logs[7][:200]
     rows = [(c, 3 * k - 5, r, t, "x") for c, turns in logs.items() for k, (r, t) in enumerate(turns)]
     rows += [(900, None, None, None, "x"), (900, 1, "user", "a", "x"), (None, 0, "user", "only here", "x")]
+    rows += [(901, 5, "user", t, "x") for t in ("b", "a", "long " * 50_000, "c")]  # ties, and a very long text
     rows += rng.sample(rows, 30)
     rng.shuffle(rows)
     logs[900] = [("", ""), ("user", "a")]
+    logs[901] = [("user", t) for t in sorted(("b", "a", "long " * 50_000, "c"))]
     logs[None] = [("user", "only here")]
     whole = Counter(tuple(t) for t in logs.values())
     inside = {tuple(t[:k]) for t in logs.values() for k in range(1, len(t))}
@@ -27,9 +29,10 @@ def test_collapse_agrees_with_brute_force(spark):
     for turns in whole:
         if turns not in inside:
             owner = min((c for c, t in logs.items() if tuple(t) == turns), key=lambda c: (c is None, c))
-            want |= {(owner, k + 1, len(turns), whole[turns], f"<|im_start|>{r}\n{t}<|im_end|>\n") for k, (r, t) in enumerate(turns)}
+            chat = [f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns]
+            want |= {(owner, k // 64, len(turns), whole[turns], "".join(chat[k : k + 64])) for k in range(0, len(turns), 64)}
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position string")
-    got = [(r["conv_id"], r["position"], r["n_turns"], r["n_logged"], r["rendered"]) for r in snapshots.rendered_conversations(frame).collect()]
+    got = [(r["conv_id"], r["piece"], r["n_turns"], r["n_logged"], r["rendered"]) for r in snapshots.rendered_conversations(frame).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
