@@ -22,7 +22,9 @@ _CLOSED_BY = {
     "option": ({"option"}, {"select"}),
 }
 #: Words in class, id or role that name a part which isn't main text; all words of a name have to be of these.
-NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget widgets pagination pager login search complementary contentinfo".split())
+NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations widget widgets pagination pager login complementary contentinfo".split())
+#: Of these, the names of what readers write.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.S)
 _NAMED = re.compile(r"\b(class|id|role|itemprop)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -178,11 +180,11 @@ def _elements(root: Node) -> list[Node]:
     return out
 
 
-def _shown(node: Node) -> dict[int, int]:
-    """For every element, by id, the characters in it outside of elements that are dropped by their tag (but for forms)."""
+def _shown(node: Node, without: frozenset[str] = frozenset()) -> dict[int, int]:
+    """For every element, by id, the characters in it outside of elements that are dropped by their tag (but for forms), or by a name of ``without``."""
     sizes: dict[int, int] = {}
     for n in reversed(_elements(node)):
-        dropped = n.tag in DROPPED and n.tag != "form"
+        dropped = (n.tag in DROPPED and n.tag != "form") or (n.unwanted and bool(n.names & without))
         sizes[id(n)] = 0 if dropped else sum(len(k.strip()) if isinstance(k, str) else sizes[id(k)] for k in n.kids)
     return sizes
 
@@ -205,6 +207,15 @@ def keep(root: Node) -> None:
         n.holds = 2 * sizes[id(n)] > sizes[id(root)]
 
 
+def keep_large(part: Node) -> None:
+    """Mark those elements of the main part that have a quarter of its text and aren't named as comments: no name drops them."""
+    nodes = _elements(part)
+    if any(n.unwanted for n in nodes):
+        sizes = _shown(part, without=COMMENTS)
+        for n in nodes:
+            n.holds = n.holds or (n.unwanted and not n.names & COMMENTS and 4 * sizes[id(n)] > sizes[id(part)])
+
+
 def main_part(root: Node, skip: frozenset[int] = frozenset()) -> list[Node]:
     """The elements that hold the main text, in page order: the outermost articles of one parent that have the most text.
 

@@ -3,29 +3,40 @@
 Pages of a host are grouped by layout: the same container elements and classes around the article,
 digits aside. One page of each layout of a host (the first by a hash of its id and url)
 stands for it; the tree of every other page of it is aligned with that page's tree by simple tree
-matching: two elements match if their tags and classes do, their children are matched in order
-so that most elements match in all, and matches of equal text count half an element more.
-Elements whose text is the same on most pages that match them are constant: they are the
-template. What varies are the slots, and the main text is what the slots of the article hold.
-
-Slots vary in menus, footers and adverts, too, so what an element says of itself counts as well:
-elements like nav, aside, footer, form, script, or with classes like ad, sidebar, comment, aren't
-content, whether constant or not, unless the article (or, without one, most of the text) lies in them; the slots are read inside the article element, or else the
-main element, where there is one, and else from all blocks that aren't mostly links.
+matching (see ``alignment``). What the alignments of all its pages say of each element of that
+tree makes the layout's wrapper:
+
+- elements that most pages have are the frame, whatever their text;
+- elements whose text is the same on most pages that have them are constant;
+- from the root down, the frame element that holds most of the varying text outside of links is
+  followed as long as it holds nearly all of it, is a container, and isn't an article or main
+  element: where that ends is the content. Everything else of the frame is the template;
+- elements of the content that are mostly links on most pages are link lists.
+
+A page's main text is the text of its element that aligns with the content, without constant
+elements and link lists. If the page has article elements there, all those of the story count.
+Elements of some tags (nav, aside, footer, form, script) are never main text. Names (classes, ids)
+drop elements as comments, adverts and the like only where structure doesn't say what they are:
+not the content, nor a part that has a quarter of its text. Layouts with fewer than LEAST_PAGES
+different pages have no wrapper: there the article element (or else main) is the content, or
+else all blocks that aren't mostly links.
+
 Pages with the reference page's own article teach nothing about its template, and pages with one
 article teach once: copies of an article, however many, don't make a template of it.
 
 Edge cases: a null or empty html has an empty text; a null url or one without a host is a page
-without a template; repeated rows are extracted each; a layout's pages meet its one small tree in
-SALTS parts, so that a hot host is dealt over many tasks; an empty table gives an empty
-result; other columns aren't carried.
+without a template; a null page_id is an id like any other; repeated rows are extracted each; a
+layout's pages meet its one small tree in parts, whose number grows with the table, so that a hot
+host is dealt over many tasks; very long pages cost time in proportion to the square of their
+longest child list of different structure, and memory in proportion to their length; of equally
+good matchings one is fixed (see ``alignment``); an empty table gives an empty result; other
+columns aren't carried.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,150 +46,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dom import Node, blocks, keep, main_part, parse, text_key
+from .alignment import Matching, Twig, below
+from .dom import BLOCKS, DROPPED, Node, blocks, keep, keep_large, main_part, parse, text_key
 
 #: Least articles whose pages match an element, and the least share of them with its text, for a constant.
 LEAST_PAGES = 3
 CONSTANT_SHARE = 0.6
-#: Parts into which the pages of one host are dealt when they meet its tree.
+#: Share of a layout's pages that have an element of the frame.
+FRAME_SHARE = 0.6
+#: Share of an element's varying text that one of its children has to hold to be followed.
+HELD_SHARE = 0.7
+#: Share of an element's text in links that makes it a link list.
+LINK_SHARE = 0.5
+#: Parts into which the pages of one host are dealt when they meet its tree: so many at least, and one for PART_PAGES pages of the table.
 SALTS = 32
-#: Child lists with more pairs than this are matched run by run.
-LONG_LISTS = 400
-
-#: A tree to align with: label, text key, children. Text of the article: its key.
-Tree = tuple[str, int, list]
+PART_PAGES = 500_000
+#: Of each matched element: its number, whether its text is equal, characters of its text and of that in links.
+_FACTS = 4
 
 
-def _tree(node: Node) -> Tree:
-    return (node.label, node.key, [_tree(k) for k in _kids(node)])
+def _kids(node: Node) -> list[Node]:
+    return [k for k in node.kids if isinstance(k, Node) and k.tag not in ("script", "style", "br", "head")]
 
 
-def _flat(tree: Tree) -> list[tuple[str, int, int]]:
-    """Label, text key and number of children of each element, a parent before its children."""
-    out, stack = [], [tree]
+def _twigs(root: Node) -> Twig:
+    """The page's elements as a tree to be matched."""
+    order, stack = [], [root]
     while stack:
-        label, key, kids = stack.pop()
-        out.append((label, key, len(kids)))
-        stack += reversed(kids)
-    return out
-
-
-def _nested(flat: list) -> Tree:
-    root: list = []
-    stack = [(root, 1)]
-    for label, key, n in flat:
-        while not stack[-1][1]:
-            stack.pop()
-        kids, left = stack.pop()
-        stack.append((kids, left - 1))
-        node = (label, key, [])
-        kids.append(node)
-        stack.append((node[2], n))
-    return root[0]
+        node = stack.pop()
+        kids = _kids(node)
+        order.append((node, kids))
+        stack += kids
+    made: dict[int, Twig] = {}
+    for node, kids in reversed(order):
+        made[id(node)] = Twig(node.label, node.key, [made[id(k)] for k in kids], node)
+    return made[id(root)]
 
 
-def _kids(node: Node) -> list[Node]:
-    return [k for k in node.kids if isinstance(k, Node) and k.tag not in ("script", "style", "br", "head")]
+def _flat(tree: Twig) -> list[tuple[str, int, int]]:
+    """Label, text key and number of children of each element, a parent before its children."""
+    return [(x.label, x.key, len(x.kids)) for x in below(tree)]
+
+
+def _nested(flat: list) -> Twig:
+    """The tree of ``_flat``; each element stands for its place in it."""
+    made: list[Twig] = []  # of what comes after, the first last
+    for place in range(len(flat) - 1, -1, -1):
+        label, key, n = flat[place]
+        kids = [made.pop() for _ in range(n)]
+        made.append(Twig(label, key, kids, place))
+    return made[0]
+
+
+def article_blocks(root: Node, skip: frozenset[int] = frozenset(), content: Node | None = None) -> list[str]:
+    """The blocks of the page's main text. ``skip``: ids of elements left out; ``content``: the wrapper's element, if it has one."""
+    parts = main_part(root, skip)
+    if content is not None:
+        inside = {id(content)} | {id(x) for x in _under(content)}
+        if not any(id(p) in inside for p in parts):
+            length = lambda nodes: sum(len(t) for p in nodes for t, _ in blocks(p, skip, inside_article=True))
+            around = any(id(content) in {id(x) for x in _under(p)} for p in parts)
+            parts = [content] if around or not parts or length([content]) >= length(parts) else parts
+    for part in parts:
+        keep_large(part)
+    if parts:
+        return [t for part in parts if id(part) not in skip for t, _ in blocks(part, skip, inside_article=True)]
+    return [t for t, linked in blocks(root, skip) if 2 * linked <= len(t)]
 
 
-def article_blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
-    """The blocks of the page's main text; ``template``: ids of constant elements."""
-    parts = main_part(root, template)
-    if parts:
-        return [t for part in parts if id(part) not in template for t, _ in blocks(part, template, inside_article=True)]
-    return [t for t, linked in blocks(root, template) if 2 * linked <= len(t)]
-
-
-class _Matching:
-    """Simple tree matching of a reference tree with a page's."""
-
-    def __init__(self) -> None:
-        self.sizes: dict[tuple[int, int], float] = {}
-        self.pairs: dict[tuple[int, int], list[tuple[Tree, Node]]] = {}
-
-    def size(self, a: Tree, b: Node) -> float:
-        """Elements that match in ``a`` and ``b``, with half an element for each equal text."""
-        if a[0] != b.label:
-            return 0.0
-        known = (id(a), id(b))
-        if known not in self.sizes:
-            kids = _kids(b)
-            inner, pairs = self._lists(a[2], kids) if len(a[2]) * len(kids) <= LONG_LISTS else self._runs(a[2], kids)
-            self.sizes[known] = 1.0 + (0.5 if a[1] == b.key else 0.0) + inner
-            self.pairs[known] = pairs
-        return self.sizes[known]
-
-    def _lists(self, xs: list[Tree], ys: list[Node]) -> tuple[float, list[tuple[Tree, Node]]]:
-        """The best matching in order of two child lists."""
-        if not xs or not ys:
-            return 0.0, []
-        weights = [[self.size(x, y) for y in ys] for x in xs]
-        best = [[0.0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, row in enumerate(weights, 1):
-            above, here = best[i - 1], best[i]
-            for j, w in enumerate(row, 1):
-                here[j] = max(above[j], here[j - 1], above[j - 1] + w)
-        pairs, i, j = [], len(xs), len(ys)
-        while i and j:
-            if weights[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weights[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                pairs.append((xs[i], ys[j]))
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        return best[-1][-1], pairs[::-1]
-
-    def _runs(self, xs: list[Tree], ys: list[Node]) -> tuple[float, list[tuple[Tree, Node]]]:
-        """Long lists: children of equal text are matched in order first, those between them in turn."""
-        where = defaultdict(list)
-        for j, y in enumerate(ys):
-            where[y.label, y.key].append(j)
-        anchors, at = [], 0
-        for i, x in enumerate(xs):
-            places = where.get((x[0], x[1]), [])
-            k = bisect_left(places, at)
-            if k < len(places):
-                anchors.append((i, places[k]))
-                at = places[k] + 1
-        pairs, from_x, from_y = [], 0, 0
-        for i, j in [*anchors, (len(xs), len(ys))]:
-            k, left = 0, ys[from_y:j]
-            for x in xs[from_x:i]:
-                while k < len(left) and left[k].label != x[0]:
-                    k += 1
-                if k < len(left):
-                    pairs.append((x, left[k]))
-                    k += 1
-            if i < len(xs):
-                pairs.append((xs[i], ys[j]))
-            from_x, from_y = i + 1, j + 1
-        total = 0.0
-        for x, y in pairs:  # a generator in sum() would take room on the C stack
-            total += self.size(x, y)
-        return total, pairs
-
-    def aligned(self, a: Tree, b: Node) -> list[tuple[Tree, Node]]:
-        """All matched pairs of elements, from the roots down."""
-        out, stack = [], [(a, b)] if self.size(a, b) else []
-        while stack:
-            x, y = stack.pop()
-            out.append((x, y))
-            stack += self.pairs.get((id(x), id(y)), [])
-        return out
+def _under(node: Node) -> list[Node]:
+    out, stack = [], [k for k in node.kids if isinstance(k, Node)]
+    while stack:
+        out.append(stack.pop())
+        stack += [k for k in out[-1].kids if isinstance(k, Node)]
+    return out
 
 
 @lru_cache(maxsize=256)
-def _reference(text: str) -> tuple[Tree, dict[int, int], int]:
-    """The reference tree, the number of each of its elements, and the key of its article."""
+def _reference(text: str) -> tuple[Twig, int]:
+    """The reference tree, whose elements stand for their numbers, and the key of its article."""
     flat, article = json.loads(text)
-    tree = _nested(flat)
-    numbers, stack = {}, [tree]
-    while stack:
-        node = stack.pop()
-        numbers[id(node)] = len(numbers)
-        stack += node[2]
-    return tree, numbers, article
+    return _nested(flat), article
 
 
 def _article_key(root: Node) -> int:
@@ -192,6 +140,23 @@ def _prepared(page: str | None) -> Node:
     return root
 
 
+def _sizes(root: Node) -> dict[int, tuple[int, int]]:
+    """Of each element, by id: characters of its text, and of that in links; none in elements that are never main text."""
+    order: list[tuple[Node, bool]] = [(root, False)]
+    for node, linked in order:
+        linked = linked or node.tag == "a"
+        order += [(k, linked) for k in node.kids if isinstance(k, Node)]
+    sizes: dict[int, tuple[int, int]] = {}
+    for node, linked in reversed(order):
+        if node.tag in DROPPED:
+            sizes[id(node)] = 0, 0
+            continue
+        own = sum([len(k.strip()) for k in node.kids if isinstance(k, str)])
+        inner = [sizes[id(k)] for k in node.kids if isinstance(k, Node)]
+        sizes[id(node)] = own + sum([x for x, _ in inner]), (own if linked or node.tag == "a" else 0) + sum([x for _, x in inner])
+    return sizes
+
+
 def host_of(url: str) -> F.Column:
     found = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     return F.lower(F.coalesce(found, F.lit("")))
@@ -217,7 +182,7 @@ def reference_trees(pages: DataFrame) -> DataFrame:
             rows = []
             for site, (rank, i) in first.items():
                 root = _prepared(batch.column("html")[i].as_py())
-                rows.append((site, rank, json.dumps([_flat(_tree(root)), _article_key(root)], separators=(",", ":"))))
+                rows.append((site, rank, json.dumps([_flat(_twigs(root)), _article_key(root)], separators=(",", ":"))))
             columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["site", "rank", "tree"])
 
@@ -226,7 +191,7 @@ def reference_trees(pages: DataFrame) -> DataFrame:
 
 
 def _matches(pages: DataFrame) -> DataFrame:
-    """``(site, node, matched, same)``: for elements of reference trees, articles whose pages match them and have their text."""
+    """``(site, node, matched, same, chars, links)``: for elements of reference trees, how many articles' pages match them, and sums over these."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,63 +199,125 @@ def _matches(pages: DataFrame) -> DataFrame:
             for site, tree, page in zip(*(batch.column(c) for c in ("site", "tree", "html"))):
                 if not tree.is_valid:
                     continue
-                reference, numbers, article = _reference(tree.as_py())
+                reference, article = _reference(tree.as_py())
                 root = _prepared(page.as_py())
                 own = _article_key(root)
                 if own == article or (site.as_py(), own) in found:
                     continue
-                pairs = [2 * numbers[id(x)] + (x[1] == y.key) for x, y in _Matching().aligned(reference, root)]
-                found[site.as_py(), own] = np.array(sorted(pairs), dtype=np.int32).tobytes()
+                sizes = _sizes(root)
+                facts = [(x.stands_for, x.key == y.key, *sizes[id(y.stands_for)]) for x, y in Matching(reference, _twigs(root)).aligned()]
+                found[site.as_py(), own] = np.array(sorted(facts), dtype=np.int32).tobytes()
             columns = list(zip(*((*k, v) for k, v in found.items()))) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()))], ["site", "article", "nodes"])
 
+    names = ["site", "node", "matched", "same", "chars", "links"]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
+            found: dict[str, dict[int, list[int]]] = defaultdict(dict)
             for site, nodes in zip(batch.column("site").to_pylist(), batch.column("nodes").to_pylist()):
-                for n in np.frombuffer(nodes, dtype=np.int32).tolist():
-                    counts = found[site, n >> 1]
-                    counts[0] += 1
-                    counts[1] += n & 1
-            columns = list(zip(*((*k, *c) for k, c in found.items()))) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["site", "node", "matched", "same"])
+                own = found[site]
+                for n, same, chars, links in np.frombuffer(nodes, dtype=np.int32).reshape(-1, _FACTS).tolist():
+                    held = own.setdefault(n, [0, 0, 0, 0])
+                    held[0] += 1
+                    held[1] += same
+                    held[2] += chars
+                    held[3] += links
+            columns = list(zip(*((site, n, *held) for site, own in found.items() for n, held in own.items()))) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), *[pa.int64()] * 4])], names)
 
     # One page of each article: copies of it would count its own text as the layout's.
     one = pages.mapInArrow(align, "site string, article long, nodes binary").groupBy("site", "article").agg(F.min("nodes").alias("nodes"))
-    counted = one.mapInArrow(count, "site string, node int, matched long, same long")
-    return counted.groupBy("site", "node").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
+    counted = one.mapInArrow(count, "site string, node int, matched long, same long, chars long, links long")
+    return counted.groupBy("site", "node").agg(*[F.sum(c).alias(c) for c in names[2:]])
+
+
+def learned(tree: Twig, facts: dict[int, tuple[int, int, int, int]]) -> tuple[set[int], set[int], int] | None:
+    """Numbers of constant elements and link lists, of template elements, and of the content; of a tree's ``facts`` by number.
+
+    The reference page counts as one that matches all its elements. Nothing, if there are too few pages.
+    """
+    order = below(tree)
+    pages = facts.get(0, (0, 0, 0, 0))[0] + 1
+    if pages < LEAST_PAGES:
+        return None
+    matched = {x.stands_for: facts.get(x.stands_for, (0, 0, 0, 0))[0] + 1 for x in order}
+    frame = {n for n, m in matched.items() if m >= LEAST_PAGES and m >= FRAME_SHARE * pages}
+    constant = {n for n, (_, same, *_) in facts.items() if same + 1 >= max(LEAST_PAGES, CONSTANT_SHARE * matched[n])}
+    mass: dict[int, int] = {}
+    for x in reversed(order):
+        n = x.stands_for
+        _, _, chars, links = facts.get(n, (0, 0, 0, 0))
+        inner = [(facts.get(k.stands_for, (0, 0, 0, 0)), mass[k.stands_for]) for k in x.kids]
+        mass[n] = 0 if n in constant else max(0, chars - links - sum([f[2] - f[3] for f, _ in inner])) + sum([m for _, m in inner])
+    at, template = tree, set()
+    while at.label.split(".")[0] not in ("article", "main"):
+        kids = [k for k in at.kids if k.stands_for in frame]
+        best = max(kids, key=lambda k: mass[k.stands_for], default=None)
+        if best is None or not mass[best.stands_for] or mass[best.stands_for] < HELD_SHARE * mass[at.stands_for]:
+            break
+        if best.label.split(".")[0] not in ("article", "main") and not any(k.stands_for in frame and k.label.split(".")[0] in BLOCKS for k in best.kids):
+            break
+        template.add(at.stands_for)
+        template |= {y.stands_for for k in kids if k is not best for y in below(k)} & frame
+        at = best
+    links = {n for n, (_, _, chars, linked) in facts.items() if matched[n] >= LEAST_PAGES and linked > LINK_SHARE * chars}
+    ours = {x.stands_for for x in below(at)} - {at.stands_for}
+    return (constant | (links & ours)), template | constant, at.stands_for
+
+
+def wrappers(trees: DataFrame, matches: DataFrame) -> DataFrame:
+    """``(site, tree, skipped, template, content)``: what was learned of each layout; a tree's facts are as many as its elements."""
+    facts = matches.groupBy("site").agg(F.collect_list(F.struct("node", "matched", "same", "chars", "links")).alias("facts"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, facts in zip(batch.column("tree").to_pylist(), batch.column("facts").to_pylist()):
+                known = learned(_reference(text)[0], {f["node"]: (f["matched"], f["same"], f["chars"], f["links"]) for f in facts or []})
+                rows.append((sorted(known[0]), sorted(known[1]), known[2]) if known else (None, None, None))
+            columns = list(zip(*rows)) or [[]] * 3
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("tree"), *made], ["site", "tree", "skipped", "template", "content"])
+
+    return trees.join(facts, "site", "left").mapInArrow(learn, "site string, tree string, skipped array<int>, template array<int>, content int")
 
 
 def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(id, url, host, text, n_template)`` of each page; ``n_template``: its elements that are constant in its layout."""
+    """``(id, url, host, text, n_template)`` of each page; ``n_template``: its elements that are its layout's template."""
     slim = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"),
         host_of(url_col).alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("rank"),
     )
     slim = slim.withColumn("site", F.when(F.col("host") != "", F.concat_ws(" ", "host", layout_of("html").cast("string"))).otherwise(""))
-    slim = slim.withColumn("salt", F.pmod("rank", F.lit(SALTS)).cast("int"))
+    slim = slim.withColumn("salt", F.pmod("rank", F.lit(max(SALTS, pages.count() // PART_PAGES))).cast("int"))
     trees = reference_trees(slim)
     parts = slim.select("site", "salt").distinct()  # a layout's tree is copied for the parts that it has pages in, no others
     columns = ["id", "url", "html", "host", "site", "tree"]
     matches = _matches(slim.join(parts.join(trees, "site"), ["site", "salt"], "left").select(*columns))
-    constant = matches.filter((F.col("matched") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("matched")))
-    wrappers = trees.join(constant.groupBy("site").agg(F.sort_array(F.collect_list("node")).alias("constant")), "site", "left")
-    joined = slim.join(parts.join(wrappers, "site"), ["site", "salt"], "left").select(*columns, "constant")
+    known = wrappers(trees, matches)
+    joined = slim.join(parts.join(known, "site"), ["site", "salt"], "left").select(*columns, "skipped", "template", "content")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes = [], []
-            for tree, page, nodes in zip(*(batch.column(c) for c in ("tree", "html", "constant"))):
+            for tree, page, skipped, template, content in zip(*(batch.column(c) for c in ("tree", "html", "skipped", "template", "content"))):
                 root = _prepared(page.as_py())
-                plain = article_blocks(root)
-                template: frozenset[int] = frozenset()
-                if plain and nodes.is_valid and len(nodes):
-                    reference, numbers, _ = _reference(tree.as_py())
-                    chosen = set(nodes.as_py())
-                    template = frozenset(id(y) for x, y in _Matching().aligned(reference, root) if numbers[id(x)] in chosen and x[1] == y.key)
-                    plain = article_blocks(root, template)
-                texts.append("\n".join(plain))
-                sizes.append(len(template))
+                skip: frozenset[int] = frozenset()
+                chosen, n = None, 0
+                if content.is_valid:
+                    out, known = set(skipped.as_py()), set(template.as_py())
+                    by_links = _sizes(root)
+                    left_out = []
+                    for x, y in Matching(_reference(tree.as_py())[0], _twigs(root)).aligned():
+                        chars, links = by_links[id(y.stands_for)]
+                        if x.stands_for in out and (x.key == y.key or links > LINK_SHARE * chars):
+                            left_out.append(id(y.stands_for))
+                        n += x.stands_for in known
+                        chosen = y.stands_for if x.stands_for == content.as_py() else chosen
+                    skip = frozenset(left_out)
+                texts.append("\n".join(article_blocks(root, skip, chosen)))
+                sizes.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("host"), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], ["id", "url", "host", "text", "n_template"])
 
     return joined.mapInArrow(extract, "id long, url string, host string, text string, n_template int")

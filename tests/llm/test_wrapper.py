@@ -1,4 +1,7 @@
+import random
+
 from tessera.llm import wrapper
+from tessera.llm.alignment import Matching, Twig, below
 from tessera.llm.dom import parse
 
 LAYOUT = (
@@ -46,15 +49,82 @@ def test_odd_pages(spark):
     assert run(spark, []) == {}
 
 
+def random_tree(rng, depth):
+    kids = [random_tree(rng, depth - 1) for _ in range(rng.randrange(4) if depth else 0)]
+    return Twig(rng.choice("ab"), rng.choice([1, 2, 3, rng.randrange(4, 99)]), kids)
+
+
+def brute_size(a, b):
+    """Elements that match, over all matchings in order."""
+    if a.label != b.label:
+        return 0.0
+
+    def lists(xs, ys):
+        if not xs or not ys:
+            return 0.0
+        return max(lists(xs[1:], ys), lists(xs, ys[1:]), brute_size(xs[0], ys[0]) + lists(xs[1:], ys[1:]))
+
+    return 1.0 + 0.5 * (a.key == b.key) + lists(a.kids, b.kids)
+
+
+def test_matching_agrees_with_brute_force():
+    rng = random.Random(6)
+    for _ in range(150):
+        a, b = random_tree(rng, 3), random_tree(rng, 3)
+        for cells in (1, 4, 10_000):  # small tables are halved, over and over
+            matching = Matching(a, b, cells)
+            assert matching.size(a, b) == brute_size(a, b)
+            pairs = matching.aligned()
+            assert sum(1 + 0.5 * (x.key == y.key) for x, y in pairs) == brute_size(a, b)
+            order = {id(x): i for tree in (a, b) for i, x in enumerate(below(tree))}
+            assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+            places = sorted((order[id(x)], order[id(y)]) for x, y in pairs)
+            assert all(p[1] < q[1] for p, q in zip(places, places[1:]))  # in order of the page
+
+
 def test_long_lists_are_matched_in_order():
-    xs = wrapper._tree(wrapper._prepared("<div>" + "".join(f"<p>x{i}</p>" for i in range(40)) + "<p>end</p></div>"))
-    page = wrapper._prepared("<div>" + "".join(f"<p>y{i}</p>" for i in range(55)) + "<p>end</p></div>")
-    pairs = wrapper._Matching().aligned(xs, page)
-    same = [(x, y) for x, y in pairs if x[1] == y.key]
-    assert len(pairs) == 43 and len(same) == 1
+    xs = wrapper._twigs(wrapper._prepared("<div>" + "".join(f"<p>x{i}</p>" for i in range(400)) + "<p>end</p></div>"))
+    page = wrapper._twigs(wrapper._prepared("<div>" + "".join(f"<p>y{i}</p>" for i in range(550)) + "<p>end</p></div>"))
+    pairs = Matching(xs, page).aligned()
+    assert len(pairs) == 403 and sum(x.key == y.key for x, y in pairs) == 1
     assert parse("<p>a").kids[0].tag == "p"
 
 
+def test_structure_decides_where_names_say_nothing(spark):
+    """Class names are nonsense, there is no article element, and all texts vary."""
+    rng = random.Random(9)
+    words = "river stone cloud letter window garden market bridge winter silver".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], {}
+    for n in range(30):
+        menu = "".join(f"<li><a href='/{k}'>{text(2)}</a></li>" for k in range(5))
+        body = [text(6), *[text(rng.randrange(30, 60)) for _ in range(rng.randrange(2, 7))]]
+        story = f"<h2>{body[0]}</h2>" + "".join(f"<p>{p}</p>" for p in body[1:])
+        more = "".join(f"<li><a href='/m{k}'>{text(3)}</a></li>" for k in range(3))
+        rows.append((n, f"https://z.example/{n}", f"<body><div class=qx1><ul>{menu}</ul></div><div class=qx2>{text(5)}</div><div class=qx3>{story}<ul class=qx4>{more}</ul></div><div class=qx5><p>{text(4)}</p></div></body>", "h", "t"))
+        want[n] = "\n".join(body)
+    assert run(spark, rows) == want
+
+
+def test_template_elements_are_found(spark):
+    page = "<body><nav><ul><li><a>m{n}</a></ul></nav><div class=ad>b{n}</div><article><h1>T{n}</h1><p>Words of {n}.</p></article><footer>f{n}</footer></body>"
+    frame = spark.createDataFrame([(n if n else None, f"https://a.example/{n}", page.format(n=n)) for n in range(3)], "page_id long, url string, html string")
+    out = wrapper.extract_articles(frame).collect()
+    assert all(r["n_template"] >= 6 for r in out)
+    assert sorted((str(r["id"]), r["text"]) for r in out) == [("1", "T1\nWords of 1."), ("2", "T2\nWords of 2."), ("None", "T0\nWords of 0.")]
+
+
+def test_a_section_named_like_noise_stays_if_it_is_of_the_article(spark):
+    page = "<article><h1>A paper</h1><section class='discussion'><p>What the results mean, at length.</p></section><div id='related'><p>Work that is related, at some length, with more to say.</p></div><div class='comments'><p>A reader says so much that it is most of the page, " + "again " * 30 + "</p></div></article>"
+    assert run(spark, [(1, "https://a.example/", page, "h", "t")])[1] == "A paper\nWhat the results mean, at length.\nWork that is related, at some length, with more to say."
+
+
+def test_a_very_long_page(spark):
+    page = "<body><article>" + "<p>w <b>{n}</b> {n}</p>" * 3_000 + "<h2>{n}</h2>" + "<p>w {n}</p>" * 900 + "</article></body>"
+    got = run(spark, [(n, f"https://a.example/{n}", page.replace("{n}", str(n)).replace("<h2>", "<h2>" * (1 + n % 2)), "h", "t") for n in range(3)])
+    assert all(len(got[n]) == 3_000 * 6 + 2 + 900 * 4 - 1 for n in range(3))
+
+
 def test_each_layout_of_a_host_has_its_template(spark):
     menu = "<div class='top'><p>Home of all the best things to read, to hear and to see</p><p>Another constant line of the layout, long enough</p></div>"
     one = "<body>{menu}<div class='story'><p>Short {n}.</p></div></body>"
