@@ -19,6 +19,8 @@ import numpy as np
 
 #: Cells of the table of two lists that are held at once.
 MOST_CELLS = 2_000_000
+#: Up to so many cells a plain loop is faster.
+FEW_CELLS = 1_024
 #: The key of elements without text.
 EMPTY = 1
 
@@ -58,21 +60,30 @@ def below(tree: Twig) -> list[Twig]:
 class _Weights:
     """What pairs of two lists weigh, by the kinds of their elements."""
 
-    def __init__(self, matching: Matching, xs: list[Twig], ys: list[Twig], x_kinds: np.ndarray, y_kinds: np.ndarray) -> None:
+    def __init__(self, matching: Matching, xs: list[Twig], ys: list[Twig], x_kinds: list[int], y_kinds: list[int]) -> None:
         self.matching, self.xs, self.ys, self.x_kinds, self.y_kinds = matching, xs, ys, x_kinds, y_kinds
-        self.known: dict[int, np.ndarray] = {}
+        self.known: dict[int, list[float]] = {}
+        self.wide: dict[int, np.ndarray] = {}
+        self.columns: np.ndarray | None = None
 
     def row(self, i: int) -> np.ndarray:
         """Of the i-th of the first list with all of the second."""
-        return self.known_row(i)[self.y_kinds]
-
-    def known_row(self, i: int) -> np.ndarray:
+        kind = self.x_kinds[i]
+        if kind not in self.wide:
+            if self.columns is None:
+                self.columns = np.array(self.y_kinds)
+            if len(self.wide) * len(self.y_kinds) > MOST_CELLS:
+                self.wide.clear()
+            self.wide[kind] = np.array(self.known_row(i))[self.columns]
+        return self.wide[kind]
+
+    def known_row(self, i: int) -> list[float]:
         """Of the i-th of the first list with each kind of the second."""
-        kind = int(self.x_kinds[i])
+        kind = self.x_kinds[i]
         if kind not in self.known:
             if len(self.known) * len(self.ys) > MOST_CELLS:
                 self.known.clear()
-            self.known[kind] = np.array([self.matching.size(self.xs[kind], y) for y in self.ys])
+            self.known[kind] = [self.matching.size(self.xs[kind], y) for y in self.ys]
         return self.known[kind]
 
     def sums(self, i: range, j: slice) -> Iterator[np.ndarray]:
@@ -86,19 +97,47 @@ class _Weights:
     def alike(self) -> bool:
         return len(self.xs) == 1 and len(self.ys) == 1
 
-    def best(self) -> float:
+    def few(self) -> tuple[float, list[tuple[int, int]]]:
+        """The best sum and its pairs, from the whole table; last pairs first."""
         n, m = len(self.x_kinds), len(self.y_kinds)
         if self.alike():
-            return float(self.row(0)[0]) * min(n, m)
+            w = float(self.known_row(0)[0])
+            return w * min(n, m), [(n - 1 - k, m - 1 - k) for k in range(min(n, m))] if w else []
+        weights = [self.known_row(i) for i in range(n)]
+        kinds = self.y_kinds
+        row = [0.0] * (m + 1)
+        best = [row]
+        for known in weights:
+            above, row, left = row, [0.0], 0.0
+            for j in range(m):
+                here = above[j] + known[kinds[j]]
+                if above[j + 1] > here:
+                    here = above[j + 1]
+                if left > here:
+                    here = left
+                row.append(here)
+                left = here
+            best.append(row)
+        pairs, i, j = [], n, m
+        while i and j:
+            w = weights[i - 1][kinds[j - 1]]
+            if w and best[i][j] == best[i - 1][j - 1] + w:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return best[n][m], pairs
+
+    def best(self) -> float:
+        n, m = len(self.x_kinds), len(self.y_kinds)
         for row in self.sums(range(n), slice(0, m)):
             pass
         return float(row[-1])
 
     def paired(self, most_cells: int) -> list[tuple[int, int]]:
-        n, m = len(self.x_kinds), len(self.y_kinds)
-        if self.alike():
-            return [(n - 1 - k, m - 1 - k) for k in range(min(n, m))] if self.row(0)[0] else []
-        out, work = [], [(0, n, 0, m)]
+        out, work = [], [(0, len(self.x_kinds), 0, len(self.y_kinds))]
         while work:
             x0, x1, y0, y1 = work.pop()
             if x0 == x1 or y0 == y1:
@@ -137,6 +176,7 @@ class Matching:
             for x in reversed(tree):
                 x.kind = hash((x.shape, x.key if x.key in common else 0, *[k.kind for k in x.kids]))
         self.sizes: dict[tuple[int, int], float] = {}
+        self.pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}  # of children, for kinds of elements with short lists
         self.root = (a, b)
 
     def size(self, a: Twig, b: Twig) -> float:
@@ -146,7 +186,7 @@ class Matching:
         known = (a.kind, b.kind)
         found = self.sizes.get(known)
         if found is None:
-            found = 1.0 + (0.5 if a.key == b.key else 0.0) + (self._best(a.kids, b.kids) if a.kids and b.kids else 0.0)
+            found = 1.0 + (0.5 if a.key == b.key else 0.0) + (self._best(a.kids, b.kids, known) if a.kids and b.kids else 0.0)
             self.sizes[known] = found
         return found
 
@@ -156,12 +196,13 @@ class Matching:
         for side in (xs, ys):
             kinds: dict[int, int] = {}
             first: list[Twig] = []
-            place = np.empty(len(side), dtype=np.int64)
-            for i, x in enumerate(side):
-                if x.kind not in kinds:
-                    kinds[x.kind] = len(first)
+            place: list[int] = []
+            for x in side:
+                kind = kinds.get(x.kind)
+                if kind is None:
+                    kind = kinds[x.kind] = len(first)
                     first.append(x)
-                place[i] = kinds[x.kind]
+                place.append(kind)
             firsts.append(first)
             places.append(place)
         return _Weights(self, *firsts, *places)
@@ -178,21 +219,29 @@ class Matching:
             tail += 1
         return head, tail
 
-    def _best(self, xs: list[Twig], ys: list[Twig]) -> float:
+    def _best(self, xs: list[Twig], ys: list[Twig], known: tuple[int, int]) -> float:
         head, tail = self._ends(xs, ys)
         ended = sum([1.5 * x.weight for x in [*xs[:head], *xs[len(xs) - tail :]]])
         xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
         if not xs or not ys:
             return ended
-        return ended + self._weights(xs, ys).best()
-
-    def _paired(self, xs: list[Twig], ys: list[Twig]) -> list[tuple[Twig, Twig]]:
-        """The pairs of the best matching in order of two child lists."""
+        weights = self._weights(xs, ys)
+        if weights.alike() or len(xs) * len(ys) <= FEW_CELLS:
+            best, pairs = weights.few()
+            self.pairs[known] = pairs
+        else:
+            best = weights.best()
+        return ended + best
+
+    def _paired(self, a: Twig, b: Twig) -> list[tuple[Twig, Twig]]:
+        """The pairs of the best matching in order of two elements' children."""
+        xs, ys = a.kids, b.kids
         head, tail = self._ends(xs, ys)
         out = [*zip(xs[:head], ys[:head]), *zip(xs[len(xs) - tail :], ys[len(ys) - tail :])]
         xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
         if xs and ys:
-            out += [(xs[i], ys[j]) for i, j in self._weights(xs, ys).paired(self.most_cells)]
+            pairs = self.pairs.get((a.kind, b.kind))
+            out += [(xs[i], ys[j]) for i, j in (self._weights(xs, ys).paired(self.most_cells) if pairs is None else pairs)]
         return out
 
     def aligned(self) -> list[tuple[Twig, Twig]]:
@@ -202,5 +251,5 @@ class Matching:
             x, y = stack.pop()
             out.append((x, y))
             if x.kids and y.kids:
-                stack += self._paired(x.kids, y.kids)
+                stack += self._paired(x, y)
         return out

@@ -31,7 +31,7 @@ _PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("hidden", "holds", "key", "kids", "label", "names", "role", "tag", "unwanted")
+    __slots__ = ("chars", "hidden", "holds", "key", "kids", "label", "linked", "names", "role", "tag", "unwanted")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag = tag
@@ -39,7 +39,8 @@ class Node:
         self.names: frozenset[str] = frozenset()
         self.role = ""
         self.label = tag
-        self.key = 0
+        self.key = 0  # these three: see measure()
+        self.chars = self.linked = 0
         self.hidden = False
         self.unwanted = False  # by its names
         self.holds = False  # what the page is about: see keep()
@@ -194,15 +195,16 @@ def keep(root: Node) -> None:
     nodes = _elements(root)
     if not any(n.hidden or n.unwanted or n.tag == "form" for n in nodes):
         return
-    sizes = _shown(root)
     above = {id(k): n for n in nodes for k in n.kids if isinstance(k, Node)}
     for tag in ("article", "main"):
         says = [n for n in nodes if (n.tag == tag or {"article": "articlebody", "main": "main"}[tag] in n.role.split()) and "comment" not in n.names]
         if says:
-            inner = max(says, key=lambda n: sizes[id(n)])
+            sizes = _shown(root) if len(says) > 1 else {}
+            inner = max(says, key=lambda n: sizes.get(id(n), 0))
             while (inner := above.get(id(inner))) is not None:
                 inner.holds = True
             return
+    sizes = _shown(root)
     for n in nodes:
         n.holds = 2 * sizes[id(n)] > sizes[id(root)]
 
@@ -251,12 +253,22 @@ def main_part(root: Node, skip: frozenset[int] = frozenset()) -> list[Node]:
     return []
 
 
-def text_key(node: Node) -> int:
-    """A checksum of an element's whole text, white space aside; set on every element below, too."""
+def measure(node: Node) -> None:
+    """Set, on every element: a checksum of its whole text, white space aside, and the characters of its text and of that in links.
+
+    Text of elements that are never main text has a checksum, but no characters.
+    """
     for n in reversed(_elements(node)):
-        key = 1
+        key, chars, linked = 1, 0, 0
         for kid in n.kids:
-            part = zlib.crc32(spaced(kid).encode()) if isinstance(kid, str) and kid.strip() else kid.key if isinstance(kid, Node) else 0
-            key = zlib.crc32(part.to_bytes(4, "big"), key) if part else key
+            if isinstance(kid, str):
+                plain = " ".join(kid.split())
+                if plain:
+                    key = zlib.crc32(zlib.crc32(plain.encode()).to_bytes(4, "big"), key)
+                    chars += len(plain)
+            else:
+                key = zlib.crc32(kid.key.to_bytes(4, "big"), key) if kid.key != 1 else key
+                chars += kid.chars
+                linked += kid.linked
         n.key = key
-    return node.key
+        n.chars, n.linked = (0, 0) if n.tag in DROPPED else (chars, chars if n.tag == "a" else linked)

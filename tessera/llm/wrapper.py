@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import Matching, Twig, below
-from .dom import BLOCKS, DROPPED, Node, blocks, keep, keep_large, main_part, parse, text_key
+from .dom import BLOCKS, Node, blocks, keep, keep_large, main_part, measure, parse
 
 #: Least articles whose pages match an element, and the least share of them with its text, for a constant.
 LEAST_PAGES = 3
@@ -136,27 +136,10 @@ def _article_key(root: Node) -> int:
 def _prepared(page: str | None) -> Node:
     root = parse(page or "")
     keep(root)
-    text_key(root)
+    measure(root)
     return root
 
 
-def _sizes(root: Node) -> dict[int, tuple[int, int]]:
-    """Of each element, by id: characters of its text, and of that in links; none in elements that are never main text."""
-    order: list[tuple[Node, bool]] = [(root, False)]
-    for node, linked in order:
-        linked = linked or node.tag == "a"
-        order += [(k, linked) for k in node.kids if isinstance(k, Node)]
-    sizes: dict[int, tuple[int, int]] = {}
-    for node, linked in reversed(order):
-        if node.tag in DROPPED:
-            sizes[id(node)] = 0, 0
-            continue
-        own = sum([len(k.strip()) for k in node.kids if isinstance(k, str)])
-        inner = [sizes[id(k)] for k in node.kids if isinstance(k, Node)]
-        sizes[id(node)] = own + sum([x for x, _ in inner]), (own if linked or node.tag == "a" else 0) + sum([x for _, x in inner])
-    return sizes
-
-
 def host_of(url: str) -> F.Column:
     found = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     return F.lower(F.coalesce(found, F.lit("")))
@@ -204,8 +187,7 @@ def _matches(pages: DataFrame) -> DataFrame:
                 own = _article_key(root)
                 if own == article or (site.as_py(), own) in found:
                     continue
-                sizes = _sizes(root)
-                facts = [(x.stands_for, x.key == y.key, *sizes[id(y.stands_for)]) for x, y in Matching(reference, _twigs(root)).aligned()]
+                facts = [(x.stands_for, x.key == y.key, y.stands_for.chars, y.stands_for.linked) for x, y in Matching(reference, _twigs(root)).aligned()]
                 found[site.as_py(), own] = np.array(sorted(facts), dtype=np.int32).tobytes()
             columns = list(zip(*((*k, v) for k, v in found.items()))) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()))], ["site", "article", "nodes"])
@@ -307,11 +289,9 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
                 chosen, n = None, 0
                 if content.is_valid:
                     out, known = set(skipped.as_py()), set(template.as_py())
-                    by_links = _sizes(root)
                     left_out = []
                     for x, y in Matching(_reference(tree.as_py())[0], _twigs(root)).aligned():
-                        chars, links = by_links[id(y.stands_for)]
-                        if x.stands_for in out and (x.key == y.key or links > LINK_SHARE * chars):
+                        if x.stands_for in out and (x.key == y.key or y.stands_for.linked > LINK_SHARE * y.stands_for.chars):
                             left_out.append(id(y.stands_for))
                         n += x.stands_for in known
                         chosen = y.stands_for if x.stands_for == content.as_py() else chosen
