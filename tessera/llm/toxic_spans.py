@@ -1,32 +1,36 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Labels are of whole documents, so tokens are labelled from them: word forms and word beginnings
-that stand in labelled toxic documents far more often than chance has it, and hardly in clean
-ones, mark toxic tokens of toxic documents; all tokens of clean documents are clean. The field
-has two tags, an observation for each strength of a token's evidence (its form or its beginning,
-in steps of log odds) and a transition for each pair of tags. It is fitted by gradient ascent of
-the likelihood on windows of labelled tokens, with forward-backward marginals.
-
-Scoring runs forward-backward over every whole text. Tokens without evidence are alike, so runs
-of them are steps by a power of one matrix, and the marginals come out exactly. A document's
-score is the chance that at least one token with evidence is toxic, were they independent; its
-spans are the neighbouring tokens whose marginal is at least a half, with code point offsets.
+The field has two tags, clean and toxic. Whether a token is toxic depends on its form, its
+beginnings and endings, its shape next to the shape of the token before it, the forms on either
+side, and on the tag before it; all weights are learned. Labels are of whole documents, so token
+labels are soft: in a clean document all tokens are clean, in a toxic one at least one isn't, and
+each has the chance that the field itself gives it. That is the likelihood of the document's
+label, and its gradient needs nothing but forward-backward marginals; it is climbed by L-BFGS
+with a quadratic prior. A share of labels (NOISE) is taken to be wrong. Copies of a document,
+exact or near (by min-hash bands of its shingles), share the weight of one, and features that
+come in fewer than LEAST_DOCUMENTS different documents are left out.
+
+Scoring runs forward-backward over every whole text, all texts of a piece at once. A document's
+score is the chance that at least one of its tokens is toxic, which is one less the product of
+the chances that each token is clean, given that all before it are; its spans are neighbouring
+tokens whose marginal is at least a half, with code point offsets.
 
 The model is fitted on a bounded sample of the labelled rows: the TOXIC_ROWS toxic and the
-CLEAN_ROWS clean ones that come first by a hash of the id. Bounds of the model: MOST_FEATURES
-features, WINDOWS windows of WINDOW tokens.
+CLEAN_ROWS clean ones that come first by a hash of the id, with their whole texts.
 
-Edge cases: null and empty texts have no tokens, score 0 and no spans; a null label or a label
+Edge cases: null and empty texts have no tokens, score 0 and no spans; very long texts are pieces
+of their own, scored in time and memory in proportion to their length; a null label or a label
 of no document teaches nothing; labels repeated for an id count once, as toxic if any is; a
-table without labels of either kind gives scores of 0; repeated rows are scored each; other
-columns aren't carried; an empty table gives an empty result.
+table without labels of either kind gives scores of 0; repeated rows are scored each, and alike;
+other columns aren't carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,34 +41,52 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .tokens import Words, stirred
 
-TOXIC_ROWS = 3000
-CLEAN_ROWS = 6000
-MOST_FEATURES = 4000
-WINDOW = 32
-WINDOWS = 24_000
-PREFIXES = (4, 5, 6)
-#: Evidence that a feature's share of toxic documents isn't chance: the likelihood ratio statistic.
-LEAST_EVIDENCE = 30.0
-#: Least odds that a document with the feature is toxic, against the odds of any document.
-LEAST_ODDS = 40.0
-#: Steps of the log odds: codes 1 to STEPS for forms, then as many for beginnings; 0 is no evidence.
-STEPS = 4
-CODES = 1 + 2 * STEPS
+TOXIC_ROWS = 1000
+CLEAN_ROWS = 2000
+LEAST_DOCUMENTS = 5
+#: Share of labels taken to be wrong.
+NOISE = 0.02
+#: Weight of the quadratic prior, in documents.
+PRIOR = 0.1
+STEPS = 45
+PREFIXES = (3, 4, 5, 6)
+SUFFIXES = (2, 3, 4)
 PIECE_BYTES = 4_000_000
+#: Tokens that are worked through one after the other; all such runs of a piece are worked through together.
+RUN = 256
+#: Steps between scalings, and bounds of a token's log odds: what lies between can't overflow.
+SCALED, LOWEST, HIGHEST = 8, -60.0, 30.0
 #: Copies: texts that share one of BANDS bands of ROWS least hashes of shingles of SHINGLE forms.
 SHINGLE, BANDS, ROWS = 3, 10, 6
+#: Tokens whose features a task remembers.
+REMEMBERED = 400_000
 _SEEDS = stirred(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 _FORM = re.compile(r"\w+")
+#: Shapes: case (none, lower, title, upper, other) by end (plain, sentence end, other mark); then the start of a text.
+SHAPES = 16
+START = 15
 
 
-def forms_of(token: bytes) -> list[str]:
-    """The word forms in a lower-cased token: its runs of letters, digits and underscores."""
-    return _FORM.findall(token.decode(errors="replace").lower())
+def shape_of(token: str) -> int:
+    letters = "".join(_FORM.findall(token))
+    case = 0 if not any(c.isalpha() for c in letters) else 1 if letters.islower() else 2 if letters[:1].isupper() and letters[1:].islower() else 3 if letters.isupper() else 4
+    end = 0 if token[-1:].isalnum() else 1 if token[-1:] in ".!?" else 2
+    return 3 * case + end
 
 
-def features_of(form: str) -> list[str]:
-    return [f"={form}", *[f"^{form[:n]}" for n in PREFIXES if len(form) >= n]]
+def form_of(token: str) -> str:
+    return "_".join(_FORM.findall(token.lower()))
+
+
+def features_of(token: str) -> list[str]:
+    """A token's own features: the form, beginnings and endings of each run of word characters, and its shape."""
+    out = [f"#{shape_of(token)}"]
+    for form in set(_FORM.findall(token.lower())):
+        out.append(f"={form}")
+        out += [f"^{form[:n]}" for n in PREFIXES if len(form) >= n]
+        out += [f"${form[-n:]}" for n in SUFFIXES if len(form) >= n]
+    return list(dict.fromkeys(out))
 
 
 def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
@@ -83,32 +105,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int
     return slim.join(F.broadcast(chosen), "id")  # TOXIC_ROWS + CLEAN_ROWS rows of two numbers at most
 
 
-def mine_features(train: DataFrame) -> dict[str, int]:
-    """The code of each feature that marks toxic documents, by documents that have it."""
-    sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_toxic or not n_clean:
-        return {}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                found[toxic].update({f for form in set(_FORM.findall(text.lower())) for f in features_of(form)})
-            keys = list(found[0] | found[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([found[k][f] for f in keys], pa.int64()) for k in (0, 1)]], ["feature", "clean", "toxic"])
-
-    counts = train.select("text", "toxic").mapInArrow(count, "feature string, clean long, toxic long")
-    sums = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    likely = _ranked(sums, n_toxic, n_clean).collect()
-    # Copies of one document, exact or near, are one: their words are no evidence, however often they come.
-    documents = count_documents(train.filter("toxic = 1"), [r["feature"] for r in likely])
-    seen = train.sparkSession.createDataFrame([(r["feature"], r["clean"], documents.get(r["feature"], 0)) for r in likely], sums.schema)
-    rows = _ranked(seen, n_toxic, n_clean).collect()
-    steps = {r["feature"]: min(STEPS, max(1, 1 + int(np.log2(r["odds"] / LEAST_ODDS) // 2))) for r in rows}
-    return {f: s + STEPS * f.startswith("^") for f, s in steps.items()}
-
-
 def bands_of(text: str) -> list[int]:
     """BANDS hashes of a text, each of ROWS least hashes of its shingles: copies share some, texts with one phrase in common none."""
     forms = _FORM.findall(text.lower())
@@ -119,7 +115,7 @@ def bands_of(text: str) -> list[int]:
 
 
 def copy_groups(train: DataFrame) -> dict[int, int]:
-    """The group of copies of each text of the sample (TOXIC_ROWS ids at most), by the text's hash; texts that share a band are copies."""
+    """The group of copies of each text of the sample (TOXIC_ROWS + CLEAN_ROWS rows at most), by the text's hash; texts that share a band are copies."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,202 +144,266 @@ def _text_key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) >> 1
 
 
-def count_documents(train: DataFrame, features: list[str]) -> dict[str, int]:
-    """For each of the features (MOST_FEATURES at most), the documents that have it; copies count as one."""
-    wanted, groups = frozenset(features), copy_groups(train)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = set()
-            for text in batch.column("text").to_pylist():
-                group = groups[_text_key(text)]
-                found.update((f, group) for form in set(_FORM.findall(text.lower())) for f in features_of(form) if f in wanted)
-            columns = list(zip(*found)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64()))], ["feature", "document"])
-
-    pairs = train.select("text").mapInArrow(cut, "feature string, document long").distinct()
-    return {r["feature"]: r["count"] for r in pairs.groupBy("feature").count().collect()}
-
-
-def _ranked(sums: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
-    """``sums(feature, clean, toxic)`` that pass the bounds, with their evidence and odds; MOST_FEATURES at most."""
-    share = n_toxic / (n_toxic + n_clean)
-    both = F.col("clean") + F.col("toxic")
-    part = lambda x, p: F.when(x > 0, x * F.log(x / (both * p))).otherwise(0.0)
-    evidence = 2 * (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share))
-    odds = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * (n_clean / n_toxic)
-    ranked = sums.withColumns({"evidence": evidence, "odds": odds}).filter((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") >= LEAST_ODDS))
-    return ranked.orderBy(F.desc("evidence"), "feature").limit(MOST_FEATURES)
-
-
-class Coder:
-    """The evidence code of each token."""
-
-    def __init__(self, codes: dict[str, int]) -> None:
-        self.codes = codes
-        self.known: dict[bytes, int] = {}
-
-    def of(self, token: bytes) -> int:
-        found = [self.codes[f] for form in forms_of(token) for f in features_of(form) if f in self.codes]
-        return max(found, key=lambda c: ((c - 1) % STEPS, -c)) if found else 0
-
-    def all(self, words: Words) -> np.ndarray:
-        return np.fromiter(map(self.of, words.distinct), dtype=np.int64, count=len(words.distinct))
-
-
-class Chain:
-    """A linear-chain field of two tags: ``observed[code]`` favours tag 1, ``moves[tag, next tag]``."""
-
-    def __init__(self) -> None:
-        self.observed = np.zeros(CODES)
-        self.observed[0] = -6.0
-        self.moves = np.zeros((2, 2))
-
-    def _factors(self, codes: np.ndarray) -> np.ndarray:
-        return np.stack([np.ones(codes.shape), np.exp(np.clip(self.observed[codes], -30, 30))], axis=-1)
-
-    def fit(self, codes: np.ndarray, tags: np.ndarray, steps: int = 150, rate: float = 0.3, prior: float = 0.5) -> Chain:
-        """Gradient ascent (Adam) on windows: ``codes`` and ``tags`` are [window, token]."""
-        m, v = [np.zeros(CODES), np.zeros((2, 2))], [np.zeros(CODES), np.zeros((2, 2))]
-        true_obs = np.bincount(codes.ravel(), weights=tags.ravel(), minlength=CODES)
-        true_moves = np.zeros((2, 2))
-        np.add.at(true_moves, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
-        for step in range(1, steps + 1):
-            marginal, pairs = self._expected(codes)
-            gradients = [true_obs - np.bincount(codes.ravel(), weights=marginal.ravel(), minlength=CODES) - prior * self.observed, true_moves - pairs - prior * self.moves]
-            for i, (parameter, gradient) in enumerate(zip((self.observed, self.moves), gradients)):
-                gradient = gradient / len(codes)
-                m[i] = 0.9 * m[i] + 0.1 * gradient
-                v[i] = 0.99 * v[i] + 0.01 * gradient**2
-                parameter += rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
+class Marginals(NamedTuple):
+    toxic: np.ndarray  # of each token, the chance of tag 1
+    moves: np.ndarray  # of each token, the chances of tags [0, 1] and [1, 1] of the token before and of this one
+    log_z: np.ndarray  # of each token, its part of the logarithm of the text's partition sum
+
+
+def forward_backward(log_odds: np.ndarray, first: np.ndarray, moves: np.ndarray) -> Marginals:
+    """Exact marginals of texts in turn: ``log_odds`` of tag 1 for each token, ``first`` marks the first token of each text.
+
+    ``moves`` [tag before, tag] are logarithms; tag 0 all along weighs 1, and texts begin after a tag 0. The tokens are
+    cut into runs of RUN. The 2 x 2 products over runs are made for all runs at once, a token of each at a time;
+    they give the vectors at the ends of runs, and these all vectors within.
+    """
+    n = len(log_odds)
+    runs = max(1, -(-n // RUN))
+    x = np.zeros(runs * RUN)
+    x[:n] = np.exp(np.clip(log_odds, LOWEST, HIGHEST))
+    begins = np.ones(runs * RUN, dtype=bool)
+    begins[:n] = first
+    x, begins = np.ascontiguousarray(x.reshape(runs, RUN).T), np.ascontiguousarray(begins.reshape(runs, RUN).T)
+    (_, m01), (m10, m11) = np.exp(moves)
+    t01 = m01 * x
+    t10 = np.where(begins, 1.0, m10)
+    t11 = np.where(begins, t01, m11 * x)
+    # Products over runs.
+    a, b, c, d = np.ones(runs), np.zeros(runs), np.zeros(runs), np.ones(runs)
+    for s in range(RUN):
+        a, b, c, d = a + b * t10[s], a * t01[s] + b * t11[s], c + d * t10[s], c * t01[s] + d * t11[s]
+        if s % SCALED == SCALED - 1:
+            size = a + b + c + d
+            a, b, c, d = a / size, b / size, c / size, d / size
+    into, out = np.empty((runs, 2)), np.empty((runs, 2))
+    u, v = 1.0, 0.0
+    rows = list(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist()))
+    for i, (p, q, r, w) in enumerate(rows):
+        into[i] = u, v
+        u, v = u * p + v * r, u * q + v * w
+        u, v = u / (u + v), v / (u + v)
+    u, v = 1.0, 1.0
+    for i in range(runs - 1, -1, -1):
+        out[i] = u, v
+        p, q, r, w = rows[i]
+        u, v = p * u + q * v, r * u + w * v
+        u, v = u / (u + v), v / (u + v)
+    # Forward vectors: the chance of tag 1 given the tokens so far.
+    forward, before, extra = np.empty_like(x), np.empty_like(x), np.empty_like(x)
+    one = into[:, 1].copy()
+    for s in range(RUN):
+        before[s] = one
+        zero = 1.0 - one
+        ones = zero * t01[s] + one * t11[s]
+        extra[s] = ones + one * (t10[s] - 1.0)
+        one = ones / (1.0 + extra[s])
+        forward[s] = one
+    # Backward vectors, as the share of tag 1 in their sum.
+    toxic, joint01, joint11 = np.empty_like(x), np.empty_like(x), np.empty_like(x)
+    back = out[:, 1] / out.sum(1)
+    for s in range(RUN - 1, -1, -1):
+        clean = 1.0 - back
+        hot = forward[s] * back
+        toxic[s] = hot / (hot + (1.0 - forward[s]) * clean)
+        from0, from1 = clean + t01[s] * back, t10[s] * clean + t11[s] * back
+        total = (1.0 - before[s]) * from0 + before[s] * from1
+        joint01[s] = (1.0 - before[s]) * t01[s] * back / total
+        joint11[s] = before[s] * t11[s] * back / total
+        back = from1 / (from0 + from1)
+    flat = lambda y: y.T.reshape(-1)[:n]
+    start = flat(begins)
+    both0, both1 = flat(joint01), flat(joint11)
+    # After the end of a text, tag 1 counts as tag 0.
+    joint = np.stack([np.where(start, both0 + both1, both0), np.where(start, 0.0, both1)])
+    return Marginals(flat(toxic), joint, np.log1p(flat(extra)))
+
+
+class Tokens:
+    """Texts as tokens of known features: ``own`` features of each distinct token, and one of it as a neighbour."""
+
+    def __init__(self, texts: list[bytes | None], look_up: Callable[[bytes], tuple[list[int], int, int, int]]) -> None:
+        words = Words(texts)
+        looked = [look_up(w) for w in words.distinct]
+        self.words = words
+        self.sizes = np.array([len(x[0]) for x in looked], dtype=np.int64)
+        self.own = np.fromiter((f for x in looked for f in x[0]), dtype=np.int64)
+        left, right, shape = (np.array([x[i] for x in looked], dtype=np.int64) for i in (1, 2, 3))
+        n = len(words.codes)
+        self.first = np.zeros(n, dtype=bool)
+        self.first[words.starts[words.counts > 0]] = True
+        self.left, self.right, self.pair = np.full(n, -1), np.full(n, -1), np.full(n, START * SHAPES)
+        if n:
+            codes, inner = words.codes, ~self.first[1:]
+            self.left[1:][inner] = left[codes[:-1]][inner]
+            self.right[:-1][inner] = right[codes[1:]][inner]
+            self.pair[1:][inner] = shape[codes[:-1]][inner] * SHAPES
+            self.pair += shape[codes]
+
+    def per_text(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.words.doc_of(), weights=x, minlength=len(self.words.counts))
+
+
+class Field:
+    """A linear-chain field of two tags: the weight of each feature, of pairs of shapes, of tag 1 as such, and of moves.
+
+    Moves from tag 0 to 0 and from 1 to 0 weigh 0: any other weights say the same.
+    """
+
+    def __init__(self, features: dict[str, int]) -> None:
+        self.features = features
+        self.n = len(features)
+        self.weights = np.zeros(self.n + SHAPES * SHAPES + 4)  # then: tag 1, moves [0, 1], [1, 0], [1, 1]
+        self.weights[-4] = -7.0
+        self._known: dict[bytes, tuple[list[int], int, int, int]] = {}
+
+    def look_up(self, word: bytes) -> tuple[list[int], int, int, int]:
+        """Numbers of a token's features, of it as the token before and as the token after another, and its shape."""
+        found = self._known.get(word)
+        if found is None:
+            token = word.decode(errors="replace")
+            form, get = form_of(token), self.features.get
+            found = ([k for f in features_of(token) if (k := get(f)) is not None], get(f"<{form}", -1), get(f">{form}", -1), shape_of(token))
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            self._known[word] = found
+        return found
+
+    def run(self, tokens: Tokens, weights: np.ndarray | None = None) -> Marginals:
+        w = self.weights if weights is None else weights
+        flat = np.append(w[: self.n], 0.0)  # number -1: no feature
+        own = np.zeros(len(tokens.sizes))
+        if len(tokens.own):
+            some = tokens.sizes > 0
+            own[some] = np.add.reduceat(flat[tokens.own], (np.cumsum(tokens.sizes) - tokens.sizes)[some])
+        e = w[-4] + own[tokens.words.codes] + flat[tokens.left] + flat[tokens.right] + w[self.n : self.n + SHAPES * SHAPES][tokens.pair]
+        return forward_backward(e, tokens.first, np.array([[0.0, w[-3]], [w[-2], w[-1]]]))
+
+    def fit(self, tokens: Tokens, toxic: np.ndarray, shares: np.ndarray, steps: int = STEPS) -> Field:
+        """Climb the likelihood of documents' labels; ``shares``: what each document counts."""
+        docs = tokens.words.doc_of()
+        type_of = np.repeat(np.arange(len(tokens.sizes)), tokens.sizes)
+
+        def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+            m = self.run(tokens, w)
+            clean = np.exp(-tokens.per_text(m.log_z))
+            says = NOISE + (1 - 2 * NOISE) * np.where(toxic == 1, 1 - clean, clean)
+            pull = shares * (1 - 2 * NOISE) * clean / says * np.where(toxic == 1, 1.0, -1.0)
+            each = pull[docs] * m.toxic
+            by_type = np.bincount(tokens.words.codes, weights=each, minlength=len(tokens.sizes))
+            g = np.zeros(len(w))
+            g[: self.n] = np.bincount(tokens.own, weights=by_type[type_of], minlength=self.n)[: self.n]
+            for side in (tokens.left, tokens.right):
+                g[: self.n] += np.bincount(side + 1, weights=each, minlength=self.n + 1)[1 : self.n + 1]
+            g[self.n : self.n + SHAPES * SHAPES] = np.bincount(tokens.pair, weights=each, minlength=SHAPES * SHAPES)
+            g[-4], g[-3], g[-1] = each.sum(), (pull[docs] * m.moves[0]).sum(), (pull[docs] * m.moves[1]).sum()
+            held = w.copy()
+            held[-4] += 7.0
+            return PRIOR / 2 * float(held @ held) - float((shares * np.log(says)).sum()), PRIOR * held - g
+
+        self.weights = climbed(loss, self.weights, steps)
         return self
 
-    def _expected(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of tag 1 at each token, and expected transitions over all windows."""
-        factors, moves = self._factors(codes), np.exp(self.moves)
-        n, length = codes.shape
-        forward, backward = np.empty((length, n, 2)), np.ones((length, n, 2))
-        forward[0] = factors[:, 0]
-        for t in range(1, length):
-            x = (forward[t - 1] @ moves) * factors[:, t]
-            forward[t] = x / x.sum(1, keepdims=True)
-        for t in range(length - 2, -1, -1):
-            x = (backward[t + 1] * factors[:, t + 1]) @ moves.T
-            backward[t] = x / x.sum(1, keepdims=True)
-        both = forward * backward
-        marginal = (both[..., 1] / both.sum(-1)).T
-        pairs = np.zeros((2, 2))
-        for t in range(1, length):
-            joint = forward[t - 1][:, :, None] * moves[None] * (factors[:, t] * backward[t])[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-        return marginal, pairs
-
-    def marginals(self, codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-        """Of a text of ``length`` tokens with evidence ``codes`` at places ``at``: their chances of tag 1."""
-        moves = np.exp(self.moves)
-        quiet = np.exp(np.clip(self.observed[0], -30, 30))
-        step = moves * np.array([1.0, quiet])  # a move and a token without evidence
-        factors = self._factors(codes)
-        last = len(at) - 1
-        forward, backward = np.empty((len(at), 2)), np.empty((len(at), 2))
-        x = np.array([1.0, quiet]) @ _power(step, int(at[0]) - 1) @ moves if at[0] else np.ones(2)
-        for i in range(len(at)):
-            if i:
-                x = forward[i - 1] @ _power(step, int(at[i] - at[i - 1]) - 1) @ moves
-            x = x * factors[i]
-            forward[i] = x / x.sum()
-        x = np.ones(2)
-        for i in range(last, -1, -1):
-            gap = int((at[i + 1] if i < last else length) - at[i]) - 1
-            x = _power(step, gap) @ (moves @ (factors[i + 1] * backward[i + 1]) if i < last else x)
-            backward[i] = x = x / x.sum()
-        both = forward * backward
-        return both[:, 1] / both.sum(1)
-
-
-def _power(matrix: np.ndarray, n: int) -> np.ndarray:
-    """``matrix`` to the n-th power, up to a factor."""
-    out = np.eye(2)
-    while n > 0:
-        if n & 1:
-            out = out @ matrix
-            out = out / out.sum()
-        matrix = matrix @ matrix
-        matrix = matrix / matrix.sum()
-        n >>= 1
-    return out
-
-
-def training_windows(train: DataFrame, codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and tags of WINDOWS windows at most, drawn alike from the sample: around evidence, and anywhere."""
-    coder = Coder(codes)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows, toxics = [], [], []
-            for number, text, toxic in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = Words([text.encode()], lower=True)
-                own = coder.all(words)[words.codes] if len(words.codes) else words.codes
-                places = {int(p) // WINDOW for p in np.flatnonzero(own)} | {number % max(1, len(own) // WINDOW)}
-                for p in sorted(places):
-                    window = np.zeros(WINDOW, dtype=np.uint8)
-                    part = own[p * WINDOW : (p + 1) * WINDOW]
-                    window[: len(part)] = part
-                    ids.append(number)
-                    rows.append(window.tobytes())
-                    toxics.append(toxic)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary()), pa.array(toxics, pa.int32())], ["id", "codes", "toxic"])
-
-    windows = train.select("id", "text", "toxic").mapInArrow(cut, "id long, codes binary, toxic int")
-    rows = windows.orderBy(F.xxhash64("id", "codes"), "id", "codes").limit(WINDOWS).collect()
-    seen = np.array([list(r["codes"]) for r in rows], dtype=np.int64).reshape(-1, WINDOW)
-    return seen, (seen > 0) * np.array([r["toxic"] for r in rows], dtype=np.int64).reshape(-1, 1)
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], Chain]:
-    train = checkpointed(training_rows(docs, labels))
-    codes = mine_features(train)
-    if not codes:
-        return {}, Chain()
-    return codes, Chain().fit(*training_windows(train, codes))
-
 
-def _spans(text: bytes, at: np.ndarray, marginals: np.ndarray, least: float = 0.5) -> list[tuple[int, int, float]]:
+def climbed(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """L-BFGS with halved steps: the weights of a low ``loss`` (value and gradient)."""
+    value, g = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, held = g.copy(), []
+        for s, y in reversed(past):
+            a = (s @ q) / (s @ y)
+            q -= a * y
+            held.append(a)
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1.0 / max(1.0, float(np.linalg.norm(g)))
+        for (s, y), a in zip(past, reversed(held)):
+            q += (a - (y @ q) / (s @ y)) * s
+        rate, slope = 1.0, float(g @ q)
+        while rate > 1e-6:
+            new, new_g = loss(w - rate * q)
+            if new <= value - 1e-4 * rate * slope:
+                break
+            rate /= 2
+        else:
+            break
+        s, y = -rate * q, new_g - g
+        done = value - new < 1e-4 * abs(value)
+        w, value, g = w + s, new, new_g
+        if s @ y > 1e-10:
+            past = [*past[1 - memory :], (s, y)]
+        if done:
+            break
+    return w
+
+
+def frequent_features(texts: list[str], groups: list[int], least: int = LEAST_DOCUMENTS) -> dict[str, int]:
+    """A number for each feature that comes in ``least`` different documents; copies are one document."""
+    seen: dict[int, set[str]] = {}
+    for text, group in zip(texts, groups):
+        seen.setdefault(group, set()).update(re.findall(r"[^\x20\x09-\x0D]+", text))
+    numbers: dict[str, int] = {}
+    known: dict[str, list[int]] = {}
+    counts: Counter = Counter()
+    for tokens in seen.values():
+        own: set[int] = set()
+        for t in tokens:
+            if t not in known:
+                form = form_of(t)
+                names = features_of(t) + ([f"<{form}", f">{form}"] if form else [])
+                known[t] = [numbers.setdefault(f, len(numbers)) for f in names]
+            own.update(known[t])
+        counts.update(own)
+    return {f: i for i, f in enumerate(sorted(f for f, k in numbers.items() if counts[k] >= least))}
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
+    """The field, or nothing where labels of a kind are missing. The sample's TOXIC_ROWS + CLEAN_ROWS texts are fitted on the driver."""
+    train = checkpointed(training_rows(docs, labels))
+    rows = sorted(train.select("id", "text", "toxic").collect(), key=lambda r: (r["id"], r["text"]))
+    if len({r["toxic"] for r in rows}) < 2:
+        return None
+    by_text = copy_groups(train)
+    groups = [by_text[_text_key(r["text"])] for r in rows]
+    size = Counter(groups)
+    field = Field(frequent_features([r["text"] for r in rows], groups))
+    tokens = Tokens([r["text"].encode() for r in rows], field.look_up)
+    field.fit(tokens, np.array([r["toxic"] for r in rows]), np.array([1 / size[g] for g in groups]))
+    field._known.clear()  # the field travels with the tasks: its weights, no more
+    return field
+
+
+def _spans(text: bytes, marginals: np.ndarray, least: float = 0.5) -> list[tuple[int, int, float]]:
     """Code point offsets of runs of toxic tokens, with the highest marginal of each."""
-    toxic = {int(p): float(m) for p, m in zip(at, marginals) if m >= least}
-    if not toxic:
+    if not (marginals >= least).any():
         return []
+    raw = np.frombuffer(text, dtype=np.uint8)
+    points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # code points before each byte
     out: list[list] = []
     last = -2
     for i, token in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", text)):
-        if i in toxic:
-            start, end = (len(text[:p].decode(errors="ignore")) for p in token.span())
+        if marginals[i] >= least:
+            start, end = int(points[token.start()]), int(points[token.end()])
             if i == last + 1:
-                out[-1][1:] = [end, max(out[-1][2], toxic[i])]
+                out[-1][1:] = [end, max(out[-1][2], float(marginals[i]))]
             else:
-                out.append([start, end, toxic[i]])
+                out.append([start, end, float(marginals[i])])
             last = i
     return [tuple(x) for x in out]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) -> DataFrame:
     """``(id, held_out, score, predicted, spans)`` of each row of ``docs``."""
-    codes, chain = fit(docs, labels)
-    coder = Coder(codes)
+    field = fit(docs, labels)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
     def score_piece(texts: list[bytes | None]) -> Iterator[tuple[float, list]]:
-        words = Words(texts, lower=True)
-        evidence = coder.all(words)[words.codes] if len(words.codes) else words.codes
-        places = np.flatnonzero(evidence)
-        first, last = np.searchsorted(places, words.starts), np.searchsorted(places, words.starts + words.counts)
-        for i, text in enumerate(texts):
-            at = places[first[i] : last[i]]
-            if not len(at):
-                yield 0.0, []
-                continue
-            marginals = chain.marginals(evidence[at], at - words.starts[i], int(words.counts[i]))
-            yield float(1 - np.prod(1 - marginals)), _spans(text or b"", at - words.starts[i], marginals)
+        if field is None:
+            yield from ((0.0, []) for _ in texts)
+            return
+        tokens = Tokens(texts, field.look_up)
+        found = field.run(tokens)
+        scores = -np.expm1(-tokens.per_text(found.log_z))
+        for text, score, at, n in zip(texts, scores.tolist(), tokens.words.starts.tolist(), tokens.words.counts.tolist()):
+            yield score, _spans(text or b"", found.toxic[at : at + n])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

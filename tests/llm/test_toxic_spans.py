@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from itertools import product
 
@@ -7,21 +8,83 @@ import numpy as np
 from tessera.llm import toxic_spans as ts
 
 
-def test_marginals_agree_with_enumeration():
+def enumerated(log_odds, moves):
+    """Chances of tag 1 at each token, and the log of the partition sum, over all tags."""
+    total, ones = 0.0, np.zeros(len(log_odds))
+    for tags in product((0, 1), repeat=len(log_odds)):
+        before, score = 0, 0.0
+        for e, t in zip(log_odds, tags):
+            score += e * t + moves[before, t]
+            before = t
+        total += np.exp(score)
+        ones += np.exp(score) * np.array(tags)
+    return ones / total, np.log(total)
+
+
+def test_marginals_agree_with_enumeration(monkeypatch):
     rng = np.random.default_rng(7)
-    for _ in range(20):
-        chain = ts.Chain()
-        chain.observed, chain.moves = rng.normal(size=ts.CODES), rng.normal(size=(2, 2))
-        codes = np.where(rng.random(9) < 0.5, rng.integers(1, ts.CODES, 9), 0)
-        codes[rng.integers(9)] = 1
-        total, ones = 0.0, np.zeros(9)
-        for tags in product((0, 1), repeat=9):
-            score = sum(chain.observed[c] * t for c, t in zip(codes, tags)) + sum(chain.moves[a, b] for a, b in zip(tags, tags[1:]))
-            total += np.exp(score)
-            ones += np.exp(score) * np.array(tags)
-        at = np.flatnonzero(codes)
-        assert np.allclose(chain.marginals(codes[at], at, 9), ones[at] / total)
-        assert np.allclose(chain._expected(codes[None])[0][0], ones / total)
+    moves = np.array([[0.0, -1.3], [0.0, 0.8]])
+    for run in (3, 4, 256):  # texts begin and end within runs, and go over several
+        monkeypatch.setattr(ts, "RUN", run)
+        texts = [rng.normal(scale=3, size=n) for n in (1, 9, 2, 7, 10, 1)]
+        first = np.concatenate([np.arange(len(t)) == 0 for t in texts])
+        found = ts.forward_backward(np.concatenate(texts), first, moves)
+        want = [enumerated(t, moves) for t in texts]
+        assert np.allclose(found.toxic, np.concatenate([ones for ones, _ in want]))
+        at = np.cumsum([0, *[len(t) for t in texts]])
+        assert np.allclose([found.log_z[a:b].sum() for a, b in zip(at, at[1:])], [z for _, z in want])
+        assert np.allclose(found.moves.sum(0), found.toxic)
+
+
+def test_long_quiet_texts_keep_small_chances():
+    found = ts.forward_backward(np.full(50_000, -20.0), np.arange(50_000) == 0, np.array([[0.0, 0.0], [0.0, 2.0]]))
+    assert np.isclose(found.log_z.sum(), 50_000 * np.exp(-20.0), rtol=1e-4)
+
+
+def test_gradient_agrees_with_differences(monkeypatch):
+    rng = random.Random(4)
+    words = "Alpha beta, gamma. delta Eps zeta! eta".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(12)]
+    field = ts.Field(ts.frequent_features(texts, list(range(12)), 2))
+    tokens = ts.Tokens([t.encode() for t in texts], field.look_up)
+    toxic, shares = np.arange(12) % 2, np.linspace(0.5, 1, 12)
+    seen = []
+    monkeypatch.setattr(ts, "climbed", lambda loss, w, steps: seen.append((loss, w)) or w)
+    field.fit(tokens, toxic, shares)
+    loss, w = seen[0]
+    w = w + np.random.default_rng(2).normal(scale=0.5, size=len(w))
+    w[-2] = 0.0
+    _, g = loss(w)
+    for i in [*range(0, len(w) - 4, 17), len(w) - 4, len(w) - 3, len(w) - 1]:
+        step = np.zeros(len(w))
+        step[i] = 1e-5
+        assert np.isclose(g[i], (loss(w + step)[0] - loss(w - step)[0]) / 2e-5, atol=1e-5)
+
+
+def test_scores_agree_with_enumeration(spark):
+    """Of the fitted field: each document's score and marginals, from its weights by name, over all tags."""
+    rng = random.Random(11)
+    plain = "the cat sat on a mat and saw dogs".split()
+    rows = [(i, " ".join([*(rng.choice(plain) for _ in range(4)), *(["vile"] if i % 3 == 0 else []), rng.choice(plain)])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    field = ts.fit(docs, labels)
+    n, w = field.n, dict(zip(sorted(field.features, key=field.features.get), field.weights))
+    moves = np.array([[0.0, field.weights[-3]], [field.weights[-2], field.weights[-1]]])
+    scored = {r["id"]: r for r in ts.score_documents(docs, labels).collect()}
+    for i, text in rows[:20]:
+        odds, words = [], text.split()
+        for k, token in enumerate(words):
+            e = field.weights[-4] + sum(w.get(f, 0) for f in ts.features_of(token))
+            e += w.get(f"<{ts.form_of(words[k - 1])}", 0) if k else 0
+            e += w.get(f">{ts.form_of(words[k + 1])}", 0) if k + 1 < len(words) else 0
+            odds.append(e + field.weights[n + (ts.shape_of(words[k - 1]) if k else ts.START) * ts.SHAPES + ts.shape_of(token)])
+        ones, log_z = enumerated(odds, moves)
+        assert np.isclose(scored[i]["score"], 1 - np.exp(-log_z))
+        spans = [(s["start"], s["end"]) for s in scored[i]["spans"]]
+        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        assert spans == [at[k] for k in np.flatnonzero(ones >= 0.5)]
+    assert all((scored[i]["score"] >= 0.7) == (i % 3 == 0) and scored[i]["score"] > 0 for i, _ in rows)
 
 
 def test_spans_and_scores(spark):
