@@ -42,13 +42,13 @@ from .common import checkpointed
 from .tokens import Words, stirred
 
 TOXIC_ROWS = 1000
-CLEAN_ROWS = 2000
+CLEAN_ROWS = 1500
 LEAST_DOCUMENTS = 5
 #: Share of labels taken to be wrong.
 NOISE = 0.02
 #: Weight of the quadratic prior, in documents.
-PRIOR = 0.1
-STEPS = 45
+PRIOR = 0.06
+STEPS = 40
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (2, 3, 4)
 PIECE_BYTES = 4_000_000
@@ -68,11 +68,14 @@ SHAPES = 16
 START = 15
 
 
+def _shape(letters: str, last: str) -> int:
+    low, high = letters.lower(), letters.upper()
+    case = 0 if low == high else 1 if letters == low else 3 if letters == high else 2 if letters[0] == high[0] and letters[1:] == low[1:] else 4
+    return 3 * case + (0 if last.isalnum() else 1 if last in ".!?" else 2)
+
+
 def shape_of(token: str) -> int:
-    letters = "".join(_FORM.findall(token))
-    case = 0 if not any(c.isalpha() for c in letters) else 1 if letters.islower() else 2 if letters[:1].isupper() and letters[1:].islower() else 3 if letters.isupper() else 4
-    end = 0 if token[-1:].isalnum() else 1 if token[-1:] in ".!?" else 2
-    return 3 * case + end
+    return _shape("".join(_FORM.findall(token)), token[-1:])
 
 
 def form_of(token: str) -> str:
@@ -81,12 +84,21 @@ def form_of(token: str) -> str:
 
 def features_of(token: str) -> list[str]:
     """A token's own features: the form, beginnings and endings of each run of word characters, and its shape."""
-    out = [f"#{shape_of(token)}"]
-    for form in set(_FORM.findall(token.lower())):
+    return described(token)[0]
+
+
+def described(token: str) -> tuple[list[str], str, int]:
+    """A token's own features, its form and its shape."""
+    runs = _FORM.findall(token)
+    shape = _shape("".join(runs), token[-1:])
+    forms = [r.lower() for r in runs]
+    out = [f"#{shape}"]
+    for form in forms if len(forms) < 2 else dict.fromkeys(forms):
+        n = len(form)
         out.append(f"={form}")
-        out += [f"^{form[:n]}" for n in PREFIXES if len(form) >= n]
-        out += [f"${form[-n:]}" for n in SUFFIXES if len(form) >= n]
-    return list(dict.fromkeys(out))
+        out += [f"^{form[:k]}" for k in PREFIXES if n >= k]
+        out += [f"${form[-k:]}" for k in SUFFIXES if n >= k]
+    return (out if len(forms) < 2 else list(dict.fromkeys(out))), "_".join(forms), shape
 
 
 def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
@@ -260,9 +272,9 @@ class Field:
         """Numbers of a token's features, of it as the token before and as the token after another, and its shape."""
         found = self._known.get(word)
         if found is None:
-            token = word.decode(errors="replace")
-            form, get = form_of(token), self.features.get
-            found = ([k for f in features_of(token) if (k := get(f)) is not None], get(f"<{form}", -1), get(f">{form}", -1), shape_of(token))
+            get = self.features.get
+            names, form, shape = described(word.decode(errors="replace"))
+            found = ([k for f in names if (k := get(f)) is not None], get(f"<{form}", -1), get(f">{form}", -1), shape)
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
             self._known[word] = found
@@ -347,8 +359,8 @@ def frequent_features(texts: list[str], groups: list[int], least: int = LEAST_DO
         own: set[int] = set()
         for t in tokens:
             if t not in known:
-                form = form_of(t)
-                names = features_of(t) + ([f"<{form}", f">{form}"] if form else [])
+                names, form, _ = described(t)
+                names += [f"<{form}", f">{form}"] if form else []
                 known[t] = [numbers.setdefault(f, len(numbers)) for f in names]
             own.update(known[t])
         counts.update(own)
