@@ -18,7 +18,7 @@ def sha_id(prefix: str, *parts: Column, length: int = 24) -> Column:
 
 def plain_text(text: Column) -> Column:
     """Lower case, white space of any kind collapsed to single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -94,16 +94,34 @@ def a1_row_col(ref: Column) -> Column:
 
 
 def signature_arity(signature: Column) -> Column:
-    """Parameters of ``name(type, type<a, b>)``: top-level commas, after generic arguments are taken out."""
+    """Parameters of ``name(type, type<a, b>)``: the commas outside of any brackets, plus one; 0 for none."""
     inside = F.regexp_extract(signature, r"\((.*)\)", 1)
-    for _ in range(4):  # nested generics, from the innermost out
-        inside = F.regexp_replace(inside, r"<[^<>]*>", "")
-    return F.when(F.trim(inside) == "", 0).otherwise(F.size(F.split(inside, ",")))
+    step = lambda acc, c: F.struct(
+        (acc["depth"] + F.when(c.isin("<", "(", "["), 1).when(c.isin(">", ")", "]"), -1).otherwise(0)).alias("depth"),
+        (acc["commas"] + F.when((c == ",") & (acc["depth"] == 0), 1).otherwise(0)).alias("commas"),
+    )
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("commas"))
+    return F.when(F.trim(inside) == "", 0).otherwise(F.aggregate(F.split(inside, ""), start, step, lambda acc: acc["commas"] + 1))
+
+
+# Names of secrets.
+SECRET_NAMES = (
+    "api_key", "authorization", "cookie", "credential", "credentials", "dsn", "passwd", "password", "private_key", "pwd", "secret", "session_id", "token",
+)
+#: A secret name, with ``_``, ``-``, a space or nothing between its words, and what follows ``:`` or ``=`` (quoted, bearer or bare).
+SECRET = r"(?i)\b((?:[a-z0-9]+[_-])*(?:" + "|".join(n.replace("_", "[_ -]?") for n in sorted(SECRET_NAMES, key=len, reverse=True)) + r"))\b(\\?[\"']?\s*[:=]\s*)(?:\\?\"[^\"]*\"|'[^']*'|bearer\s+[^\s\"',}]+|[^\s\"',}]+)"
+BEARER = r"(?i)\b(bearer\s+)[^\s\"',}]+"
 
 
 def redacted(text: Column) -> Column:
-    """Values of secret-like assignments replaced by asterisks."""
-    return F.regexp_replace(text, r"(?i)\b(password|passwd|secret|token|api[_-]?key)\b(\s*[:=]\s*)\S+", "$1$2***")
+    """Values of secret-like names (``name: value``, ``name=value``, also quoted and in JSON at any depth) and bearer values as asterisks."""
+    return F.regexp_replace(F.regexp_replace(text, SECRET, "$1$2***"), BEARER, "$1***")
+
+
+def is_secret_name(name: Column) -> Column:
+    """Whether a field name, in snake or camel case, ends with or is one of the secret names."""
+    snake = F.lower(F.regexp_replace(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", "_"), r"[^A-Za-z0-9]+", "_"))
+    return snake.rlike("(^|_)(" + "|".join(SECRET_NAMES) + ")(_|$)")
 
 
 def safe_path(path: Column) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import join_counted, saved
+
 
 def rate(part: Column, whole: Column, digits: int = 4) -> Column:
     """``part / whole`` rounded; null for an empty whole."""
@@ -85,3 +87,45 @@ def verdict(violations: DataFrame, subjects: DataFrame, subject: str, severities
     out = subjects.select(subject).distinct().join(folded, subject, "left")
     status = F.coalesce(F.get(F.array(*[F.lit(s) for s in severities]), F.col("p")), F.lit("passed"))
     return out.select(subject, status.alias("status"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
+
+
+def exact_quantile(rows: DataFrame, key: str, value: str, q: float, name: str) -> DataFrame:
+    """``(key, name)``: the interpolated quantile ``q`` of each key's values, exactly, without holding all values of a key.
+
+    An approximate pass bounds the values around the quantile (its error is a fifth of the margin); a second one counts
+    those below and ranks those between, which are a thousandth of all. Keys with few values have all of them ranked.
+    """
+    v = F.col(value)
+    some = rows.filter(v.isNotNull()).select(key, value)
+    sides = F.array(F.lit(max(q - 5e-4, 0.0)), F.lit(min(q + 5e-4, 1.0)))
+    bounds = some.groupBy(key).agg(F.percentile_approx(v, sides, F.lit(10_000)).alias("_b"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.count("*").alias("_n"))
+    few = F.col("_n") <= 10_000
+    low, high = F.when(few, F.col("_min")).otherwise(F.col("_b")[0]), F.when(few, F.col("_max")).otherwise(F.col("_b")[1])
+    bounds = saved(bounds.select(key, low.alias("_lo"), high.alias("_hi"), "_n", (F.lit(float(q)) * (F.col("_n") - 1)).alias("_at")))
+    total = bounds.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    near = join_counted(some, bounds, key, "_n", total)
+    below = near.groupBy(key).agg(F.count_if(v < F.col("_lo")).alias("_below"))
+    cells = near.filter(v.between(F.col("_lo"), F.col("_hi"))).groupBy(key, value).agg(F.count("*").alias("_c"), F.first("_at").alias("_at"))
+    upto = F.sum("_c").over(Window.partitionBy(key).orderBy(value))
+    ranked = cells.withColumn("_end", upto).join(below, key).withColumns({"_end": F.col("_end") + F.col("_below"), "_first": F.col("_end") + F.col("_below") - F.col("_c")})
+    holds = lambda place: F.max(F.when((F.col("_first") <= place) & (place < F.col("_end")), v))
+    low, high = holds(F.floor("_at")), holds(F.ceil("_at"))
+    part = F.first("_at") - F.floor(F.first("_at"))
+    return ranked.groupBy(key).agg((low + (high - low) * part).alias(name))
+
+
+def overlapping_sets(sets: DataFrame, id_col: str, members: str, least: float) -> DataFrame:
+    """``(a, b, overlap)`` of all pairs of ids (a < b) whose sets share at least ``least`` of their union.
+
+    Prefix filter: with members in order of how few sets have them, two such sets share one of their first members.
+    """
+    rows = sets.filter(F.size(members) > 0).select(F.col(id_col).alias("a"), F.col(members).alias("ga"))
+    each = rows.select("a", F.size("ga").alias("n"), F.explode("ga").alias("m"))
+    rare = each.groupBy("m").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy("df", "m"))
+    heads = each.join(rare, "m").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("a", "n", "m")
+    other = heads.select(F.col("a").alias("b"), F.col("n").alias("k"), "m")
+    pairs = heads.join(other, "m").filter((F.col("a") < F.col("b")) & (F.least("n", "k") >= F.greatest("n", "k") * least - 1e-9)).select("a", "b").distinct()
+    full = pairs.join(rows, "a").join(rows.select(F.col("a").alias("b"), F.col("ga").alias("gb")), "b")
+    share = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
+    return full.select("a", "b", share.alias("overlap")).filter(F.col("overlap") >= least)

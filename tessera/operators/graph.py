@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares for checkpoints (a local one only where none is named)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+from .components import connected_components
+from .storage import saved, shared_folder
 
 
 def within_hops(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
@@ -27,32 +22,42 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return reached
 
 
-def transitive_closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """``(src, dst)`` of all paths along ``edges(src, dst)``, by doubling path lengths until none is new."""
-    paths = saved(edges.select("src", "dst").distinct())
-    count = paths.count()
+def transitive_closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """``(src, dst)`` of all paths along ``edges(src, dst)``, by doubling path lengths until none is new.
+
+    Only paths that the last round found are prolonged, by all paths that are known.
+    """
+    last = saved(edges.select("src", "dst").distinct())
+    paths = last
     for _ in range(most_rounds):
-        onward = paths.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
-        longer = paths.join(onward, "dst").select("src", F.col("end").alias("dst"))
-        paths = saved(paths.unionByName(longer).distinct())
-        count, before = paths.count(), count
-        if count == before:
+        if last.isEmpty():
             return paths
+        onward = paths.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+        longer = last.join(onward, "dst").select("src", F.col("end").alias("dst")).distinct()
+        last = saved(longer.join(paths, ["src", "dst"], "left_anti"))
+        paths = saved(paths.unionByName(last))
     raise RuntimeError(f"paths still grew after {most_rounds} rounds")
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """``(node, level)`` for ``edges(node, needs)``: 0 for nodes that need nothing; -1 for those on or behind a cycle."""
-    left, done, level = nodes.select("node").distinct(), None, 0
-    while level < most_rounds:
+def topological_levels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """``(node, level)`` for ``edges(node, needs)``: 0 for nodes that need nothing; -1 for those on or behind a cycle.
+
+    Levels are taken off until none is free, each appended to a table; more than ``most_rounds`` of them are an error.
+    """
+    spark = nodes.sparkSession
+    table = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
+    left = saved(nodes.select("node").distinct())
+    left.withColumn("level", F.lit(-1)).limit(0).write.parquet(table)
+    for level in range(most_rounds):
         held = edges.join(left.withColumnRenamed("node", "needs"), "needs", "left_semi").select("node").distinct()
-        free = saved(left.join(held, "node", "left_anti")).withColumn("level", F.lit(level))
+        free = saved(left.join(held, "node", "left_anti"))
         if free.isEmpty():
             break
-        done = free if done is None else done.unionByName(free)
-        left, level = saved(left.join(free, "node", "left_anti")), level + 1
-    rest = left.withColumn("level", F.lit(-1))
-    return rest if done is None else done.unionByName(rest)
+        free.withColumn("level", F.lit(level)).write.mode("append").parquet(table)
+        left = saved(left.join(free, "node", "left_anti"))
+    else:
+        raise RuntimeError(f"levels still came off after {most_rounds} rounds")
+    return spark.read.parquet(table).unionByName(left.withColumn("level", F.lit(-1)))
 
 
 def incremental_plan(old: DataFrame, new: DataFrame, links: DataFrame, key: str, digest: str) -> DataFrame:
@@ -75,9 +80,7 @@ def same_record(values: DataFrame, group: str, source: str, name: str, value: st
     hub = rows.groupBy(group, name, value).agg(F.min("s").alias("h"), F.count("*").alias("n")).filter("n > 1")
     links = rows.join(hub, [group, name, value]).filter("s <> h").select(group, "s", "h").distinct()
     key = lambda c: F.to_json(F.struct(F.col(group), F.col(c).alias("s")))
-    edges = links.select(key("s").alias("src"), key("h").alias("dst"))
-    closed = transitive_closure(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    reach = closed.groupBy(F.col("src").alias("k")).agg(F.countDistinct("dst").alias("reached"))
-    members = values.select(group, F.col(source).alias("s")).distinct().withColumn("k", key("s")).join(reach, "k", "left")
-    out = members.groupBy(group).agg(F.count("*").alias("sources"), F.max(F.coalesce("reached", F.lit(1))).alias("most"))
-    return out.select(group, "sources", (F.col("most") == F.col("sources")).alias("connected"))
+    parts = connected_components(links.select(key("s").alias("u"), key("h").alias("v")))
+    members = values.select(group, F.col(source).alias("s")).distinct().withColumn("node", key("s")).join(parts, "node", "left")
+    out = members.groupBy(group).agg(F.count("*").alias("sources"), F.countDistinct(F.coalesce("component", "node")).alias("parts"))
+    return out.select(group, "sources", (F.col("parts") == 1).alias("connected"))

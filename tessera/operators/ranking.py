@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relevance import cover_density
+from .storage import saved
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two number arrays, accumulated in order in double precision."""
@@ -15,19 +21,76 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def usable_vector(v: Column, size: int) -> Column:
+def usable_vector(v: Column, size: int | Column) -> Column:
     """Whether a vector has the size, only finite numbers and a norm above 0."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return (F.size(v) == size) & finite & F.exists(v, lambda x: x != 0)
 
 
+#: Bytes of query vectors that one pass over the vectors is compared with.
+QUERY_BYTES = 4_000_000
+
+
+def vector_topk_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str, vector_col: str) -> DataFrame:
+    """``(query, id, score, rank)``: the k vectors nearest to each of ``queries(query_col, vector_col)`` by cosine, in [0, 1].
+
+    Queries come in blocks of QUERY_BYTES, one pass over the vectors each; a task keeps the k best of its vectors for
+    each query, so what is shuffled doesn't grow with the number of vectors. Ties go by id; vectors that aren't usable,
+    of queries as of rows, and those of other sizes have no score.
+    """
+    schema = f"{query_col} long, {id_col} long, score double"
+    usable = lambda df, i: df.filter(F.col(i).isNotNull() & usable_vector(F.col(vector_col), F.size(vector_col))).select(F.col(i).cast("long"), F.col(vector_col).cast("array<double>"))
+    found = vectors.sparkSession.createDataFrame([], schema)
+    rows = usable(vectors, id_col)
+    for number, block in enumerate(_blocks(usable(queries, query_col))):
+        names = np.array([q for q, _ in block], dtype=np.int64)
+        sides = {}
+        for n in {len(v) for _, v in block}:
+            at = np.array([i for i, (_, v) in enumerate(block) if len(v) == n])
+            side = np.array([block[i][1] for i in at])
+            sides[n] = at, side / np.sqrt((side * side).sum(1, keepdims=True))
+
+        def best(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, sides: dict = sides) -> Iterator[pa.RecordBatch]:
+            held = [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in names]
+            for batch in batches:
+                sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                for n, (at, side) in sides.items():
+                    some = batch.filter(pa.array(sizes == n))
+                    if not some.num_rows:
+                        continue
+                    ids = some.column(0).to_numpy()
+                    x = some.column(1).flatten().to_numpy().reshape(-1, n)
+                    scores = np.clip(side @ (x / np.sqrt((x * x).sum(1, keepdims=True))).T, 0.0, 1.0)
+                    for i, own in zip(at.tolist(), scores):
+                        all_ids, all_scores = np.concatenate((held[i][0], ids)), np.concatenate((held[i][1], own))
+                        top = np.lexsort((all_ids, -all_scores))[:k]
+                        held[i] = all_ids[top], all_scores[top]
+            columns = [pa.array(np.repeat(names, [len(h[0]) for h in held])), *[pa.array(np.concatenate([h[c] for h in held])) for c in (0, 1)]]
+            yield pa.RecordBatch.from_arrays(columns, [query_col, id_col, "score"])
+
+        part = rows.mapInArrow(best, schema)
+        found = part if not number else saved(found).unionByName(saved(part))
+    rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), id_col))
+    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+
+
+def _blocks(queries: DataFrame) -> Iterator[list[tuple[int, list[float]]]]:
+    """Rows of a query set in blocks of QUERY_BYTES, read one partition at a time."""
+    block, held = [], 0
+    for name, vector in queries.toLocalIterator():
+        if block and held + 8 * len(vector) > QUERY_BYTES:
+            yield block
+            block, held = [], 0
+        block.append((name, vector))
+        held += 8 * len(vector)
+    if block:
+        yield block
+
+
 def vector_topk(vectors: DataFrame, query: Sequence[float], k: int, id_col: str, vector_col: str) -> DataFrame:
-    """``(id, score, rank)`` of the k vectors nearest by cosine; score is clamped to [0, 1]."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    near = vectors.filter(usable_vector(F.col(vector_col), len(query))).select(id_col, cosine(F.col(vector_col), q).alias("_s"))
-    top = near.orderBy(F.desc("_s"), id_col).limit(k)
-    rank = F.row_number().over(Window.orderBy(F.desc("_s"), id_col))
-    return top.select(id_col, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s"))).alias("score"), rank.cast("long").alias("rank"))
+    """``(id, score, rank)`` of the k vectors nearest to one query by cosine; score is clamped to [0, 1]."""
+    asked = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], f"_query long, {vector_col} array<double>")
+    return vector_topk_many(vectors, asked, k, id_col, "_query", vector_col).select(id_col, "score", "rank")
 
 
 def parse_keywords(query: str) -> list[list[tuple[bool, str]]]:
@@ -48,22 +111,17 @@ def parse_keywords(query: str) -> list[list[tuple[bool, str]]]:
 def keyword_topk(docs: DataFrame, query: str, k: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, score, rank)`` of matching texts: all terms of an alternative are there and none that it excludes.
 
-    Tokens are runs of letters and digits in lower case. The score is the share of a text's
-    tokens at which a wanted term begins.
+    Tokens are runs of letters and digits in lower case; the score is the cover density of the terms.
     """
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     groups = parse_keywords(query)
     if not groups:
         return docs.select(id_col, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
-    rows = docs.select(id_col, words.alias("_w"))
+    rows = docs.select(id_col, F.concat(F.lit(" "), words, F.lit(" ")).alias("_w"))
     has = lambda t: F.contains(F.col("_w"), F.lit(f" {t} "))
     matches = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [has(t) if wanted else ~has(t) for wanted, t in g]) for g in groups])
-    terms = sorted({t for g in groups for wanted, t in g if wanted})
-    doubled = F.replace(F.col("_w"), F.lit(" "), F.lit("  "))  # so that neighbouring terms don't share a space
-    times = lambda t: (F.length(doubled) - F.length(F.replace(doubled, F.lit(f" {t.replace(' ', '  ')} "), F.lit("")))) / (len(t.replace(" ", "  ")) + 2)
-    n = F.length("_w") - F.length(F.replace(F.col("_w"), F.lit(" "), F.lit(""))) - 1
-    score = reduce(lambda a, b: a + b, [times(t) for t in terms]) / n
-    top = rows.filter(matches).select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    found = rows.filter(matches).select(id_col, F.split(F.trim("_w"), " ").alias("_t"))
+    top = found.select(id_col, cover_density(F.col("_t"), groups).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)).cast("long"))
 
 
@@ -82,4 +140,13 @@ def fair_schedule(tasks: DataFrame, claims: DataFrame, run: str, order: Sequence
     """
     counted = claims.groupBy(run).agg(F.count("*").alias("recent_claims"))
     out = tasks.join(counted, run, "left").withColumn("recent_claims", F.coalesce("recent_claims", F.lit(0)))
-    return out.withColumn(place, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return numbered(out, order, place)
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], place: str) -> DataFrame:
+    """``rows`` with their ``place`` (from 1) in ``order``, which ends with an id: ranges are numbered each, and begin after the ranges before."""
+    ranged = saved(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")  # a row for each range
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn(place, inside).join(sizes, "_part").withColumn(place, (F.col(place) + F.col("_before")).cast("long")).drop("_part", "_before")

@@ -85,11 +85,20 @@ def innermost_interval(points: DataFrame, intervals: DataFrame, key: str, point:
 
 
 def close_findings(findings: DataFrame, edges: DataFrame, finding_id: str, edge_id: str, ways: Sequence[str]) -> DataFrame:
-    """Findings with ``closed_by``: the only edge that any of the ``ways`` (common columns) leads to."""
-    found = reduce(lambda a, b: a.unionByName(b), [findings.join(edges, w).select(finding_id, edge_id) for w in ways])
-    counted = found.groupBy(finding_id).agg(F.countDistinct(edge_id).alias("n"), F.min(edge_id).alias("e"))
-    out = findings.select(finding_id).join(counted, finding_id, "left")
-    return out.select(finding_id, F.when(F.col("n") == 1, F.col("e")).alias("closed_by"), F.coalesce("n", F.lit(0)).alias("edge_count"))
+    """Findings with ``closed_by``: the only edge that any of the ``ways`` (common columns) leads to.
+
+    ``edge_count`` is that of the way with most edges, or 2 if ways with one edge each lead to different ones. Edges
+    are counted by key before they meet findings, so a frequent value multiplies nothing.
+    """
+    best = findings
+    for i, w in enumerate(ways):
+        by_key = edges.filter(F.col(w).isNotNull()).groupBy(w).agg(F.countDistinct(edge_id).alias(f"_n{i}"), F.min(edge_id).alias(f"_lo{i}"), F.max(edge_id).alias(f"_hi{i}"))
+        best = best.join(by_key, w, "left")
+    some = lambda name: [F.col(f"_{name}{i}") for i in range(len(ways))]
+    pick = lambda f, columns: f(*columns) if len(columns) > 1 else columns[0]
+    most, low, high = F.coalesce(pick(F.greatest, some("n")), F.lit(0)), pick(F.least, some("lo")), pick(F.greatest, some("hi"))
+    count = F.when((most == 1) & (low != high), F.lit(2)).otherwise(most).cast("long")
+    return best.select(finding_id, F.when((most == 1) & (low == high), low).alias("closed_by"), count.alias("edge_count"))
 
 
 def latest_by(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

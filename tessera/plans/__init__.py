@@ -1,6 +1,6 @@
 """Queries of the library over the driver's tables."""
 
-from . import evidence, governance, retrieval  # noqa: F401
+from . import change, evidence, governance, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

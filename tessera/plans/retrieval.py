@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import aggregates, ranking, resolve
+from ..operators import aggregates, ranking, relevance, resolve
 from .registry import Tables, query
 
 #: The stated query: the first vector, and these words.
@@ -23,8 +23,16 @@ _KEYWORD = r"""
 w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
 k AS (
   SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank
-  FROM (SELECT id, len(list_filter(t, lambda x: x IN ('the', 'and'))) / len(t) AS score FROM w
-        WHERE list_contains(t, 'the') AND list_contains(t, 'and') AND NOT list_contains(t, 'loser'))
+  FROM (SELECT id, sum(0.1::DOUBLE / (1 + pos - b - (n - bn))) AS score
+        FROM (SELECT id, least(t1, t2) AS b, min(pos) AS pos, min(n) AS n, CASE WHEN min(t1) < min(t2) THEN min(n1) ELSE min(n2) END AS bn
+              FROM (SELECT id, pos, n, max(CASE WHEN x = 'the' THEN pos END) OVER p AS t1, max(CASE WHEN x = 'and' THEN pos END) OVER p AS t2,
+                           max(CASE WHEN x = 'the' THEN n END) OVER p AS n1, max(CASE WHEN x = 'and' THEN n END) OVER p AS n2
+                    FROM (SELECT id, x, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS n
+                          FROM (SELECT id, unnest(t) AS x, unnest(range(len(t))) AS pos FROM w WHERE list_contains(t, 'the') AND list_contains(t, 'and') AND NOT list_contains(t, 'loser'))
+                          WHERE x IN ('the', 'and'))
+                    WINDOW p AS (PARTITION BY id ORDER BY pos))
+              WHERE t1 IS NOT NULL AND t2 IS NOT NULL GROUP BY id, least(t1, t2))
+        GROUP BY id)
   QUALIFY rank <= 20)"""
 
 
@@ -71,23 +79,38 @@ def relevance_first_per_source(t: Tables) -> DataFrame:
     return resolve.latest_by(d, ["source"], order).orderBy(*order).limit(10)
 
 
+@query("vector_search", """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0)
+SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (
+  SELECT query_id, x.vec_id, greatest(0.0, least(1.0, list_cosine_similarity(x.embedding::DOUBLE[], e))) AS s,
+         row_number() OVER (PARTITION BY query_id ORDER BY greatest(0.0, least(1.0, list_cosine_similarity(x.embedding::DOUBLE[], e))) DESC, x.vec_id) AS rank
+  FROM q CROSS JOIN embeddings x) WHERE rank <= 10
+""")
+def vector_search(t: Tables) -> DataFrame:
+    """Every fiftieth vector asks for its ten nearest among all."""
+    q = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return ranking.vector_topk_many(t.embeddings, q, 10, "vec_id", "query_id", "embedding").withColumn("score", F.round("score", 6))
+
+
 @query("rag_quality_metrics", """
-WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
 r AS (
-  SELECT query_id, q.label AS wanted, x.vec_id, x.label,
-         row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(x.embedding::DOUBLE[], e) DESC, x.vec_id) AS rank
-  FROM q JOIN embeddings x ON x.vec_id <> query_id QUALIFY rank <= 10),
+  SELECT query_id, wanted, label, row_number() OVER (PARTITION BY query_id ORDER BY near) AS rank
+  FROM (SELECT query_id, q.label AS wanted, x.vec_id, x.label,
+               row_number() OVER (PARTITION BY query_id ORDER BY greatest(0.0, least(1.0, list_cosine_similarity(x.embedding::DOUBLE[], e))) DESC, x.vec_id) AS near
+        FROM q CROSS JOIN embeddings x QUALIFY near <= 11) WHERE vec_id <> query_id QUALIFY rank <= 10),
 p AS (SELECT query_id, count(*) FILTER (rank <= 5 AND label = wanted) / 5 AS r5, count(*) FILTER (label = wanted) / 10 AS r10,
              coalesce(1 / min(rank) FILTER (label = wanted), 0) AS rr, count(*) FILTER (label <> wanted) AS bad, count(*) AS n FROM r GROUP BY query_id)
 SELECT count(*) AS n_queries, round(avg(r5), 6) AS precision_at_5, round(avg(r10), 6) AS precision_at_10, round(avg(rr), 6) AS mrr,
        round(sum(bad) / sum(n), 6) AS irrelevant_rate FROM p
 """)
 def rag_quality_metrics(t: Tables) -> DataFrame:
-    """Labels as relevance, the first twenty vectors as the stated queries: the queries are broadcast, all vectors scored once."""
+    """Labels as relevance; every fiftieth vector asks for the ten nearest to it among all others."""
     e = t.embeddings
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"), F.col("embedding").alias("qe"))
-    scored = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "wanted", "vec_id", "label", ranking.cosine(F.col("embedding"), F.col("qe")).alias("s"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))).filter("rank <= 10")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"), "embedding")
+    near = ranking.vector_topk_many(e, q.select("query_id", "embedding"), 11, "vec_id", "query_id", "embedding").filter("vec_id <> query_id")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("rank <= 10")
+    ranked = e.select("vec_id", "label").join(ranked, "vec_id").join(q.select("query_id", "wanted"), "query_id")
     good = F.col("label") == F.col("wanted")
     per = ranked.groupBy("query_id").agg(
         (F.count_if(good & (F.col("rank") <= 5)) / 5).alias("r5"), (F.count_if(good) / 10).alias("r10"),
@@ -118,16 +141,16 @@ def retrieval_recall(t: Tables) -> DataFrame:
 
 @query("bigram_overlap", r"""
 WITH i AS (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS s FROM benchmark),
-b AS (SELECT item_id, list_distinct([substring(s, k, 2) for k in range(1, length(s))]) AS g FROM i)
-SELECT x.item_id AS item_a, y.item_id AS item_b,
-       round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))), 6) AS overlap
-FROM b x JOIN b y ON x.item_id < y.item_id AND y.item_id <= x.item_id + 3
+b AS (SELECT item_id, list_distinct([substring(s, k, 2) for k in range(1, length(s))]) AS g FROM i),
+o AS (SELECT x.item_id AS item_a, y.item_id AS item_b, len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) AS overlap
+      FROM b x JOIN b y ON x.item_id < y.item_id)
+SELECT item_a, item_b, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.5
 """)
 def bigram_overlap(t: Tables) -> DataFrame:
+    """All pairs of items that share half of their character pairs."""
     sets = t.benchmark.select("item_id", fn.bigrams(fn.search_text(F.col("text"))).alias("g"))
-    a = sets.select(F.col("item_id").alias("item_a"), F.col("g").alias("ga"), F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 3)).alias("item_b"))
-    b = sets.select(F.col("item_id").alias("item_b"), F.col("g").alias("gb"))
-    return a.join(b, "item_b").select("item_a", "item_b", F.round(fn.overlap(F.col("ga"), F.col("gb")), 6).alias("overlap"))
+    found = aggregates.overlapping_sets(sets, "item_id", "g", 0.5)
+    return found.select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.round("overlap", 6).alias("overlap"))
 
 
 @query("token_estimate", r"""
@@ -166,3 +189,42 @@ def index_cache_reuse(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
     cached = d.filter(F.col("doc_id") % 3 == 0).select("digest").distinct()
     return d.join(cached, "digest", "left_anti").groupBy("digest").agg(F.count("*").alias("n_nodes"), F.min("doc_id").alias("first_doc"))
+
+
+_SIGNALS_SQL = "list_filter([" + ", ".join(
+    f"CASE WHEN {' OR '.join(f"contains(%s, '{a}')" for a in aliases)} THEN '{name}' END" for name, aliases in relevance.OPERATION_ALIASES.items()
+) + "], lambda x: x IS NOT NULL)"
+_PLAIN_SQL = r"regexp_replace(lower(%s), '[^\p{L}\p{N}]', '', 'g')"
+ASKED = "search for the edit screen of the ring widget, then submit it"
+
+
+@query("document_subjects", rf"""
+WITH f AS (SELECT p_partkey, p_partkey::VARCHAR || '_' || CASE WHEN p_partkey % 2 = 0 THEN '画面設計書_' ELSE '' END || replace(p_name, ' ', '_') || '.v1.xlsx' AS file FROM part)
+SELECT p_partkey, {_PLAIN_SQL % r"regexp_replace(regexp_replace(file, '\.[^.]*$', ''), '^[0-9]+_(画面設計書_)?', '')"} AS subject,
+       array_to_string({_SIGNALS_SQL.replace('%s', "lower(file || ' Edit')")}, ',') AS operations FROM f
+""")
+def document_subjects(t: Tables) -> DataFrame:
+    kind = F.when(F.col("p_partkey") % 2 == 0, "画面設計書_").otherwise("")
+    f = t.part.select("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit("_"), kind, F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".v1.xlsx")).alias("file"))
+    signals = relevance.operation_signals(F.concat("file", F.lit(" Edit")))
+    return f.select("p_partkey", relevance.document_subject(F.col("file")).alias("subject"), F.array_join(signals, ",").alias("operations"))
+
+
+@query("requirement_documents", rf"""
+WITH h AS (SELECT p_partkey AS id, p_brand AS doc, replace(p_name, ' ', '_') || '.xlsx' AS file, p_type || ' edit' AS summary, p_retailprice AS retrieval FROM part),
+q AS (SELECT {_PLAIN_SQL % f"'{ASKED}'"} AS q),
+x AS (SELECT *, {_PLAIN_SQL % r"regexp_replace(file, '\.[^.]*$', '')"} AS s, {_PLAIN_SQL % "summary"} AS f FROM h CROSS JOIN q),
+g AS (SELECT *, list_distinct([substring(q, k, 2) for k in range(1, length(q))]) AS gq, list_distinct([substring(s, k, 2) for k in range(1, length(s))]) AS gs,
+             list_distinct([substring(f, k, 2) for k in range(1, length(f))]) AS gf FROM x),
+k AS (SELECT doc, id, contains(q, s)::INT AS subject_contained, len(list_intersect(gs, gq)) / len(gs) AS subject_overlap,
+             len(list_intersect({_SIGNALS_SQL.replace('%s', 'q')}, {_SIGNALS_SQL.replace('%s', 'f')})) AS operation_matches,
+             len(list_intersect(gf, gq)) / len(gf) AS fragment_overlap, len(list_intersect(gf, gq)) AS fragment_matches, length(s) AS subject_chars, retrieval AS score FROM g)
+SELECT doc, id, subject_contained, round(subject_overlap, 6) AS subject_overlap, operation_matches, round(fragment_overlap, 6) AS fragment_overlap, fragment_matches, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc ORDER BY subject_contained DESC, subject_overlap DESC, operation_matches DESC, fragment_overlap DESC, fragment_matches DESC, subject_chars DESC, score DESC, id) AS rn FROM k)
+WHERE rn = 1 ORDER BY subject_contained DESC, k.subject_overlap DESC, operation_matches DESC, k.fragment_overlap DESC, fragment_matches DESC, subject_chars DESC, score DESC, id LIMIT 12
+""".replace("k.subject_overlap", "subject_overlap").replace("k.fragment_overlap", "fragment_overlap"))
+def requirement_documents(t: Tables) -> DataFrame:
+    """The best part of each brand for a request, by the seven relevance keys."""
+    h = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("doc"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".xlsx")).alias("file"), F.concat("p_type", F.lit(" edit")).alias("summary"), F.col("p_retailprice").alias("retrieval"), F.array().cast("array<string>").alias("path"))
+    best = relevance.best_fragments(relevance.with_relevance(h, ASKED, "file", "path", "summary", "retrieval"), "doc", "id", 12)
+    return best.select("doc", "id", "subject_contained", F.round("subject_overlap", 6).alias("subject_overlap"), "operation_matches", F.round("fragment_overlap", 6).alias("fragment_overlap"), "fragment_matches", "score")

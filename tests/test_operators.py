@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import conditions
 from tessera.functions import text as fn
-from tessera.operators import aggregates, graph, ranking, resolve
+from tessera.operators import aggregates, graph, ranking, relevance, resolve
 from tessera.streaming import state
 
 
@@ -21,8 +21,11 @@ def test_text_functions(spark):
     assert values(spark, fn.url_path, ["https://h/a//b/?q", "c/", "/", "", "http://h"]) == ["/a/b", "/c", "/", "/", "/"]
     assert values(spark, fn.route_template, ["/a/{id}/:n/b"]) == ["/a/{*}/{*}/b"]
     assert values(spark, lambda c: fn.a1_row_col(c)["col"], ["AB12", "x"]) == [28, None]
-    assert values(spark, fn.signature_arity, ["f(Map<String, List<A, B>> m, int n)", "f()", "f(int a)"]) == [2, 0, 1]
-    assert values(spark, fn.redacted, ["password = hunter2 ok"]) == ["password = *** ok"]
+    assert values(spark, fn.signature_arity, ["f(Map<String, List<A, B>> m, int n)", "f()", "f(int a)", "f(Map<K, A<B<C<D<E, F>>>>> m, int[] n, G<H, I> g)"]) == [2, 0, 1, 3]
+    secrets = ["password = hunter2 ok", 'x {"db": {"clientId": 1, "client_secret": "a b", "n": 2}}', "Authorization: Bearer a.b-c, next", "see bearer xyz", "PWD:'q r' end", "api-key=1 dsn: u", "tokens: 5 secretary: b"]
+    assert values(spark, fn.redacted, secrets) == ["password = *** ok", 'x {"db": {"clientId": 1, "client_secret": ***, "n": 2}}', "Authorization: ***, next", "see bearer ***", "PWD:*** end", "api-key=*** dsn: ***", "tokens: 5 secretary: b"]
+    assert values(spark, fn.is_secret_name, ["clientSecret", "sessionId", "session_id", "secretary", "API-Key", "tokenCount"]) == [True, True, True, False, True, True]
+    assert values(spark, fn.normalized, ["a\x1cb", "a\x1cbé", "a\x1f\x1e b"]) == ["a b", "a bé", "a b"]
     assert values(spark, fn.safe_path, ["a/b.txt", "../a", "/a", "a\\b", "a/..", "C:x"]) == [True, False, False, False, False, False]
 
 
@@ -92,6 +95,95 @@ def test_cycles_are_reported(spark):
     assert closure.count() == 9
 
 
+def test_deep_chains_are_no_cycles(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(7)], "node long")
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 7)], "node long, needs long")
+    assert {r["node"]: r["level"] for r in graph.topological_levels(nodes, edges).collect()} == {i: i for i in range(7)}
+    with pytest.raises(RuntimeError):
+        graph.topological_levels(nodes, edges, most_rounds=3)
+
+
+def test_findings_are_closed_by_one_edge(spark):
+    findings = spark.createDataFrame([(1, "a", "p"), (2, "b", "q"), (3, "c", "r"), (4, "d", "s"), (5, None, None)], "f long, x string, y string")
+    edges = spark.createDataFrame([(10, "a", "z"), (20, "b", "q"), (21, "b", "z"), (30, "c", "z"), (31, "z", "r"), (32, None, None)], "e long, x string, y string")
+    got = {r["f"]: (r["closed_by"], r["edge_count"]) for r in resolve.close_findings(findings, edges, "f", "e", ["x", "y"]).collect()}
+    assert got == {1: (10, 1), 2: (None, 2), 3: (None, 2), 4: (None, 0), 5: (None, 0)}
+
+
+def test_places_are_numbered_over_ranges(spark):
+    rows = spark.range(500).select(F.col("id"), (F.col("id") % 7).alias("k"))
+    order = [F.desc("k"), F.col("id")]
+    got = {r["id"]: r["place"] for r in ranking.numbered(rows, order, "place").collect()}
+    want = sorted(range(500), key=lambda i: (-(i % 7), i))
+    assert [got[i] for i in want] == list(range(1, 501))
+
+
+def test_exact_quantile(spark):
+    rows = [("a", float(x)) for x in range(101)] + [("b", 5.0)] * 30 + [("b", None), ("c", 1.0), ("c", 2.0)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    assert {r["k"]: round(r["q"], 9) for r in aggregates.exact_quantile(frame, "k", "v", 0.95, "q").collect()} == {"a": 95.0, "b": 5.0, "c": 1.95}
+    assert aggregates.exact_quantile(frame.limit(0), "k", "v", 0.5, "q").count() == 0
+
+
+def test_all_overlapping_sets_are_found(spark):
+    import random
+
+    rng = random.Random(3)
+    sets = {i: {rng.randrange(12) for _ in range(rng.randrange(0, 9))} for i in range(60)}
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "i long, g array<long>")
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in aggregates.overlapping_sets(frame, "i", "g", 0.5).collect()} == want
+
+
+def brute_density(tokens, groups):
+    """The sum over shortest stretches that hold all wanted terms of an alternative, none shorter inside."""
+    terms = {t for g in groups for wanted, t in g if wanted}
+    groups = [[t for w, t in g if w] for g in groups if not any(not w and t in tokens for w, t in g)]
+    holds = lambda part: any(all(t in part for t in g) for g in groups)
+    total = 0.0
+    for b in range(len(tokens)):
+        for e in range(b, len(tokens)):
+            part = tokens[b : e + 1]
+            if holds(part) and not holds(part[1:]) and not holds(part[:-1]):
+                total += 0.1 / (1 + sum(t not in terms for t in part))
+    return total
+
+
+def test_cover_density_agrees_with_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, [rng.choice("abcdxyz") for _ in range(rng.randrange(0, 14))]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "i long, t array<string>")
+    for query in ("a b", "a b -d", "a b or c", "a", "a b c or x -y"):
+        groups = ranking.parse_keywords(query)
+        got = {r["i"]: r["s"] for r in frame.select("i", relevance.cover_density(F.col("t"), groups).alias("s")).collect()}
+        assert all(abs(got[i] - brute_density(t, groups)) < 1e-9 for i, t in rows), query
+
+
+def test_subjects_and_operations(spark):
+    assert values(spark, relevance.document_subject, ["01_画面設計書_経費一覧.v2.xlsx", "API詳細設計書_Ring-Search.docx", "", "9_x"]) == ["経費一覧v2", "ringsearch", "", "x"]
+    assert values(spark, relevance.operation_signals, ["Please FILTER and 削除", "none"]) == [["search", "delete"], []]
+
+
+def test_many_queries_find_their_nearest(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [0.0] * 4), (92, [1.0]), (93, [float("nan")] * 4), (94, x[3].tolist())]
+    frame = spark.createDataFrame(rows, "i long, v array<double>").repartition(5)
+    queries = spark.createDataFrame([(q, x[q].tolist()) for q in (3, 7, 9)] + [(99, [0.0] * 4)], "q long, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for size in (4_000_000, 40):  # one block, and a block for each query
+        monkeypatch.setattr(ranking, "QUERY_BYTES", size)
+        got = {(r["q"], r["rank"]): r["i"] for r in ranking.vector_topk_many(frame, queries, 5, "i", "q", "v").collect()}
+        assert len(got) == 15 and got[3, 1] == 3 and got[3, 2] == 94
+        for q in (7, 9):
+            near = sorted([*range(60), 94], key=lambda i: (-np.clip(unit[q] @ unit[3 if i == 94 else i], 0, 1), i))[:5]
+            assert [got[q, k] for k in range(1, 6)] == near
+
+
 def test_streams_reach_the_batch_result(spark, tmp_path):
     events = spark.createDataFrame([(i % 5, i, f"s{i % 3}") for i in range(60)], "key long, seq long, status string")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
