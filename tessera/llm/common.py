@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import saved
+
 #: White space that separates words: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -28,14 +28,10 @@ def fresh(df: DataFrame, base: str) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, a laptop) a local folder is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only in local mode, and where
+    that is unset (tests, a laptop), a local folder is made.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint()
+    return saved(df)
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
@@ -43,9 +39,17 @@ def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
+#: Chunks grow eightfold at most, beyond so many of them.
+MANY_CHUNKS, GROWTH = 100_000, 8
+
+
 def chunk_count(total_bytes: int, target_bytes: int) -> int:
-    """Chunks of about ``target_bytes``: their number follows the input, their size doesn't."""
-    return max(1, -(-total_bytes // target_bytes))
+    """Chunks of about ``target_bytes``. Beyond MANY_CHUNKS they grow first, up to GROWTH times that, then in number.
+
+    What is in every chunk (a frequent word, a notice) meets itself from all of them in one task, a row from each.
+    """
+    size = min(max(target_bytes, total_bytes // MANY_CHUNKS), GROWTH * target_bytes)
+    return max(1, -(-total_bytes // size))
 
 
 def chunk_of(n_chunks: int, *cols: str) -> Column:

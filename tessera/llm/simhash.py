@@ -6,15 +6,18 @@ three bits differ in at most three of their eight bytes, so at least five positi
 agree. The inverted index posts each distinct fingerprint under its positional bytes; posting
 lists of single bytes would be quadratic, so the posted keys are the eight triples of byte
 positions within either half (any five shared positions contain one of them). Pairs that share
-a posting are tallied over all eight positions, those with five or more agreeing bytes are kept
-and verified by their Hamming distance. Postings longer than ``DENSE`` aren't paired: their
+a posting are tallied over all eight positions (from the two fingerprints, which the posting
+carries), those with five or more agreeing bytes are kept and verified by their Hamming distance.
+With this bound the tally drops nothing that the distance would keep; it goes first as it is cheap. Postings longer than ``DENSE`` aren't paired: their
 fingerprints are posted again under all 56 five-byte keys, whose lists are taken apart in
 tasks that return spanning links only. No link is lost.
 
 Edge cases: null and empty texts have fingerprint zero and link like others; shorter texts than
 three words hash their whole word sequence; rows with a null ``doc_id`` get a fingerprint and
 the component of what they link to (null if that is nothing with an id); repeated rows are
-repeated in the result; other columns don't matter; an empty table gives an empty result.
+repeated in the result; a fingerprint with more than a thousandth of all rows meets its class by
+broadcast, so that copies, however many, are dealt over all tasks; very long texts are hashed
+whole, in memory in proportion to their words; other columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import join_counted
 from .common import checkpointed, fresh
 from .components import connected_components
 
@@ -157,19 +161,24 @@ def near_links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
         x, y = spanning_links(group["fp"].to_numpy().view(np.uint64))
         return pd.DataFrame({"u": x.view(np.int64), "v": y.view(np.int64)})
 
-    spanning = crowded.join(shared, ["k", "bytes"]).select("k", "bytes", "fp").groupBy("k", "bytes").applyInPandas(local, "u long, v long")
+    lists = crowded.join(shared, ["k", "bytes"]).select("k", "bytes", "fp")
+    parts = max(24, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be coalesced
+    spanning = lists.repartition(parts, "k", "bytes").groupBy("k", "bytes").applyInPandas(local, "u long, v long")
     return links.unionByName(spanning).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp, text_hash, group_fp, component_id)`` of each row: its group's least fingerprint and least id."""
     prints = checkpointed(fingerprints(docs, id_col, text_col))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    sizes = nodes.agg(F.count("*"), F.sum("n")).first()
     groups = connected_components(near_links(nodes.select("fp")))
-    named = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group_fp"))
-    least = named.groupBy("group_fp").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "group_fp").select("fp", "group_fp", "component_id")
-    return prints.join(classes, "fp").select("id", "fp", "text_hash", "group_fp", "component_id")
+    named = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("group_fp"))
+    named = checkpointed(named)
+    least = checkpointed(named.groupBy("group_fp").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    classes = checkpointed(join_counted(named, least, "group_fp", "fps", sizes[0]))
+    found = join_counted(prints, classes.select("fp", "group_fp", "component_id", "n"), "fp", "n", sizes[1] or 0)
+    return found.select("id", "fp", "text_hash", "group_fp", "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
