@@ -347,24 +347,30 @@ def climbed(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarra
     return w
 
 
-def frequent_features(texts: list[str], groups: list[int], least: int = LEAST_DOCUMENTS) -> dict[str, int]:
-    """A number for each feature that comes in ``least`` different documents; copies are one document."""
-    seen: dict[int, set[str]] = {}
-    for text, group in zip(texts, groups):
-        seen.setdefault(group, set()).update(re.findall(r"[^\x20\x09-\x0D]+", text))
-    numbers: dict[str, int] = {}
-    known: dict[str, list[int]] = {}
-    counts: Counter = Counter()
-    for tokens in seen.values():
-        own: set[int] = set()
-        for t in tokens:
-            if t not in known:
-                names, form, _ = described(t)
-                names += [f"<{form}", f">{form}"] if form else []
-                known[t] = [numbers.setdefault(f, len(numbers)) for f in names]
-            own.update(known[t])
-        counts.update(own)
-    return {f: i for i, f in enumerate(sorted(f for f, k in numbers.items() if counts[k] >= least))}
+def document_features(text: str) -> set[str]:
+    """All features of a text's tokens: their own, and each form as the one before and after another."""
+    out: set[str] = set()
+    for token in set(re.findall(r"[^\x20\x09-\x0D]+", text)):
+        names, form, _ = described(token)
+        out.update(names)
+        if form:
+            out.update((f"<{form}", f">{form}"))
+    return out
+
+
+def frequent_features(train: DataFrame, groups: dict[int, int], least: int = LEAST_DOCUMENTS) -> list[str]:
+    """Features that come in ``least`` different documents of ``train(text)``, in order; copies (``groups``, by text) are one document."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[int, set[str]] = {}
+            for text in batch.column("text").to_pylist():
+                seen.setdefault(groups[_text_key(text)], set()).update(document_features(text))
+            for group, names in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array([group] * len(names), pa.int64())], ["feature", "document"])
+
+    pairs = train.select("text").mapInArrow(emit, "feature string, document long").distinct()
+    return sorted(r["feature"] for r in pairs.groupBy("feature").count().filter(F.col("count") >= least).select("feature").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
@@ -376,10 +382,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
     by_text = copy_groups(train)
     groups = [by_text[_text_key(r["text"])] for r in rows]
     size = Counter(groups)
-    field = Field(frequent_features([r["text"] for r in rows], groups))
+    field = Field({f: i for i, f in enumerate(frequent_features(train, by_text))})
     tokens = Tokens([r["text"].encode() for r in rows], field.look_up)
+    field._known.clear()
     field.fit(tokens, np.array([r["toxic"] for r in rows]), np.array([1 / size[g] for g in groups]))
-    field._known.clear()  # the field travels with the tasks: its weights, no more
     return field
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -41,11 +42,15 @@ def test_long_quiet_texts_keep_small_chances():
     assert np.isclose(found.log_z.sum(), 50_000 * np.exp(-20.0), rtol=1e-4)
 
 
-def test_gradient_agrees_with_differences(monkeypatch):
+def test_gradient_agrees_with_differences(monkeypatch, spark):
     rng = random.Random(4)
     words = "Alpha beta, gamma. delta Eps zeta! eta".split()
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(12)]
-    field = ts.Field(ts.frequent_features(texts, list(range(12)), 2))
+    groups = {ts._text_key(t): i for i, t in enumerate(texts)}
+    names = ts.frequent_features(spark.createDataFrame([(t,) for t in texts], "text string"), groups, 2)
+    counts = Counter(f for t in set(texts) for f in ts.document_features(t))
+    assert names == sorted(f for f, n in counts.items() if n >= 2)
+    field = ts.Field({f: i for i, f in enumerate(names)})
     tokens = ts.Tokens([t.encode() for t in texts], field.look_up)
     toxic, shares = np.arange(12) % 2, np.linspace(0.5, 1, 12)
     seen = []
