@@ -2,12 +2,14 @@
 
 Each stage takes what its predecessor kept and returns a DataFrame. ``run`` writes each but the
 last stage's rows as Parquet to the folder that the cluster shares for checkpoints, so that a
-lost executor costs one stage at most, and reads them again for the next.
+lost executor costs one stage at most, and reads them again for the next. The last of these is
+read when the result is, so the folder stays; who owns the shared folder clears it.
+
+An empty table passes through all stages; rows with a null ``doc_id`` are documents like others.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, quality_rules, sharding, simhash
 from tessera.llm.common import table
+from tessera.operators.storage import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over the whole documents table."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-pipeline-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         kept = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
