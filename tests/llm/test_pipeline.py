@@ -33,3 +33,16 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r["shard"] for r in out} == set(range(sharding.SHARDS))
     assert [name for name, _ in cp.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "source_mixing", "sharding"]
     assert quality_rules and simhash and decontaminate
+
+
+def test_null_ids_long_texts_and_empty_tables(spark, tmp_path):
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(400)] + ["the", "of", "and"] * 30
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(None, text(80), "en", None), (None, text(90), "en", "a"), (1, text(60_000), "en", "a"), (2, text(70), "en", None), (2, None, "en", "a")]
+    for name, rows in (("full", docs), ("empty", [])):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(0, text(30)), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    full = cp.run(spark, str(tmp_path / "full")).collect()
+    assert {r["doc_id"] for r in full} == {None, 1, 2} and len({r["size"] for r in full}) == 4
+    assert cp.run(spark, str(tmp_path / "empty")).count() == 0
