@@ -19,10 +19,17 @@ answered by a bit each; no pair of documents is ever listed, however many share
 
 Texts are shuffled once, by chunk; the plan reuses that exchange for steps 1, 3 and 5.
 
+Words are told apart, and runs of them are, by 64-bit hashes, and never compared: at n different
+runs, chance makes about n * n / 2**65 pairs of them alike (none at a billion, one in a million
+runs at 10**13).
+
 Edge cases: null and empty texts have no words; texts under 13 words lose nothing; a row with
 a null id has no earlier and is no earlier than any other: it loses nothing and takes nothing;
 rows with equal ids are one document as to order, so a run within it, however often, is kept
-once for each; an empty table gives an empty result; other columns aren't carried.
+once for each; rows equal in id and text are all in one chunk; very long texts are chunks of their
+own, in memory whole; a run in all chunks (a notice) sends its bucket a row from each, and chunks
+grow with the input before they grow in number (see ``common``); an empty table gives an empty
+result; other columns aren't carried.
 """
 
 from __future__ import annotations

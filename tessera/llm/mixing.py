@@ -17,7 +17,7 @@ cell the rest ends, and only that cell is split on. A hot source costs as many c
 
 Edge cases: a null or empty text has size 0 and is taken 0 words; a null source is one source,
 last in order; rows equal in id and text rank alike, and where a sample ends among them
-any choice gives the same rows; sources without words have target 0; an empty table gives an empty result; further
+any choice gives the same rows; very long texts are counted whole; sources without words have target 0; an empty table gives an empty result; further
 columns are not carried and may have any name.
 """
 

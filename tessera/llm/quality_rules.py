@@ -8,7 +8,8 @@ mostly repeated three-word windows) fail before the table is asked.
 Edge cases: a null or empty text has no words and fails (``n_words < 50``); ratios of an
 empty text are 0; repeated rows are judged alike, each on its own; other columns, whatever
 their names, are carried through untouched by ``apply_quality_rules``; an empty table gives
-an empty result. Three-word windows of one text are compared by 64-bit hashes.
+an empty result; very long texts are measured whole, in memory in proportion to their words, in
+time to their logarithm as well. Three-word windows of one text are compared by 64-bit hashes.
 """
 
 from __future__ import annotations

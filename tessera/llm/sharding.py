@@ -9,7 +9,8 @@ differ by one row at most and slots have no gaps. ``locate`` computes both for a
 
 Edge cases: a null text counts as empty, null ids are ids like any other, in order first;
 repeated rows are counted before they are numbered, each gets a slot of its own, and as they are
-equal any assignment among them is the same; an empty table gives an empty result; other columns
+equal any assignment among them is the same, and many of them are one counted row until then; very
+long texts count in whole; an empty table gives an empty result; other columns
 aren't carried and may have any name.
 """
 
