@@ -97,3 +97,57 @@ def test_shards_are_even_and_reproducible(spark):
     shard, slot = sharding.locate(out["row_number"].to_numpy(), len(out))
     assert (shard == out["shard"]).all() and (slot == out["slot"]).all()
     assert sharding.shard_rows(frame.limit(0)).count() == 0
+
+
+def test_the_drawn_sample_agrees_with_brute_force(spark):
+    """Ranks, their order and where each source's sample ends, from the hashes alone."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 120)), rng.choice(["a", "b", "b", "b", None])) for i in range(500)] + [(1000, "long " * 30_000, "a"), (None, "x y", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing.sized(frame).collect()
+    out = {r["h"]: r for r in mixing.pareto_mix(frame).collect()}
+    by_source = {}
+    for r in sized:
+        by_source.setdefault((r["no_source"], r["source_name"]), []).append(r)
+    for own in by_source.values():
+        total, target = sum(r["size"] for r in own), out[own[0]["h"]]["target"]
+        whole = int(target / total + 1e-9)
+        rest = max(target - whole * total, 0.0)
+        like = lambda n: n / (n + 50.0)
+        liked = sum(int(like(r["size"]) * r["size"] * 1e6) for r in own) / 1e6
+        ranked = []
+        for r in own:
+            p = min(max(rest / liked * like(r["size"]), 1e-9), 1 - 1e-9)
+            rank = r["u"] / (1 - r["u"]) / (p / (1 - p))
+            ranked.append((rank, r["h"], r["size"]))
+        upto = 0
+        for _, h, size in sorted(ranked):
+            before, upto = upto, upto + size
+            drawn = upto <= rest or (before < rest and upto - rest < rest - before)
+            assert out[h]["copies"] == whole + drawn and out[h]["taken"] == out[h]["copies"] * size
+
+
+def test_numbers_are_permuted_as_a_plain_network_does(spark):
+    def mixed(x, key):
+        x = (x + key) % 2**64
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+        return x ^ (x >> 31)
+
+    def permuted(x, total):
+        bits = next(b for b in range(1, 40) if 4**b >= total)
+        while True:
+            left, right = x >> bits, x & (2**bits - 1)
+            for r in range(sharding.ROUNDS):
+                key = (sharding.SEED * 0x9E3779B97F4A7C15 + (r + 1) * 0xD1B54A32D192ED03) % 2**64
+                left, right = right, left ^ (mixed(right, key) % 2**bits)
+            x = left << bits | right
+            if x < total:
+                return x
+
+    rows = [(i, "t" * (i % 40)) for i in range(700)] + [(3, "ttt")] * 5 + [(None, None)] * 2
+    out = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["row_number"] for r in out) == list(range(len(rows)))
+    for r in out:
+        to = permuted(r["row_number"], len(rows))
+        assert (r["shard"], r["slot"]) == (to % sharding.SHARDS, to // sharding.SHARDS)
