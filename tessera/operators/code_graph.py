@@ -98,14 +98,15 @@ def repository_tables(files: DataFrame) -> DataFrame:
     return out.select("repository", "entity", F.when(F.col("n") == 1, F.col("t")).alias("table_name"), status.alias("resolution_status"))
 
 
+# How names of repository methods begin that write, and that read.
+WRITE_PREFIXES = ("create", "delete", "insert", "remove", "save", "update", "write")
+READ_PREFIXES = ("count", "exists", "find", "get", "query", "read", "search", "stream")
+
+
 def database_operation(method: Column) -> Column:
-    """What a repository method does, by the beginning of its name."""
-    return (
-        F.when(method.rlike(r"^(?i)(find|get|read|query|count|exists|search|list|load)"), "read")
-        .when(method.rlike(r"^(?i)(save|create|insert|add|store)"), "create")
-        .when(method.rlike(r"^(?i)(update|set|modify|change)"), "update")
-        .when(method.rlike(r"^(?i)(delete|remove|clear)"), "delete").otherwise("unknown")
-    )
+    """What a repository method does to its table, by the beginning of its name: writes, reads or null."""
+    name = F.lower(method)
+    return F.when(name.rlike("^(" + "|".join(WRITE_PREFIXES) + ")"), "writes").when(name.rlike("^(" + "|".join(READ_PREFIXES) + ")"), "reads")
 
 
 def client_calls(files: DataFrame) -> DataFrame:

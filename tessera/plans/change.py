@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import records, unresolved, verdicts
+from ..functions import text as fn
+from ..operators import code_graph, progress, records, unresolved, verdicts
+from ..streaming import state
 from .registry import Tables, query
 
 
@@ -369,3 +371,68 @@ def context_items(t: Tables) -> DataFrame:
     why = F.array(F.when(F.col("o_totalprice") > 150000, "direct_change"), F.when(k % 4 == 0, "rag_candidate"), F.when(k % 2 == 0, "parent"))
     out = verdicts.context_items(nodes, t.orders.select(*key, F.explode(why).alias("reason")), budget=12)
     return out.select("package", "section_id", "reason", F.array_join(F.transform("evidence_refs", lambda x: x.cast("string")), ",").alias("refs"), "tokens", "within_budget")
+
+
+@query("signature_arities", """
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS arity, CASE p_size % 3 WHEN 0 THEN 'reads' WHEN 1 THEN 'writes' END AS operation FROM part
+""")
+def signature_arities(t: Tables) -> DataFrame:
+    size = F.col("p_size") % 4
+    text = F.when(size == 0, "( )").when(size == 1, "(Map<K, List<Set<A<B<C, D>, E>>>> m)").when(size == 2, "(int[] a, Map<String, Integer> b)").otherwise("(A a, B<C, D> b, E... e)")
+    name = F.when(F.col("p_size") % 3 == 0, "findBy").when(F.col("p_size") % 3 == 1, "SaveAll").otherwise("orphan")
+    return t.part.select("p_partkey", fn.signature_arity(F.concat("p_brand", text)).alias("arity"), code_graph.database_operation(F.concat(name, "p_type")).alias("operation"))
+
+
+@query("cell_places", "SELECT p_partkey, p_size AS row, (p_partkey % 700 + 1)::INT AS col FROM part")
+def cell_places(t: Tables) -> DataFrame:
+    """References of cells, written and read back."""
+    ref = records.a1(F.col("p_size"), F.col("p_partkey") % 700 + 1)
+    return t.part.select("p_partkey", fn.a1_row_col(ref).alias("c")).select("p_partkey", "c.row", "c.col")
+
+
+@query("preferred_edges", """
+SELECT id, origin FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey * 100000 + l_partkey AS origin,
+  row_number() OVER (PARTITION BY l_orderkey * 10 + l_linenumber ORDER BY l_suppkey * 100000 + l_partkey DESC) AS rn FROM lineitem) WHERE rn = 1
+""")
+def preferred_edges(t: Tables) -> DataFrame:
+    e = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), (F.col("l_suppkey") * 100000 + F.col("l_partkey")).alias("origin")).distinct()
+    return code_graph.preferred_edges(e, "origin").withColumnRenamed("edge_id", "id")
+
+
+@query("replayed_events", "SELECT event_id, user_id, event_type FROM events")
+def replayed_events(t: Tables) -> DataFrame:
+    """The log, with a third of its events delivered again, once each."""
+    e = t.events.select("event_id", "user_id", "event_type", "ts")
+    return state.replay_safe(e.unionByName(e.filter("event_id % 3 = 0")), "event_id", "ts").drop("ts")
+
+
+@query("shown_stages", """
+SELECT o_custkey AS k, o_orderkey AS stage, CASE WHEN max(o_orderstatus <> 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'waiting' WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'running' END AS shown_state FROM orders
+""")
+def shown_stages(t: Tables) -> DataFrame:
+    o = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("stage"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("state"))
+    return progress.stage_states(o, "k", "stage", "state").drop("state")
+
+
+@query("sql_table_uses", """
+WITH o AS (SELECT o_orderkey AS id, o_custkey % 30 AS a, o_custkey % 7 AS b FROM orders)
+SELECT DISTINCT id, unnest([{'t': 't' || a, 'x': 'reads', 'l': 1}, {'t': 'u' || b, 'x': 'reads', 'l': 2}, {'t': 't' || a, 'x': 'writes', 'l': 4}], recursive := true) FROM o
+""".replace("SELECT DISTINCT id, unnest([", "SELECT id, x.t AS table_name, x.x AS access, x.l AS line FROM (SELECT id, unnest([").replace(", recursive := true) FROM o", ") AS x FROM o)"))
+def sql_table_uses(t: Tables) -> DataFrame:
+    """Orders as SQL files that read two tables and write one of them."""
+    text = F.concat(F.lit("SELECT * FROM T"), (F.col("o_custkey") % 30).cast("string"), F.lit(" x\n  JOIN \"u"), (F.col("o_custkey") % 7).cast("string"), F.lit("\" y ON true;\n\nInsert  Into t"), (F.col("o_custkey") % 30).cast("string"), F.lit(" VALUES (1);"))
+    _, uses = unresolved.sql_table_refs(t.orders.select(F.col("o_orderkey").alias("path"), text.alias("text")))
+    return uses.select(F.col("path").alias("id"), F.col("table").alias("table_name"), "access", "line")
+
+
+@query("changed_line_scan", """
+WITH f AS (SELECT p_partkey AS id, p_size AS s, p_partkey % 4 AS n FROM part WHERE p_partkey % 3 <> 0)
+SELECT 'src/f' || id || '.py' AS path, unnest(range(s, s + n)) AS line FROM f
+""")
+def changed_line_scan(t: Tables) -> DataFrame:
+    """Parts as a diff of one file each, with one hunk of none to three lines."""
+    p = t.part.filter("p_partkey % 3 <> 0")
+    path = _text(("src/f",), "p_partkey", (".py",))
+    lines = F.array(F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path), F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path), F.concat(F.lit("@@ -1,2 +"), F.col("p_size").cast("string"), F.lit(","), (F.col("p_partkey") % 4).cast("string"), F.lit(" @@ def")), F.lit("+x"))
+    rows = p.select(F.col("p_partkey").alias("diff_id"), F.posexplode(lines).alias("pos", "line"))
+    return unresolved.changed_lines(rows)

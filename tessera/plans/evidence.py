@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import conditions
 from ..functions import text as fn
-from ..operators import aggregates, graph, ranking, resolve
+from ..operators import aggregates, graph, progress, ranking, resolve
 from ..streaming import state
 from .registry import Tables, query
 
@@ -251,8 +251,7 @@ def changed_line_coverage(t: Tables) -> DataFrame:
 SELECT user_id, count(*) AS n_conditions, bool_and(value <= 60) AS covered, count(*) FILTER (value > 60) AS n_failed FROM events WHERE event_type = 'click' GROUP BY user_id
 """)
 def criterion_coverage(t: Tables) -> DataFrame:
-    e = t.events.filter("event_type = 'click'").groupBy("user_id")
-    return e.agg(F.count("*").alias("n_conditions"), F.bool_and(F.col("value") <= 60).alias("covered"), F.count_if(F.col("value") > 60).alias("n_failed"))
+    return progress.criterion_coverage(t.events.filter("event_type = 'click'"), "user_id", F.col("value") <= 60)
 
 
 @query("closure_status", """
@@ -413,11 +412,7 @@ SELECT o_custkey AS custkey, count(*) FILTER (o_orderstatus = 'F') AS done, coun
 FROM orders GROUP BY o_custkey
 """)
 def stage_progress(t: Tables) -> DataFrame:
-    done = F.count_if(F.col("o_orderstatus") == "F")
-    return t.orders.groupBy(F.col("o_custkey").alias("custkey")).agg(
-        done.alias("done"), F.count("*").alias("stages"), F.min(F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey"))).alias("current_stage"),
-        F.round(done * 100.0 / F.count("*")).alias("percent"),
-    )
+    return progress.stage_progress(t.orders.withColumnRenamed("o_custkey", "custkey"), "custkey", "o_orderkey", F.col("o_orderstatus") == "F")
 
 
 @query("capability_match", """
@@ -425,14 +420,12 @@ SELECT p_partkey, p_size FROM part WHERE p_type IN ('ECONOMY', 'STANDARD') AND (
 """)
 def capability_match(t: Tables) -> DataFrame:
     """Rows whose needed capabilities are a subset of those on offer."""
-    offered = F.array(*[F.lit(x) for x in ("ECONOMY", "STANDARD", "ring", "widget")])
     needs = F.array("p_type", F.element_at(F.split("p_name", " "), -1))
-    return t.part.filter(F.size(F.array_except(needs, offered)) == 0).select("p_partkey", "p_size")
+    return progress.capable(t.part, needs, ("ECONOMY", "STANDARD", "ring", "widget")).select("p_partkey", "p_size")
 
 
 @query("html_route_scan", r"""
 SELECT page_id, len(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS n_links, array_to_string(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), ' ') AS links FROM pages
 """)
 def html_route_scan(t: Tables) -> DataFrame:
-    links = F.regexp_extract_all("html", F.lit(r'<a href="(/[^"]*)"'), 1)
-    return t.pages.select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"))
+    return progress.matched_parts(t.pages, "page_id", "html", r'<a href="(/[^"]*)"', "links").withColumn("links", F.array_join("links", " "))

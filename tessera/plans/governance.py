@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import publishing
+from ..operators import progress, publishing
 from .registry import Tables, query
 
 
@@ -88,11 +88,9 @@ WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT
 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
 """)
 def drift_propagation(t: Tables) -> DataFrame:
-    nations = t.nation.join(t.region.filter("r_regionkey < 2"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
-    customers = t.customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
-    orders = t.orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
-    lines = t.lineitem.join(t.supplier.filter("s_acctbal < 0"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_suppkey").distinct()
+    orders = progress.propagated(t.region.filter("r_regionkey < 2"), (t.nation, "n_regionkey", "r_regionkey"), (t.customer, "c_nationkey", "n_nationkey"), (t.orders, "o_custkey", "c_custkey"))
+    lines = progress.propagated(t.supplier.filter("s_acctbal < 0"), (t.lineitem, "l_suppkey", "s_suppkey"))
+    return orders.select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_suppkey").distinct()
 
 
 @query("scenario_evidence", """
@@ -100,11 +98,8 @@ SELECT l_orderkey AS flow, bool_and(l_linestatus = 'F') AS passed, count(*) AS s
 FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_quantity > 10)
 """)
 def scenario_evidence(t: Tables) -> DataFrame:
-    flows = t.lineitem.groupBy(F.col("l_orderkey").alias("flow")).agg(
-        F.bool_and(F.col("l_linestatus") == "F").alias("passed"), F.count("*").alias("steps"),
-        F.array_join(F.array_sort(F.collect_set("l_suppkey")).cast("array<string>"), ",").alias("evidence"), F.bool_and(F.col("l_quantity") > 10).alias("_all"),
-    )
-    return flows.filter("_all").drop("_all")
+    out = progress.scenario_evidence(t.lineitem.withColumnRenamed("l_orderkey", "flow"), "flow", F.col("l_linestatus") == "F", "l_suppkey", F.col("l_quantity") > 10)
+    return out.withColumn("evidence", F.array_join(F.col("evidence").cast("array<string>"), ","))
 
 
 @query("publish_plan", """
@@ -179,10 +174,9 @@ SELECT n_regionkey AS gate, count(*) AS cases, CASE WHEN bool_or(c_acctbal < -90
 FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_regionkey
 """)
 def readiness_summary(t: Tables) -> DataFrame:
-    c = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
-    low = lambda x: F.bool_or(F.col("c_acctbal") < x)
-    status = F.when(low(-900), "blocked").when(low(-500), "needs_review").otherwise("ready")
-    return c.groupBy(F.col("n_regionkey").alias("gate")).agg(F.count("*").alias("cases"), status.alias("status"))
+    c = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).withColumnRenamed("n_regionkey", "gate")
+    low = lambda x: F.col("c_acctbal") < x
+    return progress.folded_status(c, "gate", [("blocked", low(-900)), ("needs_review", low(-500))], "ready")
 
 
 @query("rebuild_batches", """
@@ -190,18 +184,15 @@ SELECT o_orderkey, (o_orderkey % 5 + 1) * 10 AS phase, row_number() OVER (PARTIT
        o_orderkey % 5 = min(o_orderkey % 5) OVER (PARTITION BY o_custkey) AS ready FROM orders WHERE o_orderstatus <> 'F'
 """)
 def rebuild_batches(t: Tables) -> DataFrame:
-    o = t.orders.filter("o_orderstatus <> 'F'").withColumn("p", F.col("o_orderkey") % 5)
-    own = Window.partitionBy("o_custkey")
-    place = F.row_number().over(own.orderBy("p", "o_orderkey")).cast("long")
-    return o.select("o_orderkey", ((F.col("p") + 1) * 10).alias("phase"), place.alias("place"), (F.col("p") == F.min("p").over(own)).alias("ready"))
+    o = t.orders.filter("o_orderstatus <> 'F'").withColumn("phase", (F.col("o_orderkey") % 5 + 1) * 10)
+    return progress.rebuild_batches(o, "o_custkey", "phase", "o_orderkey").select("o_orderkey", "phase", "place", "ready")
 
 
 @query("stale_run_recovery", """
 SELECT user_id, max(ts) AS started_at, CASE WHEN max(ts) <= TIMESTAMP '2024-01-29' THEN 'recovered' ELSE 'running' END AS state FROM events WHERE event_type = 'signup' GROUP BY user_id
 """)
 def stale_run_recovery(t: Tables) -> DataFrame:
-    runs = t.events.filter("event_type = 'signup'").groupBy("user_id").agg(F.max("ts").alias("started_at"))
-    return runs.withColumn("state", F.when(F.col("started_at") <= F.lit("2024-01-29").cast("timestamp"), "recovered").otherwise("running"))
+    return progress.recovered_runs(t.events.filter("event_type = 'signup'"), "user_id", "ts", "2024-01-29")
 
 
 @query("target_classification", """
@@ -209,9 +200,7 @@ SELECT url, CASE WHEN url LIKE 'https:%' THEN 'secure' WHEN url LIKE 'http:%' TH
        split_part(split_part(url, '://', 2), '/', 1) AS category, count(*) AS n FROM pages GROUP BY url
 """)
 def target_classification(t: Tables) -> DataFrame:
-    scheme = F.when(F.col("url").startswith("https:"), "secure").when(F.col("url").startswith("http:"), "plain").otherwise("unknown")
-    host = F.split_part(F.split_part(F.col("url"), F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
-    return t.pages.groupBy("url").agg(F.count("*").alias("n")).select("url", scheme.alias("namespace"), host.alias("category"), "n")
+    return progress.url_kinds(t.pages, "url")
 
 
 @query("event_sequences", "SELECT user_id, coalesce(max(event_id), 0) + 1 AS next_sequence, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")

@@ -85,4 +85,4 @@ def test_chains_from_calls_to_tables(spark):
     calls = {(r["method"], r["route"], r["reason"]) for r in code_graph.call_endpoints(files).collect()}
     assert calls == {("GET", "/orders/{*}", "resolved_unique"), ("POST", "/orders", "resolved_unique"), ("GET", "/none", "endpoint_not_found")}
     names = spark.createDataFrame([("findById",), ("saveAll",), ("deleteX",), ("run",)], "m string")
-    assert [r[0] for r in names.select(code_graph.database_operation(names.m)).collect()] == ["read", "create", "delete", "unknown"]
+    assert [r[0] for r in names.select(code_graph.database_operation(names.m)).collect()] == ["reads", "writes", "writes", None]
