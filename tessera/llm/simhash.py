@@ -162,7 +162,8 @@ def near_links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
         return pd.DataFrame({"u": x.view(np.int64), "v": y.view(np.int64)})
 
     lists = crowded.join(shared, ["k", "bytes"]).select("k", "bytes", "fp")
-    parts = max(24, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be coalesced
+    # Few bytes, much work: a number of its own keeps this exchange from being taken for the join's, and from being coalesced.
+    parts = max(24, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
     spanning = lists.repartition(parts, "k", "bytes").groupBy("k", "bytes").applyInPandas(local, "u long, v long")
     return links.unionByName(spanning).distinct()
 
