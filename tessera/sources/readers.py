@@ -57,6 +57,10 @@ def _opened(content: bytes) -> zipfile.ZipFile:
     entries = archive.infolist()
     if len(entries) > MOST_ENTRIES or sum(e.file_size for e in entries) > MOST_UNZIPPED_BYTES:
         raise ValueError("the archive is too large when unzipped")
+    if any(e.flag_bits & 1 for e in entries):
+        raise ValueError("the archive is encrypted")
+    if any(e.filename.startswith("/") or "\\" in e.filename or ".." in e.filename.split("/") for e in entries):
+        raise ValueError("an entry of the archive leaves it")
     return archive
 
 
@@ -121,6 +125,72 @@ def read_docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(binary_files(spark, path, "*.docx"), _paragraphs, {"ordinal": "int", "style": "string", "text": "string"})
 
 
+def _table_cells(content: bytes) -> Iterator[dict]:
+    root = ElementTree.fromstring(_opened(content).read("word/document.xml"))
+    for table, element in enumerate(root.iter(f"{_WORD}tbl"), 1):
+        for row, tr in enumerate(element.findall(f"{_WORD}tr"), 1):
+            for col, tc in enumerate(tr.findall(f"{_WORD}tc"), 1):
+                text = "\n".join("".join(t.text or "" for t in p.iter(f"{_WORD}t")) for p in tc.findall(f"{_WORD}p")).strip()
+                if text:
+                    yield {"sheet": f"table {table}", "row": row, "col": col, "ref": f"R{row}C{col}", "value": text}
+
+
+def read_docx_tables(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, sheet, row, col, ref, value, error)`` of every table cell with text, as sheets named after the table's place."""
+    return _parsed(binary_files(spark, path, "*.docx"), _table_cells, {"sheet": "string", "row": "int", "col": "int", "ref": "string", "value": "string"})
+
+
+#: Readers of cells by file ending.
+CELL_READERS = {".xlsx": read_xlsx_cells, ".docx": read_docx_tables}
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of all documents below ``path`` whose ending has a reader, with that ``ending``."""
+    rows = None
+    for ending, read in sorted(CELL_READERS.items()):
+        part = read(spark, path).withColumn("ending", F.lit(ending))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def sheet_signals(cells: DataFrame, most_rows: int = 500, most_columns: int = 100) -> DataFrame:
+    """``(path, sheet, file_name, first_row, terms)``: what tells a document's kind, from the first rows and columns of each sheet.
+
+    The bounds are those of the signal, not of the records; ``terms`` are the different values, in order.
+    """
+    some = cells.filter((F.col("row") <= most_rows) & (F.col("col") <= most_columns) & (F.trim(F.coalesce("value", F.lit(""))) != ""))
+    name = F.element_at(F.split("path", "/"), -1)
+    first = F.min("row").over(Window.partitionBy("path", "sheet"))
+    rows = some.withColumn("_first", first)
+    head = F.array_sort(F.collect_list(F.when(F.col("row") == F.col("_first"), F.struct("col", F.trim("value").alias("v")))))
+    out = rows.groupBy("path", "sheet").agg(head.alias("h"), F.array_sort(F.collect_set(F.trim("value"))).alias("terms"))
+    return out.select("path", "sheet", name.alias("file_name"), F.transform("h", lambda x: x["v"]).alias("first_row"), "terms")
+
+
+def read_coverage_json(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line, covered)`` of JSON coverage reports with executed and missing lines by file."""
+    kind = "files map<string, struct<executed_lines:array<int>, missing_lines:array<int>>>"
+    files = binary_files(spark, path, "*.json").select(F.from_json(F.col("content").cast("string"), kind).alias("r")).select(F.explode("r.files").alias("file", "f"))
+    each = lambda lines, covered: F.transform(F.coalesce(lines, F.array().cast("array<int>")), lambda n: F.struct(n.alias("line"), F.lit(covered).alias("covered")))
+    lines = files.select("file", F.inline(F.concat(each(F.col("f.executed_lines"), True), each(F.col("f.missing_lines"), False))))
+    return lines.groupBy("file", "line").agg(F.bool_or("covered").alias("covered"))
+
+
+def coverage_lines(lcov: DataFrame | None = None, jacoco: DataFrame | None = None, coverage_json: DataFrame | None = None) -> DataFrame:
+    """``(file, line, covered)`` of reports of any kind: a line is executable if one names it, covered if one ran it."""
+    parts = []
+    if lcov is not None:
+        parts.append(lcov.select("file", "line", (F.col("hits") > 0).alias("covered")))
+    if jacoco is not None:
+        parts.append(jacoco.filter("error is null").select("file", "line", (F.col("covered") > 0).alias("covered")))
+    if coverage_json is not None:
+        parts.append(coverage_json.select("file", "line", "covered"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("file", "line").agg(F.bool_or("covered").alias("covered"))
+
+
 def read_lcov(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line, hits)`` of LCOV tracefiles; a line reported more than once has its hits summed."""
     lines = binary_files(spark, path, "*.info").select(F.posexplode(F.split(F.col("content").cast("string"), r"\r?\n")).alias("pos", "text"), "path")
@@ -145,12 +215,15 @@ def read_jacoco(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_properties(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, name, value)`` of ``.properties`` files: comments go, continued lines are joined, later values win."""
-    content = F.regexp_replace(F.col("content").cast("string"), r"\\\r?\n[ \t]*", "")
+    """``(path, name, value, line)`` of ``.properties`` files: comments go, continued lines are joined, later values win. ``line``: where it begins."""
+    content = F.regexp_replace(F.col("content").cast("string"), r"\\\r?\n[ \t]*", "\u0001")
     lines = binary_files(spark, path, "*.properties").select("path", F.posexplode(F.split(content, r"\r?\n")).alias("pos", "line"))
+    joined = F.length("line") - F.length(F.replace("line", F.lit("\u0001"), F.lit("")))
+    before = F.sum(joined).over(Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("at", (F.col("pos") + 1 + F.coalesce(before, F.lit(0))).cast("int")).withColumn("line", F.replace("line", F.lit("\u0001"), F.lit("")))
     wanted = lines.filter(~F.col("line").rlike(r"^\s*([#!]|$)"))
     name, value = (F.regexp_extract("line", r"^\s*([^=:\s]+)\s*[=:\s]\s*(.*?)\s*$", g) for g in (1, 2))
-    return wanted.filter(name != "").groupBy("path", name.alias("name")).agg(F.max_by(value, F.col("pos")).alias("value"))
+    return wanted.filter(name != "").groupBy("path", name.alias("name")).agg(F.max_by(value, F.col("pos")).alias("value"), F.max_by("at", "pos").alias("line"))
 
 
 #: Languages by file ending.

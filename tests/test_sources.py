@@ -34,6 +34,22 @@ def test_docx_paragraphs(spark, tmp_path):
     assert [(r["ordinal"], r["style"], r["text"]) for r in rows] == [(0, "Heading1", "Scope"), (2, None, "One rule")]
 
 
+def test_docx_tables_and_unsafe_archives(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    cell = lambda *texts: "<w:tc>" + "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in texts) + "</w:tc>"
+    with zipfile.ZipFile(tmp_path / "t.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:tbl><w:tr>{cell("Key")}{cell("Rule")}</w:tr><w:tr>{cell("k1")}{cell("one", "two")}</w:tr><w:tr>{cell("")}</w:tr></w:tbl></w:body></w:document>')
+    make_xlsx(tmp_path / "rules.xlsx")
+    with zipfile.ZipFile(tmp_path / "bad.xlsx", "w") as z:
+        z.writestr("../out.xml", "x")
+    cells = readers.read_cells(spark, str(tmp_path))
+    assert {(r["ref"], r["value"]) for r in cells.filter("ending = '.docx'").collect()} == {("R1C1", "Key"), ("R1C2", "Rule"), ("R2C1", "k1"), ("R2C2", "one\ntwo")}
+    (bad,) = cells.filter("error is not null").collect()
+    assert bad["path"].endswith("bad.xlsx") and "leaves" in bad["error"]
+    signals = {r["file_name"]: (r["first_row"], r["terms"]) for r in readers.sheet_signals(cells.filter("error is null"), most_rows=2, most_columns=2).collect()}
+    assert signals == {"t.docx": (["Key", "Rule"], ["Key", "Rule", "k1", "one\ntwo"]), "rules.xlsx": (["Key", "Limit"], ["12", "Key", "Limit", "status"])}
+
+
 def test_reports_and_properties(spark, tmp_path):
     (tmp_path / "c.info").write_text("TN:\nSF:a.js\nDA:1,2\nDA:2,0\nend_of_record\nSF:b.js\nDA:1,1\nDA:1,3\nend_of_record\n")
     assert {tuple(r) for r in readers.read_lcov(spark, str(tmp_path)).collect()} == {("a.js", 1, 2), ("a.js", 2, 0), ("b.js", 1, 4)}
@@ -41,6 +57,12 @@ def test_reports_and_properties(spark, tmp_path):
     (row,) = readers.read_jacoco(spark, str(tmp_path)).collect()
     assert (row["file"], row["line"], row["missed"], row["covered"]) == ("p/q/A.java", 3, 0, 4)
     (tmp_path / "m.properties").write_text("# note\na.b = one \\\n   two\nkey:3\na.b=last\n")
+    assert {(r["name"], r["value"], r["line"]) for r in readers.read_properties(spark, str(tmp_path)).collect()} == {("a.b", "last", 5), ("key", "3", 4)}
+    (tmp_path / "v.json").write_text('{"meta": {}, "files": {"m.py": {"executed_lines": [1, 2], "missing_lines": [3], "summary": {}}, "n.py": {"executed_lines": []}}}')
+    told = readers.read_coverage_json(spark, str(tmp_path))
+    assert {tuple(r) for r in told.collect()} == {("m.py", 1, True), ("m.py", 2, True), ("m.py", 3, False)}
+    every = readers.coverage_lines(readers.read_lcov(spark, str(tmp_path)), readers.read_jacoco(spark, str(tmp_path)), told)
+    assert every.filter("covered").count() == 5 and every.count() == 7
     assert {(r["name"], r["value"]) for r in readers.read_properties(spark, str(tmp_path)).collect()} == {("a.b", "last"), ("key", "3")}
 
 
