@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from .storage import saved
 
 _SHEET = ["path", "sheet"]
 
@@ -22,17 +23,17 @@ def scan_records(cells: DataFrame, aliases: DataFrame, least_headers: int = 2) -
     """
     known = aliases.select(fn.search_text(F.col("alias")).alias("_a"), "field").dropDuplicates(["_a"])
     good = cells.filter(F.trim(F.coalesce("value", F.lit(""))) != "").select(*_SHEET, "row", "col", "ref", F.trim("value").alias("value")).withColumn("_a", fn.search_text(F.col("value")))
-    named = good.join(F.broadcast(known), "_a", "left")  # a profile's alias table
+    named = saved(good.join(F.broadcast(known), "_a", "left"))  # a profile's alias table; the cells are read four times
     rows = named.groupBy(*_SHEET, "row").agg(F.countDistinct("field").alias("n_fields"), F.count("*").alias("n_cells"), F.min(F.struct("col", "field", "ref")).alias("first"), F.max(F.struct("col", "value", "ref")).alias("last"))
     upto = Window.partitionBy(*_SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     is_header = F.col("n_fields") >= least_headers
-    rows = rows.withColumns({"is_header": is_header, "header": F.last(F.when(is_header, F.col("row")), ignorenulls=True).over(upto)})
+    rows = saved(rows.withColumns({"is_header": is_header, "header": F.last(F.when(is_header, F.col("row")), ignorenulls=True).over(upto)}))
     is_context = F.col("header").isNull() & ~F.col("is_header") & (F.col("n_cells") == 2) & F.col("first.field").isNotNull()
     name = F.concat(F.element_at(F.split("path", "/"), -1), F.lit("#"), F.col("sheet"), F.lit("!"))
     context = rows.filter(is_context).groupBy("path", F.col("first.field").alias("field")).agg(F.min(F.struct("sheet", "row", F.col("last.value").alias("value"), F.concat(name, "last.ref").alias("source_ref"))).alias("c"))
     headers = named.filter(F.col("field").isNotNull()).join(rows.filter("is_header").select(*_SHEET, "row"), [*_SHEET, "row"]).select(*_SHEET, F.col("row").alias("header"), "col", "field")
     body = rows.filter(~F.col("is_header") & F.col("header").isNotNull()).select(*_SHEET, "row", "header")
-    own = good.join(body, [*_SHEET, "row"]).join(headers, [*_SHEET, "header", "col"]).select(*_SHEET, "row", "header", "field", "value", F.concat(name, "ref").alias("source_ref"), F.lit(False).alias("inherited"))
+    own = named.drop("field").join(body, [*_SHEET, "row"]).join(headers, [*_SHEET, "header", "col"]).select(*_SHEET, "row", "header", "field", "value", F.concat(name, "ref").alias("source_ref"), F.lit(False).alias("inherited"))
     records = own.select(*_SHEET, "row", "header").distinct()
     handed = records.join(context, "path").join(headers.select(*_SHEET, "header", "field").distinct(), [*_SHEET, "header", "field"], "left_anti")
     handed = handed.select(*_SHEET, "row", "header", "field", "c.value", "c.source_ref", F.lit(True).alias("inherited"))
