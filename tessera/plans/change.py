@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import code_graph, progress, records, unresolved, verdicts
+from ..operators import assembly, code_graph, progress, records, unresolved, verdicts
 from ..streaming import state
 from .registry import Tables, query
 
@@ -436,3 +436,91 @@ def changed_line_scan(t: Tables) -> DataFrame:
     lines = F.array(F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path), F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path), F.concat(F.lit("@@ -1,2 +"), F.col("p_size").cast("string"), F.lit(","), (F.col("p_partkey") % 4).cast("string"), F.lit(" @@ def")), F.lit("+x"))
     rows = p.select(F.col("p_partkey").alias("diff_id"), F.posexplode(lines).alias("pos", "line"))
     return unresolved.changed_lines(rows)
+
+
+@query("change_sides", """
+WITH c AS (SELECT o_orderkey AS id, o_custkey % 50 AS k FROM orders WHERE o_orderkey % 3 = 0),
+f AS (SELECT p_partkey % 2 AS snap, p_partkey % 50 AS k, max(p_name) AS v FROM part WHERE p_partkey % 7 <> 1 GROUP BY 1, 2)
+SELECT id AS change_id, b.v AS before, a.v AS after FROM c LEFT JOIN f b ON b.snap = 0 AND b.k = c.k LEFT JOIN f a ON a.snap = 1 AND a.k = c.k
+""")
+def change_sides(t: Tables) -> DataFrame:
+    c = t.orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("change_id"), F.lit(0).alias("source_snapshot"), F.lit(1).alias("target_snapshot"), (F.col("o_custkey") % 50).alias("stable_key"))
+    f = t.part.filter("p_partkey % 7 <> 1").groupBy((F.col("p_partkey") % 2).cast("int").alias("snapshot_id"), (F.col("p_partkey") % 50).alias("stable_key")).agg(F.max("p_name").alias("values"))
+    return assembly.change_sides(c, f).select("change_id", "before", "after")
+
+
+@query("node_labels", """
+WITH r AS (SELECT l_suppkey AS a, l_partkey % 120 AS b, l_returnflag || l_linestatus AS l FROM lineitem WHERE l_quantity > 49), e AS (SELECT a AS n, l FROM r UNION SELECT b, l FROM r)
+SELECT s_suppkey AS node, coalesce(string_agg(l, ',' ORDER BY l), '') AS labels FROM supplier LEFT JOIN e ON n = s_suppkey GROUP BY 1
+""")
+def node_labels(t: Tables) -> DataFrame:
+    r = t.lineitem.filter("l_quantity > 49").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 120).alias("b"), F.concat("l_returnflag", "l_linestatus").alias("l"))
+    out = assembly.labelled(t.supplier.select(F.col("s_suppkey").alias("node")), r, "node", "a", "b", "l")
+    return out.withColumn("labels", F.array_join("labels", ","))
+
+
+@query("json_members", """
+SELECT DISTINCT o_orderkey AS id, unnest(['c' || o_custkey % 9, 'p' || substring(o_orderpriority, 1, 1), 'c' || o_orderkey % 9]) AS member FROM orders WHERE o_orderstatus <> 'P'
+""")
+def json_members(t: Tables) -> DataFrame:
+    """Orders as documents with a nested array; those in progress have none."""
+    refs = F.array(F.concat(F.lit("c"), (F.col("o_custkey") % 9).cast("string")), F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)), F.concat(F.lit("c"), (F.col("o_orderkey") % 9).cast("string")), F.lit(None).cast("string"))
+    document = F.when(F.col("o_orderstatus") == "P", '{"a": {"refs": "none"}}').otherwise(F.to_json(F.struct(F.struct(refs.alias("refs")).alias("a"))))
+    return assembly.members_of_json(t.orders.select(F.col("o_orderkey").alias("id"), document.alias("d")), "id", "d", "$.a.refs")
+
+
+@query("node_facts", """
+WITH n AS (SELECT o_orderkey AS id, o_custkey % 40 AS doc, unnest(['k' || o_orderkey % 12, 'k' || o_custkey % 12]) AS k FROM orders), f AS (SELECT p_partkey AS ref, p_partkey % 40 AS doc, 'k' || p_size % 12 AS k FROM part WHERE p_partkey % 3 = 0)
+SELECT DISTINCT id AS node_id, ref AS fact_ref FROM n JOIN f USING (doc, k) WHERE doc % 5 <> 0
+""")
+def node_facts(t: Tables) -> DataFrame:
+    key = lambda c: F.concat(F.lit("k"), (F.col(c) % 12).cast("string"))
+    n = t.orders.select(F.col("o_orderkey").alias("node_id"), F.lit("s").alias("snapshot_id"), (F.col("o_custkey") % 40).alias("document_id"), F.array(key("o_orderkey"), key("o_custkey")).alias("business_keys"))
+    m = t.spark.range(40).filter("id % 5 <> 0").select(F.lit("s").alias("snapshot_id"), F.col("id").alias("document_id"), (F.col("id") + 100).alias("version_id"))
+    f = t.part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("fact_ref"), (F.col("p_partkey") % 40 + 100).alias("version_id"), key("p_size").alias("stable_key"))
+    return assembly.facts_by_business_key(n, f, m)
+
+
+@query("data_traces", """
+WITH r AS (SELECT o_orderkey AS k, o_orderstatus <> 'F' AS ok FROM orders WHERE o_orderkey % 4 <> 0),
+s AS (SELECT l_suppkey AS d, bool_or(NOT ok) AS failed, bool_or(l_discount = 0 OR ok IS NULL) AS open FROM lineitem LEFT JOIN r ON k = l_orderkey WHERE l_quantity > 45 AND l_suppkey % 3 <> 0 AND l_orderkey % 5 = 0 GROUP BY 1)
+SELECT s_suppkey AS data_id, CASE WHEN d IS NULL THEN 'unmapped' WHEN failed THEN 'failed' WHEN open THEN 'unproven' ELSE 'proven' END AS status FROM supplier LEFT JOIN s ON d = s_suppkey
+""")
+def data_traces(t: Tables) -> DataFrame:
+    steps = t.lineitem.filter("l_quantity > 45 AND l_suppkey % 3 <> 0 AND l_orderkey % 5 = 0").select(F.col("l_linenumber").cast("string").alias("flow_id"), F.col("l_orderkey").alias("step_id"), F.col("l_suppkey").alias("data_id"), F.when(F.col("l_discount") == 0, 0).otherwise(1).alias("assertions"))
+    results = t.orders.filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("step_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("passed").alias("status"), F.col("o_orderpriority").alias("evidence_ref"))
+    return assembly.data_traces(t.supplier.select(F.col("s_suppkey").alias("data_id")), steps, results).select("data_id", "status")
+
+
+@query("flow_violations", """
+WITH p AS (SELECT l_orderkey AS flow, count(*) AS n, count(DISTINCT l_partkey) AS ids, min(l_linenumber) AS low, max(l_linenumber) AS high, count(DISTINCT l_linenumber) AS places FROM lineitem GROUP BY 1)
+SELECT flow, 'step_id_repeated' AS rule FROM p WHERE ids < n UNION ALL SELECT flow, 'sequence_gap' FROM p WHERE low <> 1 OR high <> places UNION ALL SELECT flow, 'sequence_repeated' FROM p WHERE places < n
+""")
+def flow_violations(t: Tables) -> DataFrame:
+    return assembly.flow_violations(t.lineitem.withColumnRenamed("l_orderkey", "flow"), "flow", "l_partkey", "l_linenumber")
+
+
+@query("next_stages", """
+SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 <> 0 THEN 'documents' WHEN o_orderkey % 3 <> 0 THEN 'code_scope' WHEN o_orderstatus <> 'F' THEN 'tests' END AS next_stage,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 'wait_for_review' WHEN o_custkey % 2 = 0 AND o_orderkey % 3 = 0 AND o_orderstatus = 'F' THEN 'close' ELSE 'run' END AS action FROM orders
+""")
+def next_stages(t: Tables) -> DataFrame:
+    stages = [("documents", F.col("o_custkey") % 2 == 0), ("code_scope", F.col("o_orderkey") % 3 == 0), ("tests", F.col("o_orderstatus") == "F")]
+    return assembly.next_stage(t.orders, "o_orderkey", stages, F.col("o_orderpriority") == "1-URGENT").withColumnRenamed("o_orderkey", "id")
+
+
+@query("recovery_order", """
+SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'stale' WHEN o_orderpriority = '1-URGENT' THEN 'retry' ELSE 'new' END AS recovery_class FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority = '1-URGENT'
+ORDER BY CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 2 END, o_orderdate, o_orderkey LIMIT 100
+""")
+def recovery_order(t: Tables) -> DataFrame:
+    classes = [("stale", F.col("o_orderstatus") == "P"), ("retry", F.col("o_orderpriority") == "1-URGENT"), ("new", F.col("o_orderstatus") == "O")]
+    return assembly.recovery_order(t.orders, "o_orderkey", classes, "o_orderdate", 100).select(F.col("o_orderkey").alias("id"), "recovery_class")
+
+
+@query("embedding_inputs", """
+SELECT p_partkey AS node_id, sha256('v1' || chr(0) || '{"business_keys":["' || least(p_brand, p_type) || '","' || greatest(p_brand, p_type) || '"],"content":"' || p_name || '","summary":"' || p_type || '"}') AS input_digest, p_type || chr(10) || p_name || chr(10) || least(p_brand, p_type) || chr(10) || greatest(p_brand, p_type) AS keywords FROM part
+""")
+def embedding_inputs(t: Tables) -> DataFrame:
+    n = t.part.select(F.col("p_partkey").alias("node_id"), F.array("p_brand", "p_type").alias("business_keys"), F.col("p_name").alias("content"), F.col("p_type").alias("summary"))
+    return assembly.embedding_inputs(n, "v1").select("node_id", "input_digest", "keywords")
