@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, class_lm, decontaminate, mixing, quality_rules, sharding, simhash, snapshots, toxic_spans, wrapper
+from . import block_anchors, class_lm, decontaminate, mixing, pii, quality_rules, sharding, simhash, snapshots, toxic_spans, wrapper
 from .common import table
 
 
@@ -68,6 +68,17 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_induction": op1_wrapper_induction,
     "op2_crf_toxicity": op2_crf_toxicity,
@@ -79,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_shards": op8_feistel_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_groups": op10_simhash_groups,
+    "op12_checked_pii": op12_checked_pii,
 }
