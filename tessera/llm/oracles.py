@@ -54,4 +54,27 @@ SELECT conv_id, (position - 1) // 64 AS piece, len(turns) AS n_turns, n_logged,
 FROM rows GROUP BY ALL
 """
 
-ORACLES: dict[str, str] = {"op4_snapshot_collapse": SNAPSHOT_SQL, "op9_quality_rules": QUALITY_SQL}
+_TERMS = r"""list_filter(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+MAXSCORE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, s GROUP BY term, n_docs),
+p AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS impact
+  FROM tf JOIN w USING (term), s),
+x AS (SELECT item_id, r, doc_id, sum(impact)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op13_maxscore": MAXSCORE_SQL, "op4_snapshot_collapse": SNAPSHOT_SQL, "op9_quality_rules": QUALITY_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, class_lm, decontaminate, mixing, pii, quality_rules, sharding, simhash, snapshots, toxic_spans, wrapper
+from . import block_anchors, class_lm, decontaminate, maxscore, mixing, pii, quality_rules, sharding, simhash, snapshots, toxic_spans, wrapper
 from .common import table
 
 
@@ -79,6 +79,11 @@ def op12_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = maxscore.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_induction": op1_wrapper_induction,
     "op2_crf_toxicity": op2_crf_toxicity,
@@ -91,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_groups": op10_simhash_groups,
     "op12_checked_pii": op12_checked_pii,
+    "op13_maxscore": op13_maxscore,
 }

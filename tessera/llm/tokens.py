@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 
 
 class Words:
@@ -65,3 +66,14 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins in ``sorted_hashes``; one entry more than buckets."""
     return np.searchsorted(bucket_of(sorted_hashes, buckets), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def packed_counts(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs, compressed; the first byte tells how many."""
+    kind = np.min_scalar_type(int(values.max())) if len(values) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
+
+
+def unpacked_counts(blob: bytes) -> np.ndarray:
+    """What ``packed_counts`` packed, as 64-bit integers."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), dtype=f"<u{blob[0]}").astype(np.int64)
