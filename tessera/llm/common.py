@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.storage import saved
@@ -55,3 +55,14 @@ def chunk_count(total_bytes: int, target_bytes: int) -> int:
 def chunk_of(n_chunks: int, *cols: str) -> Column:
     """The chunk of a row: a hash of its columns, so that any rerun deals alike."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(7)), F.lit(n_chunks)).cast("int")
+
+
+#: Parts in which the first rows of a key are ranked before they are ranked together.
+PARTS = 64
+
+
+def best_of_each(rows: DataFrame, key: str, order: list[Column], k: int, parts: int = PARTS) -> DataFrame:
+    """The first ``k`` rows of each ``key``, with their ``rank``; ranked in parts first, which are dealt by a hash of all columns."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+    near = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key, part).orderBy(*order))).filter(F.col("rank") <= k).drop("rank")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)

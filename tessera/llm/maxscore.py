@@ -37,18 +37,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import best_of_each, checkpointed
 from .tokens import packed_counts, unpacked_counts
 
 #: UTF-8 bytes of the texts in a shard, about.
 SHARD_BYTES = 8_000_000
 #: Terms of the items that are searched in one pass over the index.
 BLOCK_TERMS = 200_000
-#: Parts in which the best documents of an item are ranked before they are ranked together.
-PARTS = 64
 
 #: Bytes that part terms: ASCII but letters and digits. Upper-case letters become lower case.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -257,13 +255,6 @@ def _frequencies(index: DataFrame, wanted: list[bytes]) -> np.ndarray:
     return out
 
 
-def best_of_each(rows: DataFrame, key: str, order: list[Column], k: int, parts: int = PARTS) -> DataFrame:
-    """The first ``k`` rows of each ``key``, with their ``rank``; ranked in parts first, which are dealt by a hash of all columns."""
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
-    near = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key, part).orderBy(*order))).filter(F.col("rank") <= k).drop("rank")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
-
-
 def _search_block(index: DataFrame, block: list[tuple[int | None, list[bytes]]], totals: tuple[int, int], k: int) -> DataFrame:
     """``(item, id, score)``: the best ``k`` of each task for each item of the block."""
     wanted = sorted({t for _, terms in block for t in terms})

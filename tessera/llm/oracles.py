@@ -77,4 +77,28 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 FROM x WHERE score > 0 QUALIFY rank <= 50
 """
 
-ORACLES: dict[str, str] = {"op13_maxscore": MAXSCORE_SQL, "op4_snapshot_collapse": SNAPSHOT_SQL, "op9_quality_rules": QUALITY_SQL}
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+g AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) AS t(k))),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10),
+gone AS (
+  SELECT lang, s AS g, max(a) AS longest FROM (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS s FROM c WHERE len(g) = 3) GROUP BY ALL),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+scored AS (
+  SELECT cuts.lang, cuts.g, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.g = cuts.g[1:k] JOIN f AS y ON y.lang = cuts.lang AND y.g = cuts.g[k + 1:]),
+best AS (SELECT lang, g, a, unnest(min_by({'l': l, 'r': r, 'score': score}, (score, k))) FROM scored GROUP BY lang, g, a),
+kept AS (
+  SELECT best.lang, array_to_string(best.g, ' ') AS phrase, a, l, r, score::BIGINT AS score
+  FROM best LEFT JOIN gone ON gone.lang = best.lang AND gone.g = best.g WHERE longest IS NULL OR 100 * longest < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op11_suffix_phrases": PHRASES_SQL, "op13_maxscore": MAXSCORE_SQL, "op4_snapshot_collapse": SNAPSHOT_SQL, "op9_quality_rules": QUALITY_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, class_lm, decontaminate, maxscore, mixing, pii, quality_rules, sharding, simhash, snapshots, toxic_spans, wrapper
+from . import block_anchors, class_lm, decontaminate, maxscore, mixing, phrases, pii, quality_rules, sharding, simhash, snapshots, toxic_spans, wrapper
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_shards": op8_feistel_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_groups": op10_simhash_groups,
+    "op11_suffix_phrases": op11_suffix_phrases,
     "op12_checked_pii": op12_checked_pii,
     "op13_maxscore": op13_maxscore,
 }
