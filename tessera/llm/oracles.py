@@ -82,17 +82,25 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
-g AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) AS t(k))),
-f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL),
-n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+w AS (
+  SELECT lang, r, unnest(w) AS w, generate_subscripts(w, 1) AS i
+  FROM (SELECT lang, row_number() OVER () AS r, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces)),
+v AS (SELECT lang, w AS x, lead(w) OVER o AS y, lead(w, 2) OVER o AS z FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+f AS MATERIALIZED (
+  SELECT lang, [x] AS g, count(*) AS f FROM v GROUP BY ALL
+  UNION ALL SELECT lang, [x, y], count(*) FROM v WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, [x, y, z], count(*) FROM v WHERE z IS NOT NULL GROUP BY ALL),
+t AS (SELECT concat(lang, chr(10), array_to_string(g, ' ')) AS p, f FROM f),
+n AS (SELECT lang, count(*) AS n FROM v GROUP BY lang),
 c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10),
 gone AS (
   SELECT lang, s AS g, max(a) AS longest FROM (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS s FROM c WHERE len(g) = 3) GROUP BY ALL),
 cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
 scored AS (
   SELECT cuts.lang, cuts.g, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
-  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.g = cuts.g[1:k] JOIN f AS y ON y.lang = cuts.lang AND y.g = cuts.g[k + 1:]),
+  FROM cuts
+  JOIN t AS x ON x.p = concat(cuts.lang, chr(10), array_to_string(cuts.g[1:k], ' '))
+  JOIN t AS y ON y.p = concat(cuts.lang, chr(10), array_to_string(cuts.g[k + 1:], ' '))),
 best AS (SELECT lang, g, a, unnest(min_by({'l': l, 'r': r, 'score': score}, (score, k))) FROM scored GROUP BY lang, g, a),
 kept AS (
   SELECT best.lang, array_to_string(best.g, ' ') AS phrase, a, l, r, score::BIGINT AS score
