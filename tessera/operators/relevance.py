@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,6 +71,11 @@ def best_fragments(ranked: DataFrame, document: str, fragment: str, k: int) -> D
     return best.orderBy(*order).limit(k)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also within a fold."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cover_density(tokens: Column, groups: Sequence[Sequence[tuple[bool, str]]]) -> Column:
     """Cover density of a text's ``tokens`` for alternatives of terms (wanted or excluded; several words are a phrase).
 
@@ -95,17 +100,24 @@ def cover_density(tokens: Column, groups: Sequence[Sequence[tuple[bool, str]]])
     entries = F.filter(entries, lambda e: F.exists(e["begins"], lambda b: b >= 0)) if any(" " in t for t in terms) else entries
     start = F.struct(F.array(*[F.lit(-1)] * len(terms)).alias("last"), F.array(*[F.lit(0)] * len(terms)).alias("nth"), F.lit(0).alias("n"), F.lit(-1).alias("covered"), F.lit(0.0).alias("sum"))
 
-    def step(acc: Column, e: Column) -> Column:
+    def step(acc: Column, e: Column, ok: Column) -> Column:
         seen = [F.when(e["begins"][i] >= 0, e["begins"][i]).otherwise(acc["last"][i]) for i in range(len(terms))]
         nth = [F.when(e["begins"][i] >= 0, acc["n"]).otherwise(acc["nth"][i]) for i in range(len(terms))]
         least = lambda cs: F.least(*cs) if len(cs) > 1 else cs[0]
-        low = [F.when(ok, least([F.struct(seen[place[t]].alias("at"), nth[place[t]].alias("nth")) for wanted, t in g if wanted])) for g, ok in zip(groups, applies)]
-        best = F.greatest(*low) if len(low) > 1 else low[0]
-        new = F.coalesce(best["at"], F.lit(-1)) > acc["covered"]
-        noise = F.greatest(e["at"] - best["at"] - (acc["n"] - best["nth"]), F.lit(0))
-        return F.struct(
-            F.array(*seen).alias("last"), F.array(*nth).alias("nth"), (acc["n"] + 1).alias("n"),
-            F.when(new, best["at"]).otherwise(acc["covered"]).alias("covered"), (acc["sum"] + F.when(new, 0.1 / (1 + noise)).otherwise(0.0)).alias("sum"),
-        )
-
-    return F.when(F.size(tokens) > 0, F.aggregate(entries, start, step, lambda acc: acc["sum"])).otherwise(0.0)
+        low = [F.when(ok[i], least([F.struct(seen[place[t]].alias("at"), nth[place[t]].alias("nth")) for wanted, t in g if wanted])) for i, g in enumerate(groups)]
+
+        def with_best(best: Column) -> Column:
+            new = F.coalesce(best["at"], F.lit(-1)) > acc["covered"]
+            noise = F.greatest(e["at"] - best["at"] - (acc["n"] - best["nth"]), F.lit(0))
+            return F.struct(
+                F.array(*seen).alias("last"), F.array(*nth).alias("nth"), (acc["n"] + 1).alias("n"),
+                F.when(new, best["at"]).otherwise(acc["covered"]).alias("covered"), (acc["sum"] + F.when(new, 0.1 / (1 + noise)).otherwise(0.0)).alias("sum"),
+            )
+
+        return let(F.greatest(*low) if len(low) > 1 else low[0], with_best)
+
+    def folded(ok: Column) -> Column:
+        """``ok``: which alternatives apply, found once for a text."""
+        return F.when(F.exists(ok, lambda x: x), F.aggregate(entries, start, lambda acc, e: step(acc, e, ok), lambda acc: acc["sum"])).otherwise(0.0)
+
+    return F.when(F.size(tokens) > 0, let(F.array(*applies), folded)).otherwise(0.0)

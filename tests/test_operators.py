@@ -229,3 +229,18 @@ def test_sources_must_be_linked(spark):
     frame = spark.createDataFrame(rows, "case long, source string, name string, value string")
     got = {r["case"]: (r["sources"], r["connected"]) for r in graph.same_record(frame, "case", "source", "name", "value").collect()}
     assert got == {1: (3, True), 2: (2, False), 3: (1, True)}
+
+
+def test_an_excluded_word_costs_little(spark):
+    """Flags of exclusion are found once for a text, not once for each place of a term."""
+    import time
+
+    rows = [(i, "the stone and river " * 5_000) for i in range(8)]
+    docs = spark.createDataFrame(rows, "id int, text string").cache()
+    docs.count()
+    took = {}
+    for query in ("the and", "the and -loser", "the and", "the and -loser"):
+        began = time.time()
+        assert len(ranking.keyword_topk(docs, query, 10, "id", "text").collect()) == 8
+        took[query] = time.time() - began
+    assert took["the and -loser"] < 2 * took["the and"] + 0.5
