@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import chunk_count
 
 #: Buckets to which chunks send their rows themselves.
-DIRECT = 1024
+DIRECT = 8192
 #: Chunks whose rows are merged before they are dealt to more buckets than that.
 BLOCK = 64
 

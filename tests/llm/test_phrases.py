@@ -74,7 +74,7 @@ def test_automaton_has_the_classes_of_end_places(seed):
         assert auto.state[node] == named[longest]
 
 
-@pytest.mark.parametrize("direct, block", [(1024, 64), (4, 3)])
+@pytest.mark.parametrize("direct, block", [(8192, 64), (4, 3)])
 def test_agrees_with_brute_force(spark, monkeypatch, direct, block):
     """The second case sends hashes in two steps."""
     monkeypatch.setattr(p, "CHUNK_BYTES", 1500)
@@ -105,9 +105,9 @@ def test_one_key_in_all_rows_long_texts_and_empty_tables(spark):
 
 
 def test_rows_of_a_chunk_do_not_grow_with_the_input():
-    small, large, largest = (routing.routing_for(size, 8_000_000) for size in (10**9, 3 * 10**10, 10**14))
+    small, large, largest = (routing.routing_for(size, 8_000_000) for size in (10**9, 3 * 10**11, 10**14))
     assert small.parts == small.buckets == 125
-    assert large.parts < 100 and large.buckets % large.parts == 0 and large.buckets >= 3 * 10**10 / 8_000_000
+    assert large.parts < 400 and large.buckets % large.parts == 0 and large.buckets >= 3 * 10**11 / 8_000_000
     assert largest.parts <= 1300 and largest.buckets / largest.parts <= 1300
     hashes = np.unique(np.random.default_rng(1).integers(0, 2**64, 100_000, dtype=np.uint64))
     assert routing.sent_rows(0, hashes, [np.ones(len(hashes), dtype=np.int64)], largest.parts).num_rows == largest.parts
