@@ -81,6 +81,8 @@ def document_diff(before: DataFrame, after: DataFrame, aliases: DataFrame, fact_
 
 
 def a1(row: Column, col: Column) -> Column:
-    """The reference of a cell, as ``AB12``."""
-    low, high = (col - 1) % 26, F.floor((col - 1) / 26)
-    return F.concat(F.when(high > 0, F.chr(64 + high)).otherwise(""), F.chr(65 + low), row.cast("string"))
+    """The reference of a cell, as ``AB12``: columns are numbers in letters, without a zero."""
+    digits = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: i)  # 26 ** 14 is beyond 64 bits
+    start = F.struct(col.cast("long").alias("left"), F.lit("").alias("letters"))
+    step = lambda acc, _: F.when(acc["left"] < 1, acc).otherwise(F.struct(F.floor((acc["left"] - 1) / 26).alias("left"), F.concat(F.chr(65 + (acc["left"] - 1) % 26), acc["letters"]).alias("letters")))
+    return F.concat(F.aggregate(digits, start, step, lambda acc: acc["letters"]), row.cast("string"))

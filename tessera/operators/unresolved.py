@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from .storage import saved
 
 # What namespaces of targets are about.
 TARGET_CATEGORIES = {
@@ -126,15 +128,15 @@ def reconcile_routes(observations: DataFrame, routes: DataFrame, unresolved: Dat
     return o.select("observation_id", F.when(resolved, "resolved").otherwise("unresolved").alias("status"), "reason", F.when(resolved, F.col("candidates")[0]).alias("endpoint_ref"), "candidates")
 
 
-def resolve_calls(calls: DataFrame, methods: DataFrame, fields: DataFrame, types: DataFrame, imports: DataFrame, depth: int = 4) -> DataFrame:
+def resolve_calls(calls: DataFrame, methods: DataFrame, fields: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
     """``(call_id, status, target, candidate_count, owner)`` of method calls by owner, name and number of arguments.
 
     ``calls(call_id, owner, receiver, name, arity)``: the receiver is null, ``this``, ``super``, a field or type name, or a
     chain ``a.b().c(x, y)`` as an array of steps ``{name, arity}`` behind ``receiver`` in ``chain``. ``methods(method_id,
     owner, name, arity, returns)``, ``fields(owner, name, type)``, ``types(fqn, simple, package)``, ``imports(owner, simple,
     fqn)``. A receiver is a field's declared type, else a type of that name: imported, of the owner's package, or the only
-    one of that name. Steps of a chain (``depth`` at most) go on with what their only method returns. One method is a
-    resolution; a type outside of the tree is external; all else is unresolved.
+    one of that name. Steps of a chain go on with what their only method returns, a round for each step, until no call has
+    one left. One method is a resolution; a type outside of the tree is external; all else is unresolved.
     """
     simple = types.groupBy("simple").agg(F.countDistinct("fqn").alias("n_simple"), F.min("fqn").alias("only"))
     own = types.select(F.col("package").alias("own_package"), F.col("simple").alias("own_simple"), F.col("fqn").alias("own_fqn")).distinct()
@@ -157,14 +159,8 @@ def resolve_calls(calls: DataFrame, methods: DataFrame, fields: DataFrame, types
     rows = rows.withColumn("_r", F.coalesce("_ft", F.when(F.element_at(F.split("receiver", r"\."), -1).rlike("^[A-Z]"), F.col("receiver")))).drop("_fo", "_fn", "_ft")
     rows = typed(rows, "owner", "_r", "at")
     rows = rows.withColumns({"at": F.when(here, F.col("owner")).otherwise(F.col("at")), "at_external": ~here & F.col("at_external")})
-    for i in range(depth if "chain" in calls.columns else 0):
-        step = F.get("chain", F.lit(i))
-        back = one.select(F.col("owner").alias("_o"), F.col("name").alias("_n"), F.col("arity").alias("_a"), F.when(F.col("n") == 1, F.col("returns")).alias("_back"))
-        rows = rows.join(back, (F.col("at") == F.col("_o")) & (step["name"] == F.col("_n")) & (step["arity"] == F.col("_a")), "left").drop("_o", "_n", "_a")
-        rows = typed(rows, "at", "_back", "to")
-        rows = rows.withColumns({"at": F.when(step.isNull(), F.col("at")).otherwise(F.col("to")), "at_external": F.when(step.isNull(), F.col("at_external")).otherwise(F.col("at_external") | F.col("to_external"))}).drop("to", "to_external", "_back")
     if "chain" in calls.columns:
-        rows = rows.withColumn("at", F.when(F.size(F.coalesce("chain", F.array())) <= depth, F.col("at")))
+        rows = _followed(rows.withColumn("_i", F.lit(0)), one, typed)
     found = one.select(F.col("owner").alias("at"), F.col("name"), F.col("arity"), "n", "m")
     rows = rows.join(found, ["at", "name", "arity"], "left")
     n = F.coalesce("n", F.lit(0))
@@ -172,6 +168,25 @@ def resolve_calls(calls: DataFrame, methods: DataFrame, fields: DataFrame, types
     return rows.select("call_id", status.alias("status"), F.when(status == "resolved", F.col("m")).alias("target"), n.cast("long").alias("candidate_count"), F.col("at").alias("owner"))
 
 
+def _followed(rows: DataFrame, one: DataFrame, typed: Callable[[DataFrame, str, str, str], DataFrame]) -> DataFrame:
+    """``rows`` with ``at`` after all steps of their ``chain``; those that are through leave before the next round."""
+    back = one.select(F.col("owner").alias("_o"), F.col("name").alias("_n"), F.col("arity").alias("_a"), F.when(F.col("n") == 1, F.col("returns")).alias("_back"))
+    open_ = F.col("at").isNotNull() & (F.col("_i") < F.size(F.coalesce("chain", F.array())))
+    rows = saved(rows)
+    done = []
+    while True:
+        done.append(rows.filter(~open_))
+        pending = rows.filter(open_)
+        if pending.isEmpty():
+            break
+        step = F.get("chain", F.col("_i"))
+        moved = pending.join(back, (F.col("at") == F.col("_o")) & (step["name"] == F.col("_n")) & (step["arity"] == F.col("_a")), "left").drop("_o", "_n", "_a")
+        moved = typed(moved, "at", "_back", "to")
+        rows = saved(moved.withColumns({"at": F.col("to"), "at_external": F.col("at_external") | F.col("to_external"), "_i": F.col("_i") + 1}).drop("to", "to_external", "_back"))
+    through = reduce(lambda a, b: a.unionByName(b), done)
+    return through.withColumn("at", F.when(F.col("_i") >= F.size(F.coalesce("chain", F.array())), F.col("at"))).drop("_i")
+
+
 def test_bindings(edges: DataFrame, owners: DataFrame, snapshot_id: str) -> DataFrame:
     """``(binding_id, production_file, test_file, edge_id, confidence)``: the best resolved ``tests`` edge of each pair of files.
 
@@ -237,10 +252,13 @@ def field_accesses(tokens: DataFrame, fields: DataFrame, local_names: DataFrame)
     """``(method_id, field_id, access)`` of name uses: what ``=`` follows is written, compound assignment and ``++``/``--`` read and write, all else reads.
 
     ``tokens(method_id, owner, name, operator)``: the operator that follows (or a leading ``++``); names in
-    ``local_names(method_id, name)`` shadow fields ``(field_id, owner, name)``.
+    ``local_names(method_id, name)`` shadow fields ``(field_id, owner, name)``, but for tokens that are ``qualified`` (by ``this.``), if there is that column.
     """
     kinds = F.when(F.col("operator") == "=", F.array(F.lit("writes"))).when(F.col("operator").isin("++", "--") | F.col("operator").rlike(r"^(\+|-|\*|/|%|&|\||\^|<<|>>>?)=$"), F.array(F.lit("reads"), F.lit("writes"))).otherwise(F.array(F.lit("reads")))
-    used = tokens.join(local_names, ["method_id", "name"], "left_anti").join(fields, ["owner", "name"])
+    plain = tokens if "qualified" not in tokens.columns else tokens.filter(~F.col("qualified"))
+    free = plain.join(local_names, ["method_id", "name"], "left_anti")
+    free = free if "qualified" not in tokens.columns else free.unionByName(tokens.filter("qualified"))
+    used = free.join(fields, ["owner", "name"])
     return used.select("method_id", "field_id", F.explode(kinds).alias("access")).distinct()
 
 
@@ -248,12 +266,18 @@ def sql_table_refs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(path, table, line, is_definition)`` of tables in SQL texts, and ``(path, table, access, line)`` of their uses.
 
     ``files(path, text)``. The first definition of a table is its line, else its first use; CREATE, INSERT, UPDATE and
-    others write, FROM and JOIN read. Names are compared in lower case, without quotes.
+    others write, FROM and JOIN read. Names are compared in lower case, without quotes. Texts are matched whole, so that
+    a table may stand on a line after its keyword; a use has the keyword's line. Paths must be unique.
     """
-    lines = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
     pattern = r"(?i)\b(create\s+table(?:\s+if\s+not\s+exists)?|insert\s+into|update|delete\s+from|alter\s+table|from|join)\s+(\"[^\"]+\"|[A-Za-z_][\w.$]*)"
-    both = F.arrays_zip(F.regexp_extract_all("line", F.lit(pattern), 1).alias("op"), F.regexp_extract_all("line", F.lit(pattern), 2).alias("table"))
-    found = lines.select("path", (F.col("n") + 1).alias("line"), F.posexplode(both).alias("k", "m")).select("path", "line", "k", F.lower(F.regexp_replace("m.op", r"\s+", " ")).alias("op"), F.lower(F.replace("m.table", F.lit('"'))).alias("table"))
+    marked = F.regexp_replace(F.translate("text", "\x01\x02", "  "), pattern, "\x01$1\x02$2\x02$0")  # a mark before each match: what stands between two marks is its part
+    parts = files.select("path", F.posexplode(F.split(marked, "\x01")).alias("k", "part"))
+    fields = F.split("part", "\x02")
+    shown = F.when(F.col("k") == 0, F.col("part")).otherwise(F.get(fields, F.lit(2)))
+    parts = parts.withColumn("newlines", F.length(shown) - F.length(F.replace(shown, F.lit("\n"))))
+    before = F.sum("newlines").over(Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    found = parts.withColumn("line", (1 + F.coalesce(before, F.lit(0))).cast("int")).filter("k > 0")
+    found = found.select("path", "line", "k", F.lower(F.regexp_replace(fields[0], r"\s+", " ")).alias("op"), F.lower(F.replace(fields[1], F.lit('"'))).alias("table"))
     is_definition = F.col("op").startswith("create table")
     tables = found.groupBy("path", "table").agg(F.min(F.struct((~is_definition).alias("later"), "line")).alias("m")).select("path", "table", "m.line", (~F.col("m.later")).alias("is_definition"))
     return tables, found.select("path", "table", F.when(F.col("op").isin("from", "join"), "reads").otherwise("writes").alias("access"), "line")

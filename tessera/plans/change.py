@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import assembly, code_graph, progress, records, unresolved, verdicts
+from ..operators import assembly, code_graph, java_source, progress, records, unresolved, verdicts
 from ..streaming import state
 from .registry import Tables, query
 
@@ -127,6 +127,50 @@ def call_resolution(t: Tables) -> DataFrame:
     return out.select("call_id.*", "status", "target", F.col("candidate_count").alias("candidates"))
 
 
+@query("source_calls", """
+WITH p AS (SELECT p_partkey AS k, max(p_partkey) OVER () AS top FROM part),
+t AS (SELECT k, top, unnest([{'name': 'go', 'steps': 0}, {'name': 'go', 'steps': 1}, {'name': 'stop', 'steps': 2}, {'name': 'f', 'steps': -1}, {'name': 'helper', 'steps': -1}, {'name': 'go', 'steps': -1}], recursive := true) FROM p),
+x AS (SELECT *, k + steps + 1 AS place FROM t)
+SELECT k, name, greatest(steps, 0) AS steps, CASE WHEN steps < 0 THEN 'unresolved' WHEN place <= top THEN 'resolved' ELSE 'external' END AS status,
+       CASE WHEN steps >= 0 AND place <= top THEN 'p' || place % 20 || '.C' || place || CASE name WHEN 'go' THEN '#go(int,Map<String,List<Integer>>)' ELSE '#stop()' END END AS target
+FROM x
+""")
+def source_calls(t: Tables) -> DataFrame:
+    """Parts as Java files with a field of the next part's class: its fields, methods, calls and chains out of the text, resolved."""
+    k = F.col("p_partkey")
+    text = F.concat(
+        F.format_string("package p%d;\n\nimport p%d.C%d;\n\n/* { ( */ class C%d {\n", k % 20, (k + 1) % 20, k + 1, k), F.format_string("    private C%d next; int size = %d, width;\n", k + 1, F.col("p_size")),
+        F.format_string("    C%d go(int a, Map<String, List<Integer>> b) { return next; }\n", k + 1), F.format_string("    void run() {\n        String s = \"%s } ((\"; // %s {\n", F.col("p_name"), F.col("p_type")),
+        F.lit("        next.go(1, null).go(f(2, 3), s).stop();\n        helper(y -> y.go(1, 2)); size += 1;\n    }\n    void stop() { }\n}\n"),
+    )
+    source = java_source.Source(t.part.select(k.cast("string").alias("path"), text.alias("text")))
+    calls = source.calls()
+    out = unresolved.resolve_calls(calls, source.methods(), source.fields(), source.types, source.imports())
+    out = out.select("call_id", "status", "target").join(calls.select("call_id", "path", "name", F.size("chain").alias("steps")), "call_id")
+    return out.select(F.col("path").cast("long").alias("k"), "name", "steps", "status", "target")
+
+
+@query("bracket_pairs", r"""
+WITH c AS (SELECT doc_id, string_split(regexp_replace(text, '[^()\[\]{}]', '', 'g'), '') AS b FROM documents),
+p AS (SELECT doc_id, len(x) AS gap, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (
+  SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[()\[\]{}]') AS l FROM documents))),
+w AS (SELECT doc_id, i, sum(gap) OVER (PARTITION BY doc_id ORDER BY i) + i - 1 AS at FROM p),
+o AS (SELECT doc_id, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM c WHERE len(b) > 0 AND b[1] <> ''),
+l AS (SELECT doc_id, i, b, b IN ('(', '[', '{') AS opens, sum(CASE WHEN b IN ('(', '[', '{') THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM o),
+m AS (SELECT doc_id, i, b, opens, lead(b) OVER q AS b2, lead(i) OVER q AS i2 FROM (SELECT *, CASE WHEN opens THEN after ELSE after + 1 END AS level FROM l) WINDOW q AS (PARTITION BY doc_id, level ORDER BY i))
+SELECT m.doc_id, a.at::BIGINT AS open_at, z.at::BIGINT AS close_at, m.b || m.b2 AS pair
+FROM m JOIN w AS a ON a.doc_id = m.doc_id AND a.i = m.i JOIN w AS z ON z.doc_id = m.doc_id AND z.i = m.i2
+WHERE m.opens AND m.b || m.b2 IN ('()', '[]', '{}')
+""")
+def bracket_pairs(t: Tables) -> DataFrame:
+    """The brackets of all documents that belong together, by running depths."""
+    files = t.documents.select(F.col("doc_id").alias("path"), "text")
+    rows = java_source.tokens(files, r"[()\[\]{}]|[^()\[\]{}]+").filter(F.length("token") == 1).filter(F.col("token").isin(*"()[]{}"))
+    rows = java_source.matched(rows)
+    ends = rows.filter(F.col("token").isin(")", "]", "}") & F.col("partner").isNotNull()).select("path", F.col("partner").alias("j"), F.col("at").alias("close_at"), F.col("token").alias("closes"))
+    return rows.join(ends, ["path", "j"]).select(F.col("path").alias("doc_id"), F.col("at").alias("open_at"), "close_at", F.concat("token", "closes").alias("pair"))
+
+
 @query("test_file_bindings", """
 WITH e AS (SELECT l_orderkey AS f, l_partkey AS t, l_orderkey * 10 + l_linenumber AS id, CASE l_linenumber % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS c FROM lineitem WHERE l_returnflag = 'R'),
 x AS (SELECT CASE WHEN f % 2 = 1 THEN t % 100 ELSE f % 100 END AS production, CASE WHEN f % 2 = 1 THEN f % 100 ELSE t % 100 END AS test, id, c FROM e WHERE (f % 2 = 1) <> (t % 2 = 1))

@@ -57,8 +57,8 @@ def test_equal_keys_with_other_values_conflict(spark):
 
 
 def test_cell_references(spark):
-    frame = spark.createDataFrame([(1, 1), (12, 26), (3, 27), (4, 54)], "r int, c int")
-    assert [r[0] for r in frame.select(records.a1(F.col("r"), F.col("c"))).collect()] == ["A1", "Z12", "AA3", "BB4"]
+    frame = spark.createDataFrame([(1, 1), (12, 26), (3, 27), (4, 54), (5, 702), (6, 703), (7, 16384), (8, 18278), (9, 18279)], "r int, c int")
+    assert [r[0] for r in frame.select(records.a1(F.col("r"), F.col("c"))).collect()] == ["A1", "Z12", "AA3", "BB4", "ZZ5", "AAA6", "XFD7", "ZZZ8", "AAAA9"]
 
 
 def test_what_runtime_observations_prove(spark):
@@ -184,3 +184,10 @@ def test_bindings_take_the_best_edge(spark):
 def test_profiles_that_tie_need_a_review(spark):
     scores = spark.createDataFrame([("a", "p", 0.9, True), ("a", "q", 0.9 - 1e-12, True), ("b", "p", 0.9, True), ("b", "q", 0.8, True), ("c", "p", 0.4, False), ("d", "p", 0.0, False)], "document string, profile string, score double, automatic boolean")
     assert got(verdicts.match_profiles(scores), "document", "outcome", "profile") == [("a", "review", None), ("b", "matched", "p"), ("c", "review", None), ("d", "ignored", None)]
+
+
+def test_tables_on_the_line_after_their_keyword(spark):
+    text = "insert into\n  audit select * from\r\n\n  orders o\n join \"Lines\" l;\ncreate table if not\nexists Audit (x int);\n-- \x01\x02\nUPDATE t1 set a = 1"
+    tables, uses = unresolved.sql_table_refs(spark.createDataFrame([("a.sql", text), ("b.sql", None), ("c.sql", "")], "path string, text string"))
+    assert got(uses, "table", "access", "line") == [("audit", "writes", 1), ("audit", "writes", 6), ("lines", "reads", 5), ("orders", "reads", 2), ("t1", "writes", 9)]
+    assert got(tables, "table", "line", "is_definition") == [("audit", 6, True), ("lines", 5, False), ("orders", 2, False), ("t1", 9, False)]
