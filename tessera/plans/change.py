@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import assembly, code_graph, java_source, progress, records, unresolved, verdicts
-from ..streaming import state
+from ..operators import assembly, code_graph, intervals, java_source, progress, records, unresolved, verdicts
+from ..streaming import diagnostics, leases, state
 from .registry import Tables, query
 
 
@@ -171,6 +171,47 @@ def bracket_pairs(t: Tables) -> DataFrame:
     return rows.join(ends, ["path", "j"]).select(F.col("path").alias("doc_id"), F.col("at").alias("open_at"), "close_at", F.concat("token", "closes").alias("pair"))
 
 
+@query("nested_intervals", """
+WITH l AS (SELECT l_orderkey % 300 AS k, l_orderkey * 10 + l_linenumber AS id, l_partkey AS s, l_partkey + (CAST(l_quantity AS BIGINT) % 10) * (l_suppkey % 12) AS e FROM lineitem),
+h AS (SELECT a.k, a.id, a.s, a.e, b.id AS h, b.e - b.s AS n FROM l a JOIN l b ON a.k = b.k AND b.s <= a.s AND a.e <= b.e AND b.e - b.s > a.e - a.s),
+m AS (SELECT k, id, s, e, min(n) AS least, count(*) AS holders FROM h GROUP BY ALL),
+p AS (SELECT m.k, m.id, m.s, m.e, m.holders, count(*) AS parents, min(h.h) AS parent FROM m JOIN h ON h.k = m.k AND h.id = m.id AND h.n = m.least GROUP BY ALL)
+SELECT l.k, l.id, CASE WHEN parents = 1 THEN parent END AS parent, coalesce(parents, 0) AS parents, coalesce(holders, 0) AS holders
+FROM l LEFT JOIN p ON p.k = l.k AND p.id = l.id AND p.s = l.s AND p.e = l.e
+""")
+def nested_intervals(t: Tables) -> DataFrame:
+    """Lines as stretches of parts in three hundred files, each with the shortest one around it."""
+    rows = t.lineitem.select(
+        (F.col("l_orderkey") % 300).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), F.col("l_partkey").alias("s"),
+        (F.col("l_partkey") + F.col("l_quantity").cast("long") % 10 * (F.col("l_suppkey") % 12)).alias("e"),
+    )
+    return intervals.nested_intervals(rows, "k", "s", "e", "i").withColumnRenamed("key", "k")
+
+
+@query("lease_history")
+def lease_history(t: Tables) -> DataFrame:
+    """Events as those of a queue: runs by user, tasks and claims by id, two active tasks a run at most. Its order is a state machine's, beyond SQL."""
+    kinds = F.array(*map(F.lit, ("enqueue", "claim", "claim", "heartbeat", "claim", "release", "complete")))
+    e = t.events.select(
+        F.col("user_id").alias("run_id"), "event_id", (F.xxhash64("event_id") % 4).alias("task_id"), kinds[F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(7)).cast("int")].alias("kind"),
+        F.concat(F.lit("c"), (F.col("event_id") % 2).cast("string")).alias("claim_id"), F.col("ts").alias("at"), F.lit(86400).cast("long").alias("lease_seconds"), F.lit(2).cast("long").alias("max_attempts"),
+    )
+    return leases.lease_history(e, 2)
+
+
+@query("known_diagnostics", """
+WITH n AS (SELECT max(ts) - INTERVAL 1 HOUR AS now FROM events),
+e AS (SELECT user_id, event_id, ts AS received, ts + to_minutes((event_id % 14 - 5)::BIGINT) AS observed FROM events, n WHERE ts <= now AND ts >= now - INTERVAL 15 MINUTE),
+m AS (SELECT user_id, max((received, event_id)) AS m FROM e WHERE observed <= received + INTERVAL 5 MINUTE GROUP BY user_id)
+SELECT user_id AS consumer, m[2] AS report FROM m ORDER BY m[1] DESC, m[2] DESC LIMIT 32
+""")
+def known_diagnostics(t: Tables) -> DataFrame:
+    """Events as reports of users, as they are known an hour before the last one."""
+    now = t.events.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).cast("string")).first()[0]
+    reports = t.events.select(F.col("user_id").alias("consumer_id"), F.col("event_id").alias("report_id"), F.col("ts").alias("received_at"), (F.col("ts") + F.make_interval(mins=(F.col("event_id") % 14 - 5).cast("int"))).alias("observed_at"))
+    return diagnostics.known_at(reports, now).select(F.col("consumer_id").alias("consumer"), F.col("report_id").alias("report"))
+
+
 @query("test_file_bindings", """
 WITH e AS (SELECT l_orderkey AS f, l_partkey AS t, l_orderkey * 10 + l_linenumber AS id, CASE l_linenumber % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS c FROM lineitem WHERE l_returnflag = 'R'),
 x AS (SELECT CASE WHEN f % 2 = 1 THEN t % 100 ELSE f % 100 END AS production, CASE WHEN f % 2 = 1 THEN f % 100 ELSE t % 100 END AS test, id, c FROM e WHERE (f % 2 = 1) <> (t % 2 = 1))
