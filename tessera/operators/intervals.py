@@ -6,7 +6,7 @@ length, so it meets every interval around it exactly once; no pair of intervals
 
 Edge cases: intervals with a null key or end are in none and hold none; those whose end is before their start hold none; an
 interval isn't in itself, nor in one with its ends (``holders`` counts the ones that are longer); an empty table gives an
-empty result; repeated ids are rows of their own; other columns aren't carried.
+empty result; repeated rows hold as often as they are there, and each has the same parent; other columns aren't carried.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def holding_pairs(intervals: DataFrame, key: str, start: str, end: str, interval
     top = min(powers, max(0, int(longest - 1).bit_length()))
     cut = own.select("key", F.col("id").alias("holder"), F.col("start").alias("h_start"), F.col("end").alias("h_end"), F.explode(dyadic_bins(F.col("start"), F.col("end"), top)).alias("bin"))
     size = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    points = own.withColumn("bin", F.explode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda k: F.struct(k.alias("power"), F.floor(F.col("start") / size(k)).alias("at")))))
+    points = own.distinct().withColumn("bin", F.explode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda k: F.struct(k.alias("power"), F.floor(F.col("start") / size(k)).alias("at")))))
     return points.join(cut, ["key", "bin"]).filter("h_end >= end AND h_end - h_start > end - start").drop("bin")
 
 

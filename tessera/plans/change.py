@@ -173,9 +173,9 @@ def bracket_pairs(t: Tables) -> DataFrame:
 
 @query("nested_intervals", """
 WITH l AS (SELECT l_orderkey % 300 AS k, l_orderkey * 10 + l_linenumber AS id, l_partkey AS s, l_partkey + (CAST(l_quantity AS BIGINT) % 10) * (l_suppkey % 12) AS e FROM lineitem),
-h AS (SELECT a.k, a.id, a.s, a.e, b.id AS h, b.e - b.s AS n FROM l a JOIN l b ON a.k = b.k AND b.s <= a.s AND a.e <= b.e AND b.e - b.s > a.e - a.s),
+h AS (SELECT a.k, a.id, a.s, a.e, b.id AS h, b.e - b.s AS n FROM (SELECT DISTINCT * FROM l) a JOIN l b ON a.k = b.k AND b.s <= a.s AND a.e <= b.e AND b.e - b.s > a.e - a.s),
 m AS (SELECT k, id, s, e, min(n) AS least, count(*) AS holders FROM h GROUP BY ALL),
-p AS (SELECT m.k, m.id, m.s, m.e, m.holders, count(*) AS parents, min(h.h) AS parent FROM m JOIN h ON h.k = m.k AND h.id = m.id AND h.n = m.least GROUP BY ALL)
+p AS (SELECT m.k, m.id, m.s, m.e, m.holders, count(*) AS parents, min(h.h) AS parent FROM m JOIN h ON h.k = m.k AND h.id = m.id AND h.s = m.s AND h.e = m.e AND h.n = m.least GROUP BY ALL)
 SELECT l.k, l.id, CASE WHEN parents = 1 THEN parent END AS parent, coalesce(parents, 0) AS parents, coalesce(holders, 0) AS holders
 FROM l LEFT JOIN p ON p.k = l.k AND p.id = l.id AND p.s = l.s AND p.e = l.e
 """)
