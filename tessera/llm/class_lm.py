@@ -52,7 +52,7 @@ LEAST_GAIN = 1e-3
 BATCH = 4096
 #: Of more units that gain, the share that moves at once in a round.
 AT_ONCE = 0.75
-#: Of more than BATCH words, clustering ends with a round that raises the likelihood by less than this, in nats a training token.
+#: Clustering ends with a round that raises the likelihood by less than this, in nats a training token; 0 goes on until no word gains by a move.
 SETTLED = 1e-3
 #: Tables of class bigrams are summed in so many bands of rows, those of a band in so many parts first.
 BANDS, PARTS = 8, 64
@@ -402,11 +402,11 @@ def settle(pairs: DataFrame, cls: np.ndarray, classes: int = CLASSES) -> tuple[n
 
     A round asks all units. Of more than BATCH units that gain, the share AT_ONCE moves at once; where that lowers the
     likelihood they go back, and BATCH of them are exchanged one by one instead, as are units that are fewer. The end
-    comes when no unit gains by a move, or, of more than BATCH units in all, when the moves of a round together raise
-    the likelihood by less than SETTLED a token.
+    comes, at any number of units, when no unit gains by a move or the moves of a round together raise the likelihood
+    by less than SETTLED a token.
     """
     grid, number = class_bigrams(pairs, cls, classes), 0
-    least = SETTLED * float(grid.sum()) if len(cls) > UNITS + BATCH else 0.0
+    least = SETTLED * float(grid.sum())
     units, into = proposals(pairs, cls, grid)
     while len(units):
         number += 1

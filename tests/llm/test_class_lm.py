@@ -118,7 +118,8 @@ def test_exchange_finds_planted_classes():
     assert classes[0] != classes[1]
 
 
-def test_words_beyond_the_frequent_ones_are_clustered_by_their_contexts(spark):
+def test_words_beyond_the_frequent_ones_are_clustered_by_their_contexts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SETTLED", 0.0)
     rng = random.Random(3)
     kinds = [[f"{k}{i}es" for i in range(500)] for k in "ab"]  # one ending, 1,000 words of like frequency
     rows = []
