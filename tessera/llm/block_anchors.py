@@ -8,7 +8,7 @@ probe in the other. Anchors are extended by six words to either side, the runs i
 looked up by a 64-bit hash for their first document, and neighbouring runs that have an earlier
 one join to maximal exact repeats.
 
-The work is linear: hashes are dealt to buckets, packed as sorted arrays (see ``tokens``), and
+The work is linear: hashes are dealt to buckets, packed as sorted arrays (see ``routing``), and
 answered by a bit each; no pair of documents is ever listed, however many share a passage.
 
 1. chunk: the distinct probes of a chunk, which of them are blocks, which stand in two documents
@@ -41,10 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunk_count, chunk_of, text_bytes
-from .tokens import Words, bucket_edges, rolling
+from .routing import SENT, Numbers, Routing, read_answers, routed, routing_for, sent_rows, table_of
+from .tokens import Words, rolling
 
 WINDOW = 13
 BLOCK = 7
+#: Leading bits of a probe's hash that are sent.
+PROBE_BITS = 48
 #: UTF-8 bytes of the texts in a chunk, about.
 CHUNK_BYTES = 4_000_000
 #: UTF-8 bytes of all texts for each bucket, about.
@@ -56,14 +59,13 @@ _NONE = np.iinfo(np.int64).min  # the id that stands for null
 class _Chunk:
     """What a chunk's texts say to the buckets."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, buckets: int) -> None:
+    def __init__(self, ids: pa.Array, texts: pa.Array) -> None:
         order = np.argsort(ids.fill_null(_NONE).to_numpy(zero_copy_only=False), kind="stable")  # answers name hashes by place
         ids = ids.take(pa.array(order))
         self.ids = ids
         self.plain_ids = ids.fill_null(_NONE).to_numpy(zero_copy_only=False)
         self.texts = texts.take(pa.array(order)).cast(pa.large_binary()).to_pylist()
         self.words = Words(self.texts)
-        self.buckets = buckets
         self.doc = self.words.doc_of()
         self.hashed = self.words.hashes()[self.words.codes] if len(self.words.codes) else np.zeros(0, dtype=np.uint64)
 
@@ -79,9 +81,10 @@ class _Chunk:
     def probes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions, the distinct probe hashes, for each position its distinct hash, and the probes' flags.
 
-        Flags: 1, some document has it as a block; 2, two documents of the chunk have it.
+        Anchors only preselect, so that PROBE_BITS of a hash do. Flags: 1, some document has it as a block; 2, two documents of the chunk have it.
         """
         at, hashes = self.runs(BLOCK)
+        hashes &= np.uint64((1 << 64) - (1 << (64 - PROBE_BITS)))
         distinct, which = np.unique(hashes, return_inverse=True)
         flags = np.zeros(len(distinct), dtype=np.uint8)
         flags[which[(at - self.words.starts[self.doc[at]]) % BLOCK == 0]] |= 1
@@ -109,111 +112,60 @@ class _Chunk:
         np.minimum.at(first, which, self.plain_ids[self.doc[runs]])
         return runs, distinct, which, first
 
-    def packed(self, hashes: np.ndarray, *more: np.ndarray, low_bits: bool = False) -> list[tuple]:
-        """A row for each bucket: bucket, hashes (their lower half if ``low_bits``) and more, as bytes."""
-        edges = bucket_edges(hashes, self.buckets)
-        rows = []
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            part = slice(edges[b], edges[b + 1])
-            sent = _within(hashes[part], b, self.buckets) if low_bits else hashes[part]
-            rows.append((b, sent.tobytes(), *[m[part].tobytes() for m in more]))
-        return rows
-
-    def unpacked(self, answers: pa.Table, hashes: np.ndarray, name: str) -> np.ndarray:
-        """One bit for each of the sorted ``hashes``, from the buckets' answers."""
-        out = np.zeros(len(hashes), dtype=bool)
-        edges = bucket_edges(hashes, self.buckets)
-        for b, blob in zip(answers.column("bucket").to_pylist(), answers.column(name).to_pylist()):
-            n = edges[b + 1] - edges[b]
-            out[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(blob, dtype=np.uint8), count=n).astype(bool)
-        return out
-
-
-def _within(hashes: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
-    """32 bits of hashes of one bucket, in order: where they lie between its ends."""
-    width = (1 << 64) // buckets
-    return np.minimum((hashes - np.uint64(bucket * width)) // np.uint64(max(1, width >> 32)), np.uint64((1 << 32) - 1)).astype(np.uint32)
-
 
 def _column(table: pa.Table, name: str) -> pa.Array:
     return table.column(name).combine_chunks() if table.num_rows else pa.array([], table.schema.field(name).type)
 
 
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+def _flags(numbers: Numbers, edge: np.ndarray) -> Numbers:
+    """Flags together; what comes from two senders stands in two documents."""
+    (flags,) = numbers
+    return [np.bitwise_or.reduceat(flags, edge) | np.where(np.diff(np.append(edge, len(flags))) > 1, 2, 0)] if len(flags) else numbers
+
 
+def _first(numbers: Numbers, edge: np.ndarray) -> Numbers:
+    (first,) = numbers
+    return [np.minimum.reduceat(first, edge)] if len(first) else numbers
 
-def dealt_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """``(chunk, id, text)`` of each row, and the number of buckets for the table."""
+
+def dealt_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Routing]:
+    """``(chunk, id, text)`` of each row, and the buckets for the table."""
     total = text_bytes(docs, text_col)
     chunks = max(16, chunk_count(total, CHUNK_BYTES))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.select(chunk_of(chunks, "id", "text").alias("chunk"), "id", "text"), max(16, chunk_count(total, BUCKET_BYTES))
+    return slim.select(chunk_of(chunks, "id", "text").alias("chunk"), "id", "text"), routing_for(total, BUCKET_BYTES)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_words, n_removed, kept_text)`` of each row."""
-    dealt, buckets = dealt_documents(docs, id_col, text_col)
+    dealt, routing = dealt_documents(docs, id_col, text_col)
     by_chunk = dealt.groupBy("chunk")
-    sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("flags", pa.binary())])
-    told = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-    runs = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("first", pa.binary())])
 
     def chunk_from(table: pa.Table) -> tuple[int, _Chunk]:
-        return table.column("chunk")[0].as_py(), _Chunk(_column(table, "id"), _column(table, "text"), buckets)
+        return table.column("chunk")[0].as_py(), _Chunk(_column(table, "id"), _column(table, "text"))
 
     def send_probes(table: pa.Table) -> pa.Table:
         number, chunk = chunk_from(table)
         _, distinct, _, flags = chunk.probes()
-        return _rows([(b, number, h, f) for b, h, f in chunk.packed(distinct, flags, low_bits=True)], sent)
-
-    def find_anchors(table: pa.Table) -> pa.Table:
-        """Probes that are a block somewhere and stand in two documents."""
-        blobs = [np.frombuffer(x, dtype=np.uint32) for x in table.column("hashes").to_pylist()]
-        flags = [np.frombuffer(x, dtype=np.uint8) for x in table.column("flags").to_pylist()]
-        order = np.argsort(np.concatenate(blobs), kind="stable")
-        merged = np.concatenate(blobs)[order]
-        edge = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]])
-        flag = np.bitwise_or.reduceat(np.concatenate(flags)[order], edge)
-        shared = (np.diff(np.append(edge, len(merged))) > 1) | (flag & 2 > 0)
-        anchor = np.empty(len(merged), dtype=bool)
-        anchor[order] = np.repeat(shared & (flag & 1 > 0), np.diff(np.append(edge, len(merged))))
-        ends = np.cumsum([len(x) for x in blobs])
-        bucket = table.column("bucket")[0].as_py()
-        return _rows([(c, bucket, np.packbits(anchor[e - len(x) : e]).tobytes()) for c, x, e in zip(table.column("chunk").to_pylist(), blobs, ends)], told)
+        return sent_rows(number, distinct, [flags.astype(np.int64)], routing.parts)
 
     def send_runs(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return _rows([], runs)
+            return sent_rows(0, np.zeros(0, dtype=np.uint64), [np.zeros(0, dtype=np.int64)], routing.parts)
         number, chunk = chunk_from(texts)
-        anchors = chunk.unpacked(answers, chunk.probes()[1], "bits")
-        _, distinct, _, first = chunk.candidates(anchors)
-        return _rows([(b, number, h, f) for b, h, f in chunk.packed(distinct, first)], runs)
-
-    def find_first(table: pa.Table) -> pa.Table:
-        """Runs whose first document is in another chunk than the one that asks."""
-        blobs = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
-        firsts = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("first").to_pylist()])
-        order = np.argsort(np.concatenate(blobs), kind="stable")
-        merged = np.concatenate(blobs)[order]
-        edge = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]])
-        least = np.empty_like(firsts)
-        least[order] = np.repeat(np.minimum.reduceat(firsts[order], edge), np.diff(np.append(edge, len(merged))))
-        earlier = least < firsts
-        ends = np.cumsum([len(x) for x in blobs])
-        bucket = table.column("bucket")[0].as_py()
-        return _rows([(c, bucket, np.packbits(earlier[e - len(x) : e]).tobytes()) for c, x, e in zip(table.column("chunk").to_pylist(), blobs, ends)], told)
+        _, distinct, _, first = chunk.candidates(read_answers(answers, chunk.probes()[1], routing.parts) > 0)
+        return sent_rows(number, distinct, [first], routing.parts)
 
     out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def cut(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         """Which of a chunk's words stay. ``answers`` hold those to probes and to runs."""
         if not texts.num_rows:
-            return _rows([], out)
+            return table_of([], out)
         _, chunk = chunk_from(texts)
-        anchors = chunk.unpacked(answers.filter(pc.equal(answers.column("step"), 1)), chunk.probes()[1], "bits")
+        anchors = read_answers(answers.filter(pc.equal(answers.column("step"), 1)), chunk.probes()[1], routing.parts) > 0
         runs, distinct, which, first = chunk.candidates(anchors)
-        elsewhere = chunk.unpacked(answers.filter(pc.equal(answers.column("step"), 2)), distinct, "bits")
+        elsewhere = read_answers(answers.filter(pc.equal(answers.column("step"), 2)), distinct, routing.parts) > 0
         earlier = elsewhere[which] | (first[which] < chunk.plain_ids[chunk.doc[runs]])
         cover = np.zeros(len(chunk.doc) + 1, dtype=np.int64)
         np.add.at(cover, runs[earlier], 1)
@@ -225,16 +177,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             words = (chunk.texts[i] or b"").split()
             left = words if own.all() else [w for w, k in zip(words, own.tolist()) if k]
             rows.append((chunk.ids[i].as_py(), n, n - len(left), b" ".join(left)))
-        return _rows([(i, n, r, t.decode()) for i, n, r, t in rows], out)
-
-    anchors = (
-        by_chunk.applyInArrow(send_probes, "bucket int, chunk int, hashes binary, flags binary")
-        .groupBy("bucket").applyInArrow(find_anchors, "chunk int, bucket int, bits binary")
-    )
-    firsts = (
-        by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(send_runs, "bucket int, chunk int, hashes binary, first binary")
-        .groupBy("bucket").applyInArrow(find_first, "chunk int, bucket int, bits binary")
-    )
+        return table_of([(i, n, r, t.decode()) for i, n, r, t in rows], out)
+
+    anchors = routed(by_chunk.applyInArrow(send_probes, SENT), routing, _flags, lambda whole, own: whole[0] == 3)
+    firsts = routed(by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(send_runs, SENT), routing, _first, lambda whole, own: whole[0] < own[0])
     answers = anchors.withColumn("step", F.lit(1)).unionByName(firsts.withColumn("step", F.lit(2)))
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(cut, "id long, n_words long, n_removed long, kept_text string")
 

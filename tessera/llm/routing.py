@@ -58,15 +58,17 @@ def routing_for(total_bytes: int, bucket_bytes: int, least: int = 16) -> Routing
 
 
 def packed_integers(values: np.ndarray) -> bytes:
-    """64-bit numbers by planes of bytes, without those that are zero for all; the first byte tells how many there are."""
+    """64-bit numbers by planes of bytes, from the first to the last that isn't zero for all; two bytes tell which."""
     plain = np.ascontiguousarray(values).view(np.uint64)
-    width = (int(plain.max()).bit_length() + 7) // 8 if len(plain) else 0
-    return bytes([width]) + plain.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    every = int(np.bitwise_or.reduce(plain)) if len(plain) else 0
+    last = (every.bit_length() + 7) // 8
+    first = ((every & -every).bit_length() - 1) // 8 if every else 0
+    return bytes([first, last]) + plain.view(np.uint8).reshape(-1, 8)[:, first:last].T.tobytes()
 
 
 def unpacked_integers(blob: bytes, n: int) -> np.ndarray:
-    planes = np.zeros((n, 8), dtype=np.uint8)
-    planes[:, : blob[0]] = np.frombuffer(blob, dtype=np.uint8, count=n * blob[0], offset=1).reshape(blob[0], n).T
+    planes, (first, last) = np.zeros((n, 8), dtype=np.uint8), blob[:2]
+    planes[:, first:last] = np.frombuffer(blob, dtype=np.uint8, count=n * (last - first), offset=2).reshape(last - first, n).T
     return planes.view(np.uint64).reshape(n)
 
 
@@ -88,7 +90,7 @@ def _unpacked(blob: bytes, n: int) -> Numbers:
     out, at = [], 0
     while at < len(blob):
         out.append(unpacked_integers(blob[at:], n).view(np.int64))
-        at += 1 + n * blob[at]
+        at += 2 + n * (blob[at + 1] - blob[at])
     return out
 
 

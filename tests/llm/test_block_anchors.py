@@ -1,7 +1,10 @@
 import random
 from collections import Counter
 
+import pytest
+
 from tessera.llm import block_anchors as ba
+from tessera.llm import routing
 
 
 def brute(rows):
@@ -23,7 +26,11 @@ def brute(rows):
     return out
 
 
-def test_repeats_agree_with_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("direct, block", [(8192, 64), (4, 3)])
+def test_repeats_agree_with_brute_force(spark, monkeypatch, direct, block):
+    """The second case sends hashes in two steps."""
+    monkeypatch.setattr(routing, "DIRECT", direct)
+    monkeypatch.setattr(routing, "BLOCK", block)
     monkeypatch.setattr(ba, "CHUNK_BYTES", 3000)
     monkeypatch.setattr(ba, "BUCKET_BYTES", 4000)
     rng = random.Random(11)
@@ -46,3 +53,11 @@ def test_repeats_agree_with_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert ba.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts_and_thousands_of_equal_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    long = f"{'word ' * 300_000}{passage}"
+    frame = spark.createDataFrame([(1, passage)] * 3000 + [(2, long), (3, long)], "doc_id long, text string")
+    got = Counter((r["id"], r["n_words"], r["n_removed"]) for r in ba.remove_repeats(frame).collect())
+    assert got == {(1, 40, 0): 3000, (2, 300_040, 40): 1, (3, 300_040, 300_040): 1}
