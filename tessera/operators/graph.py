@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,31 @@ def incremental_plan(old: DataFrame, new: DataFrame, links: DataFrame, key: str,
     return both.join(affected, key, "left").select(key, F.coalesce("own", F.when(F.col("hit") == 1, "affected"), F.lit("reused")).alias("action"))
 
 
+def affected_by(changed: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """``(key)`` of ``changed(key)`` and of all that uses one of them over any number of ``links(key, uses)``; only new ones go on to the next round."""
+    found = saved(changed.select(key).distinct())
+    news = found
+    while not news.isEmpty():
+        users = links.join(news.withColumnRenamed(key, "uses"), "uses", "left_semi").select(key).distinct()
+        news = saved(users.join(found, key, "left_anti"))
+        found = saved(found.unionByName(news))
+    return found
+
+
+def incremental_rescan(results: DataFrame, old: DataFrame, new: DataFrame, links: DataFrame, key: str, digest: str, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The result of ``scan`` over all of ``new``, with ``rescanned``: rows that no change reaches are taken from ``results`` of the scan before.
+
+    ``scan`` takes the rows to be scanned and returns rows of the columns of ``results``; what it says of a row may depend on the
+    rows that this one uses. Removed rows go.
+    """
+    o, n = old.select(key, F.col(digest).alias("o")), new.select(key, F.col(digest).alias("n"))
+    changed = o.join(n, key, "full_outer").filter(~F.col("o").eqNullSafe(F.col("n")) | F.col("o").isNull() | F.col("n").isNull()).select(key)
+    touched = affected_by(changed, links, key)
+    again = scan(new.join(touched, key, "left_semi")).withColumn("rescanned", F.lit(True))
+    kept = results.join(touched, key, "left_anti").withColumn("rescanned", F.lit(False))
+    return kept.unionByName(again)
+
+
 def same_record(values: DataFrame, group: str, source: str, name: str, value: str) -> DataFrame:
     """``(group, sources, connected)``: whether shared (name, value) pairs link all of a group's sources, in chains if need be."""
     rows = values.filter(F.col(value).isNotNull()).select(group, F.col(source).alias("s"), name, value).distinct()

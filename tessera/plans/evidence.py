@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import conditions
 from ..functions import text as fn
-from ..operators import aggregates, graph, progress, ranking, resolve
+from ..operators import aggregates, cycles, graph, progress, ranking, reduction, resolve
 from ..streaming import state
 from .registry import Tables, query
 
@@ -315,6 +315,85 @@ def topological_levels(t: Tables) -> DataFrame:
     return graph.topological_levels(p, p.filter("node > 0").withColumn("needs", F.expr("node div 4")))
 
 
+@query("topological_order", """
+WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 4 AS needs FROM part WHERE p_partkey > 0),
+l AS (SELECT 0::BIGINT AS node, 0 AS level UNION ALL SELECT e.node, l.level + 1 FROM e JOIN l ON e.needs = l.node)
+SELECT node, level, row_number() OVER (ORDER BY level, node) AS place FROM l
+""")
+def topological_order(t: Tables) -> DataFrame:
+    p = t.part.select(F.col("p_partkey").alias("node"))
+    return cycles.topological_order(p, p.filter("node > 0").withColumn("needs", F.expr("node div 4")))
+
+
+@query("cycle_members", """
+WITH RECURSIVE c AS (SELECT c_custkey AS k, c_custkey // 12 AS b, c_custkey % 12 AS i, max(c_custkey) OVER () AS top FROM customer),
+e AS (SELECT DISTINCT src, dst FROM (
+        SELECT k AS src, 12 * b + (5 * i + b) % 12 AS dst, top FROM c WHERE (k + b) % 5 <> 0
+        UNION ALL SELECT k, 12 * b + (i * i + 1) % 12, top FROM c WHERE k % 3 = 0
+        UNION ALL SELECT k, k + 12, top FROM c WHERE i = 0 AND b % 4 <> 3) WHERE dst <= top),
+r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+m AS (SELECT a.src AS node, min(b.src) AS component FROM r a JOIN r b ON a.dst = b.src AND b.dst = a.src GROUP BY a.src)
+SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM m
+""")
+def cycle_members(t: Tables) -> DataFrame:
+    """Customers in groups of twelve, with one or two edges each inside the group and some to the next."""
+    c = t.customer.select(F.col("c_custkey").alias("k"), F.expr("c_custkey div 12").alias("b"), (F.col("c_custkey") % 12).alias("i"))
+    last = t.customer.agg(F.max("c_custkey")).first()[0]
+    edge = lambda rule, dst: c.filter(rule).select(F.col("k").alias("src"), F.expr(dst).alias("dst"))
+    edges = edge("(k + b) % 5 <> 0", "12 * b + (5 * i + b) % 12").unionByName(edge("k % 3 = 0", "12 * b + (i * i + 1) % 12")).unionByName(edge("i = 0 AND b % 4 <> 3", "k + 12"))
+    return cycles.cycle_members(edges.filter(F.col("dst") <= (last or 0)))
+
+
+@query("deep_evidence", """
+SELECT r_name AS region, c_custkey AS customer, o_orderkey AS orderkey, l_linenumber AS line, p_brand AS brand, s_suppkey AS supplier, event_id AS event
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+JOIN events ON user_id = c_custkey
+WHERE r_regionkey < 2 AND p_size <= 10 AND s_acctbal > 0 AND value > 20
+""")
+def deep_evidence(t: Tables) -> DataFrame:
+    """Eight tables, reduced to what takes part before they are joined."""
+    tables = {
+        "orders": t.orders.select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("customer")),
+        "customer": t.customer.select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation")),
+        "nation": t.nation.select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region_key")),
+        "region": t.region.filter("r_regionkey < 2").select(F.col("r_regionkey").alias("region_key"), F.col("r_name").alias("region")),
+        "events": t.events.filter("value > 20").select(F.col("user_id").alias("customer"), F.col("event_id").alias("event")),
+        "lineitem": t.lineitem.select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")),
+        "part": t.part.filter("p_size <= 10").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand")),
+        "supplier": t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("supplier")),
+    }
+    tree = [
+        ("customer", "orders", ["customer"]), ("nation", "customer", ["nation"]), ("region", "nation", ["region_key"]), ("lineitem", "orders", ["orderkey"]),
+        ("part", "lineitem", ["part"]), ("supplier", "lineitem", ["supplier"]), ("events", "customer", ["customer"]),
+    ]
+    return reduction.joined(tables, tree).select("region", "customer", "orderkey", "line", "brand", "supplier", "event")
+
+
+@query("incremental_rescan", """
+WITH RECURSIVE a AS (SELECT p_partkey AS k, p_size AS d FROM part WHERE p_partkey % 97 <> 5),
+b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 101 = 7 THEN p_size + 1 ELSE p_size END AS d FROM part WHERE p_partkey % 89 <> 3),
+own AS (SELECT coalesce(a.k, b.k) AS k FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.d <> b.d),
+l AS (SELECT p_partkey AS k, p_partkey // 3 AS uses FROM part WHERE p_partkey > 2),
+h AS (SELECT k FROM own UNION SELECT l.k FROM l JOIN h ON l.uses = h.k)
+SELECT b.k AS part, b.d AS size, b.k IN (SELECT k FROM h) AS rescanned, coalesce(u.d, -1) AS used_size
+FROM b LEFT JOIN l ON l.k = b.k LEFT JOIN b AS u ON u.k = l.uses
+""")
+def incremental_rescan(t: Tables) -> DataFrame:
+    """Parts as files that use another one: what changed, and all that uses it over any number of links, is scanned again."""
+    p = t.part.select(F.col("p_partkey").alias("part"), F.col("p_size").alias("size"))
+    old, new = p.filter("part % 97 <> 5"), p.withColumn("size", F.when(F.col("part") % 101 == 7, F.col("size") + 1).otherwise(F.col("size"))).filter("part % 89 <> 3")
+    links = p.filter("part > 2").select("part", F.expr("part div 3").alias("uses"))
+
+    def scan(files: DataFrame, rows: DataFrame) -> DataFrame:
+        """Each of ``rows`` with the size of what it uses among ``files``."""
+        used = files.select(F.col("part").alias("uses"), F.col("size").alias("used_size"))
+        return rows.join(links, "part", "left").join(used, "uses", "left").select("part", "size", F.coalesce("used_size", F.lit(-1)).alias("used_size"))
+
+    out = graph.incremental_rescan(scan(old, old), old, new, links, "part", "size", lambda rows: scan(new, rows))
+    return out.select("part", "size", "rescanned", "used_size")
+
+
 @query("incremental_affected", """
 WITH a AS (SELECT o_orderkey AS k, o_totalprice AS d FROM orders WHERE o_orderkey % 11 <> 0),
 b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS d FROM orders WHERE o_orderkey % 17 <> 0),
