@@ -61,13 +61,16 @@ def changed_line_coverage(changed: DataFrame, executable: DataFrame, covered: Da
     Only executable changed lines count; a path that isn't in ``known`` has all its changed lines
     uncovered; none to cover is 100 percent.
     """
-    flag = lambda df, name: df.select("path", "line").distinct().withColumn(name, F.lit(1))
-    lines = changed.select("path", "line").distinct().join(flag(executable, "x"), ["path", "line"], "left").join(flag(covered, "c"), ["path", "line"], "left")
-    lines = lines.join(known.select("path").distinct().withColumn("k", F.lit(1)), "path", "left")
-    counted = lines.groupBy("path").agg(
-        F.count_if(F.col("k").isNull() | F.col("x").isNotNull()).alias("changed_lines"),
-        F.count_if(F.col("k").isNotNull() & F.col("x").isNotNull() & F.col("c").isNotNull()).alias("covered_lines"),
-    )
+    flags = {"n": changed, "x": executable, "c": covered}
+    mark = lambda df, line, name: df.select("path", line, *[F.lit(1 if f == name else 0).alias(f) for f in (*flags, "k")])
+    rows = mark(known, F.lit(None).cast(changed.schema["line"].dataType).alias("line"), "k")
+    for name, df in flags.items():
+        rows = rows.unionByName(mark(df, "line", name))
+    lines = rows.groupBy("path", "line").agg(*[F.max(f).alias(f) for f in (*flags, "k")])  # one scan a table, one row a line
+    n, x, c = (F.col(f) == 1 for f in flags)
+    sums = lines.groupBy("path").agg(F.max("k").alias("k"), F.count_if(n).alias("all"), F.count_if(n & x).alias("to_cover"), F.count_if(n & x & c).alias("hit")).filter(F.col("all") > 0)
+    is_known = F.col("k") == 1
+    counted = sums.select("path", F.when(is_known, F.col("to_cover")).otherwise(F.col("all")).alias("changed_lines"), F.when(is_known, F.col("hit")).otherwise(0).cast("long").alias("covered_lines"))
     percent = F.when(F.col("changed_lines") == 0, 100.0).otherwise(F.round(F.col("covered_lines") * 100.0 / F.col("changed_lines"), 2))
     return counted.withColumn("percent", percent).withColumn("status", F.when(F.col("percent") >= least, "passed").otherwise("failed"))
 

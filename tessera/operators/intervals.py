@@ -35,14 +35,19 @@ def dyadic_bins(start: Column, end: Column, powers: int = POWERS) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(powers)), at))
 
 
+def point_bins(point: Column, powers: int) -> Column:
+    """The stretches ``{power, at}`` in which a whole number lies, one of each length."""
+    size = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    return F.transform(F.sequence(F.lit(0), F.lit(powers)), lambda k: F.struct(k.alias("power"), F.floor(point / size(k)).alias("at")))
+
+
 def holding_pairs(intervals: DataFrame, key: str, start: str, end: str, interval_id: str, powers: int = POWERS) -> DataFrame:
     """``(key, id, start, end, holder, h_start, h_end)`` of intervals and the longer ones of their key that hold them."""
     own = intervals.select(F.col(key).alias("key"), F.col(interval_id).alias("id"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")).filter("key IS NOT NULL AND start <= end")
     longest = own.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 1
     top = min(powers, max(0, int(longest - 1).bit_length()))
     cut = own.select("key", F.col("id").alias("holder"), F.col("start").alias("h_start"), F.col("end").alias("h_end"), F.explode(dyadic_bins(F.col("start"), F.col("end"), top)).alias("bin"))
-    size = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    points = own.distinct().withColumn("bin", F.explode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda k: F.struct(k.alias("power"), F.floor(F.col("start") / size(k)).alias("at")))))
+    points = own.distinct().withColumn("bin", F.explode(point_bins(F.col("start"), top)))
     return points.join(cut, ["key", "bin"]).filter("h_end >= end AND h_end - h_start > end - start").drop("bin")
 
 

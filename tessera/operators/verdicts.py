@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import dyadic_bins, point_bins
+
 # Why a node is in a context, the strongest reason first.
 CONTEXT_REASONS = ("direct_change", "acceptance", "rag_candidate", "cross_document", "related", "adjacent", "parent")
 
@@ -191,10 +193,14 @@ def bind_cells(refs: DataFrame, cells: DataFrame) -> DataFrame:
     """``(ref, node_id, reason)``: the one node with a cell in a reference's ranges; of several, the only one in its first range.
 
     ``refs(ref, document, place, sheet, row1, col1, row2, col2)``: its ranges in order of ``place`` (0 first);
-    ``cells(node_id, document, sheet, row, col)``. Ranges meet cells by document and sheet.
+    ``cells(node_id, document, sheet, row, col)``. Ranges meet the cells of their rows in dyadic bins of a sheet.
     """
     inside = F.col("row").between(F.col("row1"), F.col("row2")) & F.col("col").between(F.col("col1"), F.col("col2"))
-    hit = refs.join(cells, ["document", "sheet"]).filter(inside).groupBy("ref", "node_id").agg(F.min("place").alias("first"))
+    tallest = refs.agg(F.max(F.col("row2") - F.col("row1") + 1)).first()[0] or 1
+    top = max(0, int(tallest - 1).bit_length())
+    binned = refs.withColumn("bin", F.explode(dyadic_bins(F.col("row1").cast("long"), F.col("row2").cast("long"), top)))
+    placed = cells.withColumn("bin", F.explode(point_bins(F.col("row").cast("long"), top)))
+    hit = binned.join(placed, ["document", "sheet", "bin"]).filter(inside).groupBy("ref", "node_id").agg(F.min("place").alias("first"))
     per = hit.groupBy("ref").agg(F.count("*").alias("n"), F.min("node_id").alias("a"), F.count_if(F.col("first") == 0).alias("n0"), F.min(F.when(F.col("first") == 0, F.col("node_id"))).alias("a0"))
     node = F.when(F.col("n") == 1, F.col("a")).when(F.col("n0") == 1, F.col("a0"))
     reason = F.when(F.col("n").isNull(), "no_node").when(node.isNull(), "ambiguous").otherwise("bound")
