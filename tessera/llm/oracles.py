@@ -49,7 +49,7 @@ w AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_logged FROM c GROUP B
 p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM c)),
 kept AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.turns = w.turns)),
 rows AS (SELECT conv_id, n_logged, turns, unnest(range(1, len(turns) + 1)) AS position FROM kept)
-SELECT conv_id, (position - 1) // 64 AS piece, len(turns) AS n_turns, n_logged,
+SELECT conv_id, (position - 1) // 64 AS piece, (len(turns) + 63) // 64 AS n_pieces, len(turns) AS n_turns, n_logged,
        string_agg('<|im_start|>' || turns[position].role || chr(10) || turns[position].text || '<|im_end|>' || chr(10), '' ORDER BY position) AS rendered
 FROM rows GROUP BY ALL
 """

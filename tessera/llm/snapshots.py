@@ -107,11 +107,12 @@ def rendered_turns(turns: DataFrame) -> DataFrame:
 
 
 def rendered_conversations(turns: DataFrame, piece_turns: int = PIECE_TURNS) -> DataFrame:
-    """``(conv_id, piece, n_turns, n_logged, rendered)``: the kept conversations as chat text.
+    """``(conv_id, piece, n_pieces, n_turns, n_logged, rendered)``: the kept conversations as chat text.
 
     A conversation of up to ``piece_turns`` turns is one row; a longer one goes on in further
     pieces, so that no conversation, however long, has to fit into one row.
     """
     rows = rendered_turns(turns).withColumn("piece", F.floor((F.col("position") - 1) / piece_turns).cast("long"))
     held = rows.groupBy("conv_id", "piece", "n_turns", "n_logged").agg(F.sort_array(F.collect_list(F.struct("position", "rendered"))).alias("turns"))
-    return held.select("conv_id", "piece", "n_turns", "n_logged", F.array_join(F.col("turns.rendered"), "").alias("rendered"))
+    n_pieces = F.ceil(F.col("n_turns") / piece_turns).cast("long").alias("n_pieces")
+    return held.select("conv_id", "piece", n_pieces, "n_turns", "n_logged", F.array_join(F.col("turns.rendered"), "").alias("rendered"))

@@ -2,9 +2,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import simhash as sh
+from tessera.operators import storage
 
 
 def slow_fingerprint(text):
@@ -51,7 +53,10 @@ def groups_of(spark, rows):
     return [(r["id"], r["component_id"]) for r in sh.near_duplicate_groups(frame).collect()]
 
 
-def test_groups_agree_with_brute_force(spark):
+@pytest.mark.parametrize("most_hot", [1, storage.MOST_HOT, 10**9])
+def test_groups_agree_with_brute_force(spark, monkeypatch, most_hot):
+    """Keys of joins are all shuffled, some broadcast, all broadcast."""
+    monkeypatch.setattr(storage, "MOST_HOT", most_hot)
     texts = corpus(random.Random(2))
     ids = random.Random(3).sample(range(10_000), len(texts))
     roots = slow_groups([slow_fingerprint(t) for t in texts])
@@ -92,3 +97,10 @@ def test_one_of_each_group_stays(spark):
     got = sorted(((r["doc_id"] or -1), r["text"]) for r in kept.collect())
     assert got == [(-1, "alone with no id at all"), (2, "a b c d"), (7, "other text altogether here"), (8, "")]
     assert sh.keep_one_of_each_group(frame.limit(0)).count() == 0
+
+
+def test_long_texts_and_thousands_of_equal_rows(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, words)] * 3000 + [(8, f"{words} w60"), (9, "other " * 300_000), (10, None), (11, "")]
+    got = {(r["id"], r["component_id"]) for r in sh.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(7, 7), (9, 9), (10, 10), (11, 10)} <= got and len(got) == 5

@@ -30,9 +30,9 @@ def test_collapse_agrees_with_brute_force(spark):
         if turns not in inside:
             owner = min((c for c, t in logs.items() if tuple(t) == turns), key=lambda c: (c is None, c))
             chat = [f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns]
-            want |= {(owner, k // 64, len(turns), whole[turns], "".join(chat[k : k + 64])) for k in range(0, len(turns), 64)}
+            want |= {(owner, k // 64, -(-len(turns) // 64), len(turns), whole[turns], "".join(chat[k : k + 64])) for k in range(0, len(turns), 64)}
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position string")
-    got = [(r["conv_id"], r["piece"], r["n_turns"], r["n_logged"], r["rendered"]) for r in snapshots.rendered_conversations(frame).collect()]
+    got = [(r["conv_id"], r["piece"], r["n_pieces"], r["n_turns"], r["n_logged"], r["rendered"]) for r in snapshots.rendered_conversations(frame).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
