@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import assembly, code_graph, intervals, java_source, progress, records, unresolved, verdicts
+from ..sources import webflow
 from ..streaming import diagnostics, leases, state
 from .registry import Tables, query
 
@@ -188,6 +189,24 @@ def nested_intervals(t: Tables) -> DataFrame:
     return intervals.nested_intervals(rows, "k", "s", "e", "i").withColumnRenamed("key", "k")
 
 
+@query("inherited_definitions", """
+WITH RECURSIVE d AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 500 = 498 THEN p_partkey + 1 WHEN p_partkey % 500 = 499 THEN p_partkey - 1 WHEN p_partkey < 3 THEN NULL WHEN p_partkey % 101 = 50 THEN -1 ELSE p_partkey // 3 END AS up,
+  CASE WHEN p_size % 3 = 0 OR p_partkey < 3 THEN p_size END AS page, CASE WHEN p_size % 4 = 0 THEN p_brand END AS body FROM part),
+r AS (SELECT k, page, body, 0::BIGINT AS depth FROM d WHERE up IS NULL
+      UNION ALL SELECT d.k, coalesce(d.page, r.page), coalesce(d.body, r.body), r.depth + 1 FROM d JOIN r ON d.up = r.k),
+m AS (SELECT k FROM d WHERE up IS NOT NULL AND up NOT IN (SELECT k FROM d) UNION ALL SELECT d.k FROM d JOIN m ON d.up = m.k)
+SELECT d.k, r.page::VARCHAR AS page, r.body, r.depth, CASE WHEN r.k IS NOT NULL THEN NULL WHEN d.k IN (SELECT k FROM m) THEN 'missing_parent' ELSE 'cycle' END AS reason FROM d LEFT JOIN r ON r.k = d.k
+""")
+def inherited_definitions(t: Tables) -> DataFrame:
+    """Parts as page definitions that extend one another; some extend nothing known, some each other."""
+    k = F.col("p_partkey")
+    up = F.when(k % 500 == 498, k + 1).when(k % 500 == 499, k - 1).when(k < 3, None).when(k % 101 == 50, -1).otherwise(F.expr("p_partkey div 3"))
+    body = F.when(F.col("p_size") % 4 == 0, F.create_map(F.lit("body"), F.col("p_brand"))).otherwise(F.create_map().cast("map<string,string>"))
+    defs = t.part.select(k.cast("string").alias("name"), up.cast("string").alias("parent"), F.when((F.col("p_size") % 3 == 0) | (k < 3), F.col("p_size").cast("string")).alias("page"), body.alias("puts"))
+    out = webflow.inherited_definitions(defs)
+    return out.select(F.col("name").cast("long").alias("k"), "page", F.col("puts")["body"].alias("body"), "depth", "reason")
+
+
 @query("lease_history")
 def lease_history(t: Tables) -> DataFrame:
     """Events as those of a queue: runs by user, tasks and claims by id, two active tasks a run at most. Its order is a state machine's, beyond SQL."""
