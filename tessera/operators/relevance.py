@@ -73,7 +73,7 @@ def best_fragments(ranked: DataFrame, document: str, fragment: str, k: int) -> D
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, also within a fold."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
 def cover_density(tokens: Column, groups: Sequence[Sequence[tuple[bool, str]]]) -> Column:

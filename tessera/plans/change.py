@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import assembly, code_graph, intervals, java_source, progress, records, unresolved, verdicts
+from ..operators import assembly, code_graph, intervals, java_source, progress, records, schemas, unresolved, verdicts
 from ..sources import webflow
 from ..streaming import diagnostics, leases, state
 from .registry import Tables, query
@@ -207,6 +207,25 @@ def inherited_definitions(t: Tables) -> DataFrame:
     return out.select(F.col("name").cast("long").alias("k"), "page", F.col("puts")["body"].alias("body"), "depth", "reason")
 
 
+#: What the properties of events have to be.
+EVENT_SCHEMA = {
+    "type": "object", "required": ["k", "unit"], "additionalProperties": False,
+    "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 90, "not": {"enum": [50, 60]}}, "unit": {"type": "string"}},
+    "if": {"properties": {"k": {"maximum": 20}}}, "then": {"properties": {"k": {"const": 15}}},
+}
+
+
+@query("schema_violations", """
+WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+b AS (SELECT event_id, unnest([CASE WHEN k < 10 THEN '$.k minimum' END, CASE WHEN k > 90 THEN '$.k maximum' END, CASE WHEN k IN (50, 60) THEN '$.k not' END, CASE WHEN k <= 20 AND k <> 15 THEN '$.k const' END, '$.unit required']) AS v FROM e)
+SELECT event_id, string_agg(v, ';' ORDER BY v) AS violations FROM b WHERE v IS NOT NULL GROUP BY event_id
+""")
+def schema_violations(t: Tables) -> DataFrame:
+    """What the properties of events break of a schema."""
+    out = schemas.validated(t.events.select("event_id", "props"), "props", EVENT_SCHEMA)
+    return out.select("event_id", F.array_join(F.transform("violations", lambda v: F.concat_ws(" ", v["path"], v["keyword"])), ";").alias("violations"))
+
+
 @query("lease_history")
 def lease_history(t: Tables) -> DataFrame:
     """Events as those of a queue: runs by user, tasks and claims by id, two active tasks a run at most. Its order is a state machine's, beyond SQL."""
