@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import progress, publishing
+from ..operators import ledger, progress, publishing
 from .registry import Tables, query
 
 
@@ -115,6 +115,21 @@ def publish_plan(t: Tables) -> DataFrame:
     return publishing.publish_plan(stored, incoming, "fact_id", "digest").select("fact_id", "action")
 
 
+@query("build_status", """
+WITH RECURSIVE e AS (SELECT o_orderkey AS build, o_orderstatus AS kind, o_custkey AS scope, o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN [] WHEN o_orderkey % 997 = 1 THEN [-1] ELSE [o_orderkey - o_orderkey % 4] END AS needs FROM orders),
+c AS (SELECT *, seq = max(seq) OVER (PARTITION BY kind, scope) AS current FROM e),
+l AS (SELECT build, unnest(needs) AS needs FROM e),
+s AS (SELECT build FROM c WHERE NOT current UNION SELECT build FROM l WHERE needs NOT IN (SELECT build FROM e) UNION SELECT l.build FROM l JOIN s ON l.needs = s.build)
+SELECT build, kind, scope, current, CASE WHEN build IN (SELECT build FROM s) THEN 'stale' ELSE 'ready' END AS status FROM c
+""")
+def build_status(t: Tables) -> DataFrame:
+    """Orders as builds of a status and customer that depend on an order before them."""
+    k = F.col("o_orderkey")
+    needs = F.when(k % 4 == 0, F.array().cast("array<bigint>")).when(k % 997 == 1, F.array(F.lit(-1).cast("long"))).otherwise(F.array(k - k % 4))
+    events = t.orders.select(k.alias("build"), F.col("o_orderstatus").alias("kind"), F.col("o_custkey").alias("scope"), k.alias("seq"), needs.alias("depends_on"))
+    return ledger.build_status(events).drop("seq")
+
+
 @query("accepted_appends", """
 WITH l AS (SELECT user_id, max(event_id) AS latest FROM events GROUP BY 1), a AS (SELECT user_id, max(event_id) AS expected FROM events WHERE event_type <> 'error' GROUP BY 1)
 SELECT user_id, expected, latest, expected = latest AS accepted FROM a JOIN l USING (user_id)
