@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import assembly, code_graph, intervals, java_source, progress, records, schemas, unresolved, verdicts
+from ..operators import assembly, code_graph, intervals, java_source, progress, records, revisions, schemas, unresolved, verdicts
 from ..sources import webflow
 from ..streaming import diagnostics, leases, state
 from .registry import Tables, query
@@ -226,6 +226,31 @@ def schema_violations(t: Tables) -> DataFrame:
     return out.select("event_id", F.array_join(F.transform("violations", lambda v: F.concat_ws(" ", v["path"], v["keyword"])), ";").alias("violations"))
 
 
+@query("revision_state", """
+WITH RECURSIVE o AS (SELECT user_id AS c, event_id AS op, event_id % 5 = 2 AND event_id % 3 > 0 AS undo, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type AS field, value FROM events),
+b AS (SELECT *, CASE WHEN op % 7 = 3 AND n > 1 THEN -1 ELSE coalesce(sum((NOT (op % 7 = 3 AND n > 1))::INT) OVER (PARTITION BY c ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS base FROM o),
+r AS (SELECT c, 0::BIGINT AS n, 0::BIGINT AS version, []::BIGINT[] AS stack FROM (SELECT DISTINCT c FROM b)
+      UNION ALL
+      SELECT b.c, b.n, CASE WHEN b.base = r.version AND (NOT undo OR len(stack) > 0) THEN version + 1 ELSE version END,
+             CASE WHEN b.base <> r.version THEN stack WHEN NOT undo THEN list_append(stack, op) WHEN len(stack) > 0 THEN stack[1:len(stack) - 1] ELSE stack END
+      FROM r JOIN b ON b.c = r.c AND b.n = r.n + 1),
+f AS (SELECT c, version, unnest(stack) AS op FROM (SELECT c, arg_max(version, n) AS version, arg_max(stack, n) AS stack FROM r GROUP BY c))
+SELECT f.c AS case_id, field, arg_max(value, f.op) AS value, max(f.op) AS op_id, any_value(version) AS version FROM f JOIN b ON b.c = f.c AND b.op = f.op GROUP BY f.c, field
+""")
+def revision_state(t: Tables) -> DataFrame:
+    """Events as edits and undos of users' cases; some of them against an old version."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = t.events.withColumn("n", place.cast("long"))
+    late = (F.col("event_id") % 7 == 3) & (F.col("n") > 1)
+    before = Window.partitionBy("user_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.when(late, -1).otherwise(F.coalesce(F.sum((~late).cast("long")).over(before), F.lit(0)))
+    operations = e.select(
+        F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("op_id"), F.when((F.col("event_id") % 5 == 2) & (F.col("event_id") % 3 > 0), "undo").otherwise("edit").alias("kind"),
+        base.alias("base_version"), F.col("event_type").alias("field"), "value",
+    )
+    return revisions.revision_state(operations)
+
+
 @query("lease_history")
 def lease_history(t: Tables) -> DataFrame:
     """Events as those of a queue: runs by user, tasks and claims by id, two active tasks a run at most. Its order is a state machine's, beyond SQL."""
