@@ -25,10 +25,25 @@ def json_kind(doc: Column, path: str) -> Column:
     )
 
 
+def _at(doc: Column, path: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(doc), path, "variant")
+
+
+def json_count(doc: Column, path: str) -> Column:
+    """How many there are at a path: a whole number itself, members of a list or an object, code points of a text; else null."""
+    found = _at(doc, path)
+    kind = F.regexp_extract(F.schema_of_variant(found), "^[A-Z]+", 0)
+    return (
+        F.when(kind == "BIGINT", F.try_variant_get(found, "$", "long")).when(kind == "ARRAY", F.size(F.try_variant_get(found, "$", "array<variant>")).cast("long"))
+        .when(kind == "OBJECT", F.size(F.try_variant_get(found, "$", "map<string,variant>")).cast("long")).when(kind == "STRING", F.length(F.try_variant_get(found, "$", "string")).cast("long"))
+    )
+
+
 def condition(doc: Column, path: str, operator: str, *operands: float | str) -> Column:
     """``(passed, reason)`` of one condition on a JSON text.
 
-    A missing path or a value of the wrong type never passes; truth values are not numbers.
+    A missing path or a value of the wrong type never passes; truth values are not numbers. ``count_equals`` counts what is at the
+    path (see ``json_count``); ``equals_path`` compares with what stands at another path, its operand.
     """
     kind, value = json_kind(doc, path), json_value(doc, path)["value"]
     number = F.when(kind == "number", value.cast("double"))
@@ -43,6 +58,13 @@ def condition(doc: Column, path: str, operator: str, *operands: float | str) ->
         }[operator]
     elif operator == "contains":
         fits, passed = kind == "text", F.contains(value, text_operands[0])
+    elif operator == "count_equals":
+        size = json_count(doc, path)
+        fits, passed = size.isNotNull(), size == int(operands[0])
+    elif operator == "equals_path":
+        other = json_kind(doc, str(operands[0]))
+        fits = other.isNotNull()
+        passed = F.coalesce(F.to_json(_at(doc, path)) == F.to_json(_at(doc, str(operands[0]))), F.lit(False)) | ((kind == "number") & (other == "number") & (number == json_value(doc, str(operands[0]))["value"].cast("double")))
     elif operator in ("equals", "not_equals", "in"):
         fits = kind.isNotNull()
         same = F.lit(False)

@@ -14,7 +14,7 @@ from ..functions import text as fn
 TYPES = {"java": r"\b(?:class|interface|enum|record)\s+([A-Z]\w*)", "kotlin": r"\b(?:class|interface|object)\s+([A-Z]\w*)", "typescript": r"\b(?:class|interface)\s+([A-Z]\w*)", "javascript": r"\bclass\s+([A-Z]\w*)", "python": r"(?m)^\s*class\s+(\w+)"}
 IMPORTS = {"java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;", "kotlin": r"(?m)^\s*import\s+([\w.]+)", "python": r"(?m)^\s*(?:from|import)\s+([\w.]+)", "typescript": r"from\s+['\"]([^'\"]+)['\"]", "javascript": r"from\s+['\"]([^'\"]+)['\"]"}
 METHODS = {"java": r"(?m)^\s*(?:public|protected|private|static|final|\s)+[\w<>\[\], ?]+\s+(\w+)\s*\(", "kotlin": r"\bfun\s+(\w+)\s*\(", "python": r"(?m)^\s*(?:async\s+)?def\s+(\w+)\s*\(", "typescript": r"\bfunction\s+(\w+)\s*\(", "javascript": r"\bfunction\s+(\w+)\s*\("}
-MAPPING = r"@(Get|Post|Put|Delete|Patch)Mapping\(\s*(?:value\s*=\s*)?\"([^\"]*)\""
+MAPPING = r"@(Get|Post|Put|Delete|Patch|Request)Mapping\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"(?:\s*,\s*method\s*=\s*(?:RequestMethod\.)?([A-Z]+))?"
 
 
 def _found(patterns: dict[str, str]) -> Column:
@@ -72,10 +72,11 @@ def type_of(names: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def endpoints(files: DataFrame) -> DataFrame:
-    """``(endpoint_id, path, method, template)`` of annotated request mappings."""
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(MAPPING), 1).alias("m"), F.regexp_extract_all("text", F.lit(MAPPING), 2).alias("t"))
+    """``(endpoint_id, path, method, template)`` of annotated request mappings; one that names no method answers ``ANY``."""
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(MAPPING), 1).alias("m"), F.regexp_extract_all("text", F.lit(MAPPING), 2).alias("t"), F.regexp_extract_all("text", F.lit(MAPPING), 3).alias("own"))
     rows = files.filter("language in ('java', 'kotlin')").select("path", F.inline(pairs))
-    rows = rows.select("path", F.upper("m").alias("method"), fn.route_template(F.col("t")).alias("template"))
+    method = F.when(F.col("m") != "Request", F.upper("m")).when(F.coalesce("own", F.lit("")) != "", F.col("own")).otherwise("ANY")
+    rows = rows.select("path", method.alias("method"), fn.route_template(F.col("t")).alias("template"))
     return rows.select(fn.sha_id("endpoint", F.col("path"), F.col("method"), F.col("template")).alias("endpoint_id"), "path", "method", "template")
 
 
@@ -118,9 +119,10 @@ def client_calls(files: DataFrame) -> DataFrame:
 
 
 def call_endpoints(files: DataFrame) -> DataFrame:
-    """``(path, method, route, endpoint_id, reason)``: calls to the only endpoint of their method and normalised route."""
-    known = endpoints(files).select("method", F.col("template").alias("route"), "endpoint_id")
-    found = known.groupBy("method", "route").agg(F.countDistinct("endpoint_id").alias("n"), F.min("endpoint_id").alias("e"))
-    out = client_calls(files).join(found, ["method", "route"], "left")
-    reason = F.when(F.col("n") == 1, "resolved_unique").when(F.col("n") > 1, "endpoint_ambiguous").otherwise("endpoint_not_found")
-    return out.select("path", "method", "route", F.when(F.col("n") == 1, F.col("e")).alias("endpoint_id"), reason.alias("reason"))
+    """``(path, method, route, endpoint_id, reason)``: calls to the only endpoint of their method and normalised route, else of any method there."""
+    found = endpoints(files).groupBy("method", F.col("template").alias("route")).agg(F.countDistinct("endpoint_id").alias("n"), F.min("endpoint_id").alias("e"))
+    some = found.filter("method = 'ANY'").select("route", F.col("n").alias("any_n"), F.col("e").alias("any_e"))
+    out = client_calls(files).join(found, ["method", "route"], "left").join(some, "route", "left")
+    n, e = F.coalesce("n", "any_n"), F.when(F.col("n").isNotNull(), F.col("e")).otherwise(F.col("any_e"))
+    reason = F.when(n == 1, "resolved_unique").when(n > 1, "endpoint_ambiguous").otherwise("endpoint_not_found")
+    return out.select("path", "method", "route", F.when(n == 1, e).alias("endpoint_id"), reason.alias("reason"))

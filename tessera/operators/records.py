@@ -23,7 +23,7 @@ def scan_records(cells: DataFrame, aliases: DataFrame, least_headers: int = 2) -
     """
     known = aliases.select(fn.search_text(F.col("alias")).alias("_a"), "field").dropDuplicates(["_a"])
     good = cells.filter(F.trim(F.coalesce("value", F.lit(""))) != "").select(*_SHEET, "row", "col", "ref", F.trim("value").alias("value")).withColumn("_a", fn.search_text(F.col("value")))
-    named = saved(good.join(F.broadcast(known), "_a", "left"))  # a profile's alias table; the cells are read four times
+    named = saved(good.join(known, "_a", "left"))  # the cells are read four times
     rows = named.groupBy(*_SHEET, "row").agg(F.countDistinct("field").alias("n_fields"), F.count("*").alias("n_cells"), F.min(F.struct("col", "field", "ref")).alias("first"), F.max(F.struct("col", "value", "ref")).alias("last"))
     upto = Window.partitionBy(*_SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     is_header = F.col("n_fields") >= least_headers

@@ -244,3 +244,13 @@ def test_an_excluded_word_costs_little(spark):
         assert len(ranking.keyword_topk(docs, query, 10, "id", "text").collect()) == 8
         took[query] = time.time() - began
     assert took["the and -loser"] < 2 * took["the and"] + 0.5
+
+
+def test_conditions_that_count_or_compare_paths(spark):
+    doc = '{"l": [1, 2, null], "o": {"a": 1}, "t": "éab", "n": 3, "d": 1.5, "b": true, "x": {"q": [1, {"z": 2}]}, "y": {"q": [1, {"z": 2}]}, "m": 3.0, "e": []}'
+    ask = lambda path, op, operand: tuple(spark.range(1).select(conditions.condition(F.lit(doc), path, op, operand).alias("c")).first()["c"])
+    counts = {"$.l": 3, "$.o": 1, "$.t": 3, "$.n": 3, "$.e": 0}
+    assert all(ask(p, "count_equals", n) == (True, "satisfied") and ask(p, "count_equals", n + 1) == (False, "not_satisfied") for p, n in counts.items())
+    assert ask("$.b", "count_equals", 1) == ask("$.d", "count_equals", 1) == (False, "wrong_type") and ask("$.none", "count_equals", 0) == (False, "missing_path")
+    assert ask("$.x.q", "equals_path", "$.y.q") == ask("$.n", "equals_path", "$.m") == (True, "satisfied")
+    assert ask("$.n", "equals_path", "$.t") == (False, "not_satisfied") and ask("$.n", "equals_path", "$.none") == (False, "wrong_type")

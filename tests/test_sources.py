@@ -108,3 +108,12 @@ def test_chains_from_calls_to_tables(spark):
     assert calls == {("GET", "/orders/{*}", "resolved_unique"), ("POST", "/orders", "resolved_unique"), ("GET", "/none", "endpoint_not_found")}
     names = spark.createDataFrame([("findById",), ("saveAll",), ("deleteX",), ("run",)], "m string")
     assert [r[0] for r in names.select(code_graph.database_operation(names.m)).collect()] == ["reads", "writes", "writes", None]
+
+
+def test_calls_fall_back_to_endpoints_of_any_method(spark):
+    java = 'class A { @RequestMapping("/a/{id}") void a() {} @RequestMapping(value = "/b", method = RequestMethod.POST) void b() {} @GetMapping("/a/{x}") void c() {} }'
+    script = "axios.get(`/a/${id}`); axios.post('/b'); axios.put(`/a/${id}`); axios.get('/b');"
+    files = spark.createDataFrame([("A.java", "java", java), ("s.js", "javascript", script)], "path string, language string, text string")
+    methods = {r["endpoint_id"]: r["method"] for r in code_graph.endpoints(files).collect()}
+    got = {(r["method"], r["route"], methods.get(r["endpoint_id"]), r["reason"]) for r in code_graph.call_endpoints(files).collect()}
+    assert got == {("GET", "/a/{*}", "GET", "resolved_unique"), ("POST", "/b", "POST", "resolved_unique"), ("PUT", "/a/{*}", "ANY", "resolved_unique"), ("GET", "/b", None, "endpoint_not_found")}
