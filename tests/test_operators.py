@@ -254,3 +254,12 @@ def test_conditions_that_count_or_compare_paths(spark):
     assert ask("$.b", "count_equals", 1) == ask("$.d", "count_equals", 1) == (False, "wrong_type") and ask("$.none", "count_equals", 0) == (False, "missing_path")
     assert ask("$.x.q", "equals_path", "$.y.q") == ask("$.n", "equals_path", "$.m") == (True, "satisfied")
     assert ask("$.n", "equals_path", "$.t") == (False, "not_satisfied") and ask("$.n", "equals_path", "$.none") == (False, "wrong_type")
+
+
+def test_nfkc_agrees_with_python(spark):
+    import re
+    import unicodedata
+
+    texts = ["plain  Text\t\n x", "ﬁ ＡＢＣ　①②", "Straße İstanbul ΑΣ", "é é", "ｶﾞ 株式会社 ㍿", " \xa0 a b ", "", "½ ﷺ K Å"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(fn.nfkc_folded(F.col("t"))).collect()]
+    assert got == [re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip().casefold() for t in texts]
