@@ -155,3 +155,9 @@ def test_move_gains_agree_with_the_likelihood_of_each_move():
 
 def test_empty_table(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_thousands_of_equal_rows_are_scored_alike(spark):
+    rows = [(5, "one two three one two")] * 3000 + [(i, "one two four") for i in range(6, 20)]
+    out = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("id = 5").groupBy("n_tokens", "n_known", "score", "base_score").count().collect()
+    assert [(r["n_tokens"], r["n_known"], r["count"]) for r in out] == [(6, 6, 3000)]

@@ -51,3 +51,10 @@ def test_rules_decide_and_columns_stay(spark):
 def test_no_python_and_one_projection(spark):
     plan = spark.createDataFrame([(1, "x")], "id int, text string").select(q.judged(F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_very_long_texts_and_thousands_of_equal_rows(spark):
+    long = " ".join(f"w{i} of the" for i in range(150_000))
+    frame = spark.createDataFrame([(1, long)] + [(2, "the same short row")] * 3000, "id int, text string")
+    rows = frame.select("id", q.judged(F.col("text")).alias("m")).groupBy("id", "m.n_words", "m.n_repeat_words", "m.kept").count().collect()
+    assert {tuple(r) for r in rows} == {(1, 450_000, 0, True, 1), (2, 4, 0, False, 3000)}
