@@ -177,7 +177,7 @@ WITH l AS (SELECT l_orderkey % 300 AS k, l_orderkey * 10 + l_linenumber AS id, l
 h AS (SELECT a.k, a.id, a.s, a.e, b.id AS h, b.e - b.s AS n FROM (SELECT DISTINCT * FROM l) a JOIN l b ON a.k = b.k AND b.s <= a.s AND a.e <= b.e AND b.e - b.s > a.e - a.s),
 m AS (SELECT k, id, s, e, min(n) AS least, count(*) AS holders FROM h GROUP BY ALL),
 p AS (SELECT m.k, m.id, m.s, m.e, m.holders, count(*) AS parents, min(h.h) AS parent FROM m JOIN h ON h.k = m.k AND h.id = m.id AND h.s = m.s AND h.e = m.e AND h.n = m.least GROUP BY ALL)
-SELECT l.k, l.id, CASE WHEN parents = 1 THEN parent END AS parent, coalesce(parents, 0) AS parents, coalesce(holders, 0) AS holders
+SELECT l.k, l.id, CASE WHEN parents = 1 THEN parent ELSE -1 END AS parent, coalesce(parents, 0) AS parents, coalesce(holders, 0) AS holders
 FROM l LEFT JOIN p ON p.k = l.k AND p.id = l.id AND p.s = l.s AND p.e = l.e
 """)
 def nested_intervals(t: Tables) -> DataFrame:
@@ -186,7 +186,7 @@ def nested_intervals(t: Tables) -> DataFrame:
         (F.col("l_orderkey") % 300).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), F.col("l_partkey").alias("s"),
         (F.col("l_partkey") + F.col("l_quantity").cast("long") % 10 * (F.col("l_suppkey") % 12)).alias("e"),
     )
-    return intervals.nested_intervals(rows, "k", "s", "e", "i").withColumnRenamed("key", "k")
+    return intervals.nested_intervals(rows, "k", "s", "e", "i").withColumnRenamed("key", "k").withColumn("parent", F.coalesce("parent", F.lit(-1)))
 
 
 @query("inherited_definitions", """
@@ -195,7 +195,7 @@ WITH RECURSIVE d AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 500 = 498 THEN
 r AS (SELECT k, page, body, 0::BIGINT AS depth FROM d WHERE up IS NULL
       UNION ALL SELECT d.k, coalesce(d.page, r.page), coalesce(d.body, r.body), r.depth + 1 FROM d JOIN r ON d.up = r.k),
 m AS (SELECT k FROM d WHERE up IS NOT NULL AND up NOT IN (SELECT k FROM d) UNION ALL SELECT d.k FROM d JOIN m ON d.up = m.k)
-SELECT d.k, r.page::VARCHAR AS page, r.body, r.depth, CASE WHEN r.k IS NOT NULL THEN NULL WHEN d.k IN (SELECT k FROM m) THEN 'missing_parent' ELSE 'cycle' END AS reason FROM d LEFT JOIN r ON r.k = d.k
+SELECT d.k, r.page::VARCHAR AS page, r.body, coalesce(r.depth, -1) AS depth, CASE WHEN r.k IS NOT NULL THEN NULL WHEN d.k IN (SELECT k FROM m) THEN 'missing_parent' ELSE 'cycle' END AS reason FROM d LEFT JOIN r ON r.k = d.k
 """)
 def inherited_definitions(t: Tables) -> DataFrame:
     """Parts as page definitions that extend one another; some extend nothing known, some each other."""
@@ -204,7 +204,7 @@ def inherited_definitions(t: Tables) -> DataFrame:
     body = F.when(F.col("p_size") % 4 == 0, F.create_map(F.lit("body"), F.col("p_brand"))).otherwise(F.create_map().cast("map<string,string>"))
     defs = t.part.select(k.cast("string").alias("name"), up.cast("string").alias("parent"), F.when((F.col("p_size") % 3 == 0) | (k < 3), F.col("p_size").cast("string")).alias("page"), body.alias("puts"))
     out = webflow.inherited_definitions(defs)
-    return out.select(F.col("name").cast("long").alias("k"), "page", F.col("puts")["body"].alias("body"), "depth", "reason")
+    return out.select(F.col("name").cast("long").alias("k"), "page", F.col("puts")["body"].alias("body"), F.coalesce("depth", F.lit(-1)).alias("depth"), "reason")
 
 
 #: What the properties of events have to be.
