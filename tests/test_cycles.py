@@ -26,7 +26,7 @@ def brute(edges):
 
 def test_cycles_agree_with_brute_force(spark):
     rng = random.Random(2)
-    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(46)] + [(50, 51), (51, 52), (52, 50), (60, 60), (52, 61), (61, 62)]
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(40)] + [(50, 51), (51, 52), (52, 50), (60, 60), (52, 61), (61, 62)]
     frame = spark.createDataFrame([*edges, *edges[:5], (None, 3), (3, None)], "src long, dst long")
     got = {r["node"]: (r["component"], r["size"]) for r in cycles.cycle_members(frame).collect()}
     want = brute(edges)
