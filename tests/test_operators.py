@@ -263,3 +263,34 @@ def test_nfkc_agrees_with_python(spark):
     texts = ["plain  Text\t\n x", "ﬁ ＡＢＣ　①②", "Straße İstanbul ΑΣ", "é é", "ｶﾞ 株式会社 ㍿", " \xa0 a b ", "", "½ ﷺ K Å"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(fn.nfkc_folded(F.col("t"))).collect()]
     assert got == [re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip().casefold() for t in texts]
+
+
+def test_vectors_away_from_the_query_are_ranked_by_cosine(spark):
+    frame = spark.createDataFrame([(1, [-1.0, 0.1]), (2, [-1.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 1.0]), (5, [-1.0, 3.0])], "i long, v array<double>")
+    got = [(r["i"], r["rank"]) for r in ranking.vector_topk(frame, [1.0, 0.0], 4, "i", "v").orderBy("rank").collect()]
+    assert got == [(3, 1), (4, 2), (5, 3), (2, 4)]
+    assert [r["score"] for r in ranking.vector_topk(frame, [1.0, 0.0], 5, "i", "v").orderBy("rank").collect()][1:] == [0.0] * 4
+
+
+@pytest.mark.parametrize("kind", ["opposite", "multiples"])
+def test_hybrid_search_agrees_with_its_sql(spark, tmp_path, kind):
+    """Vectors away from the query; multiples of one vector, whose cosines differ by rounding alone."""
+    import duckdb
+    import numpy as np
+
+    from tessera import plans
+
+    rng = np.random.default_rng(1)
+    asked = rng.normal(size=64).astype("f4")
+    other = lambda i: rng.normal(size=64) - asked if kind == "opposite" else asked * np.float32(i % 7 + 1)
+    vectors = [(0, asked.tolist())] + [(i, np.float32(other(i)).tolist()) for i in range(1, 300)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    texts = [(1000 + i, f"the and {'x ' * i} the") for i in range(3)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute("SET threads = 1")
+    for table in ("embeddings", "documents"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    for name in ("vector_topk", "hybrid_rrf"):
+        got = {tuple(r) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == set(db.execute(plans.ORACLES[name]).fetchall()), name
