@@ -29,14 +29,41 @@ def members_of_json(rows: DataFrame, key: str, document: str, path: str) -> Data
     return rows.select(key, F.explode(array).alias("member")).filter("member is not null").distinct()
 
 
+#: Pairs that one task makes of a key's nodes and facts before the nodes are dealt over several; places of a node or fact that its rows carry.
+PAIRS, MOST_PLACES = 20_000_000, 16
+
+
 def facts_by_business_key(nodes: DataFrame, facts: DataFrame, memberships: DataFrame) -> DataFrame:
     """``(node_id, fact_ref)``: facts of a snapshot's documents that a node names among its business keys.
 
     ``nodes(node_id, snapshot_id, document_id, business_keys)``, ``memberships(snapshot_id, document_id, version_id)``,
-    ``facts(fact_ref, version_id, stable_key)``. Keys are exploded, so that they meet facts by an equi-join.
+    ``facts(fact_ref, version_id, stable_key)``. Keys are exploded, so that they meet facts by an equi-join. Pairs may be
+    far more than rows, so they aren't shuffled: a pair is made once, at the first place (version and key) that both have.
+    Only what has more than MOST_PLACES places is made distinct afterwards. Nulls among versions and keys meet nothing.
     """
+    place = ["version_id", "stable_key"]
+
+    def placed(rows: DataFrame, ref: str, own: str) -> DataFrame:
+        """``(ref, own, version_id, stable_key)``: each place of a ref once; ``own`` has all of them, null if they are more than MOST_PLACES."""
+        known = rows.filter("version_id IS NOT NULL AND stable_key IS NOT NULL").groupBy(ref).agg(F.collect_set(F.struct(*place)).alias("_all"))
+        return known.select(ref, F.when(F.size("_all") <= MOST_PLACES, F.col("_all")).alias(own), F.explode("_all").alias("_at")).select(ref, own, "_at.*")
+
     n = nodes.select("node_id", "snapshot_id", "document_id", F.explode(F.array_distinct("business_keys")).alias("stable_key"))
-    return n.join(memberships, ["snapshot_id", "document_id"]).join(facts, ["version_id", "stable_key"]).select("node_id", "fact_ref").distinct()
+    n, f = placed(n.join(memberships, ["snapshot_id", "document_id"]), "node_id", "_of_node"), placed(facts, "fact_ref", "_of_fact")
+    count = lambda df, c: df.groupBy(*place).agg(F.count("*").alias(c))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = F.least(F.ceil(F.col("_n") / PAIRS * F.col("_f")), F.lit(parts))
+    hot = count(n, "_n").join(count(f, "_f"), place).select(*place, slices.alias("_slices")).filter("_slices > 1")  # few: each stands for PAIRS pairs
+    many = F.coalesce("_slices", F.lit(1))
+    n = n.join(F.broadcast(hot), place, "left").withColumn("_slice", F.pmod(F.xxhash64("node_id"), many)).drop("_slices")
+    f = f.join(F.broadcast(hot), place, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("_slices")
+    few_n, few_f, rest = F.col("_of_node").isNotNull(), F.col("_of_fact").isNotNull(), [*place, "_slice"]
+    # a fixed number of partitions: they are small, but their pairs are many
+    pairs = n.filter(few_n).repartition(parts, *rest).join(f.filter(few_f).repartition(parts, *rest), rest)
+    first = F.array_min(F.array_intersect("_of_node", "_of_fact")) == F.struct(*place)
+    once = pairs.filter((F.size("_of_node") == 1) | (F.size("_of_fact") == 1) | first).select("node_id", "fact_ref")
+    others = n.filter(~few_n).join(f, rest).unionByName(n.filter(few_n).join(f.filter(~few_f), rest))
+    return once.unionByName(others.select("node_id", "fact_ref").distinct())
 
 
 def embedding_inputs(nodes: DataFrame, profile_version: str) -> DataFrame:

@@ -57,3 +57,27 @@ def test_a_scan_has_each_row_once(spark):
     symbols = spark.createDataFrame([("s", "a", "type", "T")], "symbol_id string, path string, symbol_type string, name string")
     edges = spark.createDataFrame([("calls", "s", "t", "a", "resolved"), ("calls", "s", "t", "a", "resolved")], "edge_type string, from_ref string, to_ref string, path string, resolution_status string")
     assert got(assembly.graph_rows(files, symbols, edges, "v"), "kind", "detail") == [("edge", "calls:resolved"), ("file", "h"), ("symbol", "type:T")]
+
+
+def shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    if plan.nodeName() == "AdaptiveSparkPlan" or plan.nodeName().endswith("QueryStage"):
+        return shuffled_rows(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_facts_of_nodes_without_a_shuffle_of_pairs(spark, monkeypatch):
+    nodes = [(i, "s", i % 2, ["a", "b", None, "a"] if i % 3 else ["b", "x"]) for i in range(300)] + [(7, "s", 1, ["x"]), (900, "s", None, ["a"]), (901, "s", 0, None), (None, "s", 0, ["a"]), (902, "s", 0, [f"w{k}" for k in range(40)])]
+    facts = [(f"f{i}", 10 + i % 3, "ab"[i % 2]) for i in range(300)] + [("f1", 10, "a"), ("f1", 11, "b"), ("f1", 10, None), ("f1", None, "a"), (None, 10, "a"), *[("g", 10, f"w{k}") for k in range(40)], ("h", 10, "w1"), ("h", 10, "w2"), *[("v", 10 + k, "b") for k in range(30)]]
+    versions = {0: [10, 12], 1: [11, 10]}
+    want = {(n, f) for n, s, d, ks in nodes for v in versions.get(d, []) for k in ks or [] if k is not None for f, fv, fk in facts if (fv, fk) == (v, k)}
+    n = spark.createDataFrame(nodes, "node_id int, snapshot_id string, document_id int, business_keys array<string>")
+    f = spark.createDataFrame(facts, "fact_ref string, version_id int, stable_key string")
+    m = spark.createDataFrame([("s", d, v) for d, vs in versions.items() for v in vs] + [("t", 0, 11)], "snapshot_id string, document_id int, version_id int")
+    for pairs in (20_000_000, 1000):  # also with nodes dealt over several tasks
+        monkeypatch.setattr(assembly, "PAIRS", pairs)
+        out = assembly.facts_by_business_key(n, f, m)
+        rows = [tuple(r) for r in out.collect()]
+        assert len(rows) == len(set(rows)) == len(want) > 40_000 and set(rows) == want
+        assert 1000 < shuffled_rows(out._jdf.queryExecution().executedPlan()) < 20_000
