@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from .storage import saved
+from .storage import saved, written
 
 _INNER = r"[\w\s.,?\[\]]"
 _GENERIC = reduce(lambda inside, _: rf"<(?:{_INNER}|{inside})*+>", range(3), rf"<{_INNER}*+>")
@@ -46,29 +46,64 @@ ASSIGNMENTS = ("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="
 
 def tokens(files: DataFrame, pattern: str = TOKEN) -> DataFrame:
     """``(path, j, at, line, token)`` of ``files(path, text)``: the tokens that are no space or comment, numbered from 0; ``at`` counts characters from 0."""
-    rows = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("i", "token"))
-    before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = _by_path(files.select("path", "text"))  # texts are dealt by path, so that their tokens needn't be
+    rows = dealt.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("i", "token")).withColumn("_told", ~F.col("token").rlike(r"^(?:\s|//|/\*)"))
+    by = Window.partitionBy("path").orderBy("i")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.select(
-        "path", "i", "token", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).alias("at"),
+        "path", "token", "_told", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).alias("at"),
         (1 + F.coalesce(F.sum(F.length("token") - F.length(F.replace("token", F.lit("\n")))).over(before), F.lit(0))).alias("line"),
+        F.coalesce(F.sum(F.col("_told").cast("int")).over(before), F.lit(0)).cast("int").alias("j"),
     )
-    told = placed.filter(~F.col("token").rlike(r"^(?:\s|//|/\*)"))
-    return told.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("i")) - 1).alias("j"), "at", "line", "token")
+    return placed.filter("_told").select("path", "j", "at", "line", "token")
 
 
-def enclosing(rows: DataFrame, opens: Column, closes: Column, into: str) -> DataFrame:
-    """``rows(path, j, ..)`` with ``into``: the ``j`` of the innermost row with ``opens`` whose ``closes`` is still to come.
+def _by_path(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by path over a fixed number of partitions: what is made of them is far more than their bytes tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
-    A row that opens or closes stands itself in what is around it. Depths are running sums, the innermost opening of a depth is the last one.
-    """
-    w = Window.partitionBy("path").orderBy("j")
+
+def _at_depth() -> Window:
+    return Window.partitionBy("path", "_depth").orderBy("j", "_as")
+
+
+def _with_depth(rows: DataFrame, opens: Column, closes: Column) -> DataFrame:
+    """``rows`` with their ``_depth``; what opens is there once more (``_as`` is 1), at the depth that it opens."""
     delta = F.when(opens, 1).when(closes, -1).otherwise(0)
-    rows = rows.withColumn("_after", F.sum(delta).over(w))
+    rows = rows.withColumn("_after", F.sum(delta).over(Window.partitionBy("path").orderBy("j")))
     rows = rows.withColumn("_depth", F.when(opens, F.col("_after") - 1).otherwise(F.col("_after")))
     both = rows.withColumn("_as", F.explode(F.when(opens, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    both = both.withColumn("_depth", F.col("_depth") + F.col("_as"))
-    last = F.last(F.when(F.col("_as") == 1, F.col("j")), ignorenulls=True).over(Window.partitionBy("path", "_depth").orderBy("j", "_as"))
-    return both.withColumn(into, F.when(F.col("_depth") > 0, last)).filter("_as = 0").drop("_as", "_after", "_depth")
+    return both.withColumn("_depth", F.col("_depth") + F.col("_as")).drop("_after")
+
+
+def enclosing(rows: DataFrame, opens: Column, closes: Column, into: str, carried: str | Column = "j") -> DataFrame:
+    """``rows(path, j, ..)`` with ``into``: the ``j`` (or what else is ``carried``) of the innermost row with ``opens`` whose ``closes`` is still to come.
+
+    A row that opens or closes stands itself in what is around it. Depths are running sums, the innermost opening of a depth is the last one.
+    """
+    carried = F.col(carried) if isinstance(carried, str) else carried
+    both = _with_depth(rows, opens, closes)
+    last = F.last(F.when(F.col("_as") == 1, carried), ignorenulls=True).over(_at_depth())
+    return both.withColumn(into, F.when(F.col("_depth") > 0, last)).filter("_as = 0").drop("_as", "_depth")
+
+
+def _matched(rows: DataFrame) -> DataFrame:
+    """See ``matched``; also with ``block_token``, and still ordered as in ``_at_depth``.
+
+    Between a bracket and its partner nothing stands at their depth, so that they are neighbours there.
+    """
+    opens, closes = F.col("token").isin("(", "[", "{"), F.col("token").isin(")", "]", "}")
+    w, own = _at_depth(), F.when(F.col("_as") == 0, F.col("token"))
+    fits = lambda a, b: F.concat(a, b).isin("()", "[]", "{}")
+    inner = F.col("_as") == 1
+    both = _with_depth(rows, opens, closes).withColumns({
+        "_block": F.last(F.when(inner, F.col("j")), ignorenulls=True).over(w), "_block_token": F.last(F.when(inner, F.col("token")), ignorenulls=True).over(w),
+        "_next": F.lead(own).over(w), "_next_j": F.lead("j").over(w), "_prev": F.lag(own).over(w), "_prev_j": F.lag("j").over(w),
+    })
+    inside = F.col("_depth") > 0
+    partner = F.when(opens & fits(F.col("token"), F.col("_next")), F.col("_next_j")).when(closes & fits(F.col("_prev"), F.col("token")), F.col("_prev_j"))
+    both = both.filter("_as = 0").withColumns({"block": F.when(inside, F.col("_block")), "block_token": F.when(inside, F.col("_block_token")), "partner": partner})
+    return both.drop("_block", "_block_token", "_next", "_next_j", "_prev", "_prev_j")
 
 
 def matched(rows: DataFrame) -> DataFrame:
@@ -76,15 +111,7 @@ def matched(rows: DataFrame) -> DataFrame:
 
     A closing bracket of another kind than the innermost open one has no partner, nor has that one.
     """
-    opens, closes = F.col("token").isin("(", "[", "{"), F.col("token").isin(")", "]", "}")
-    rows = enclosing(rows, opens, closes, "block")
-    level = F.sum(F.when(opens, 1).otherwise(0) - F.lag(F.when(closes, 1).otherwise(0), 1, 0).over(Window.partitionBy("path").orderBy("j"))).over(Window.partitionBy("path").orderBy("j"))
-    rows = rows.withColumn("_level", F.when(opens | closes, level))
-    w = Window.partitionBy("path", "_level").orderBy("j")
-    fits = lambda a, b: F.concat(a, b).isin("()", "[]", "{}")
-    after = F.when(opens & fits(F.col("token"), F.lead("token").over(w)), F.lead("j").over(w))
-    before = F.when(closes & fits(F.lag("token").over(w), F.col("token")), F.lag("j").over(w))
-    return rows.withColumn("partner", F.coalesce(after, before)).drop("_level")
+    return _matched(rows).drop("block_token", "_depth", "_as")
 
 
 class Source:
@@ -92,27 +119,33 @@ class Source:
 
     def __init__(self, files: DataFrame) -> None:
         by = Window.partitionBy("path").orderBy("j")
-        rows = matched(tokens(files)).withColumns({"prev": F.lag("token").over(by), "next": F.lead("token").over(by), "prev2": F.lag("token", 2).over(by)})
+        rows = tokens(files).withColumns({"prev": F.lag("token").over(by), "next": F.lead("token").over(by), "prev2": F.lag("token", 2).over(by)})
         rows = rows.withColumn("named", F.col("token").rlike(r"^[\p{L}_$]") & ~F.col("token").isin(*OTHER_WORDS, *PRIMITIVES, *MODIFIERS))
+        at = _at_depth()  # all that follows is read off this one order: the next row at a depth is a bracket's partner, or the bracket behind a name
+        rows = _matched(rows).withColumns({
+            "n": F.sum((F.col("token") == ",").cast("int")).over(at), "next_partner": F.when(F.col("next") == "(", F.lead("partner").over(at)), "_close_line": F.lead("line").over(at),
+        })
         # a type's body is the first brace behind its name that stands where the name does
         is_type = F.col("prev").isin(*TYPE_WORDS) & F.col("named") & ~(F.coalesce("prev2", F.lit("")) == ".") & ((F.col("prev") != "record") | F.col("next").rlike(r"^[(<]"))
-        ahead = Window.partitionBy("path", "block").orderBy("j").rowsBetween(0, Window.unboundedFollowing)
-        rows = rows.withColumn("_brace", F.first(F.when((F.col("token") == "{") & F.col("partner").isNotNull(), F.col("j")), ignorenulls=True).over(ahead))
-        rows = rows.withColumn("body", F.when(is_type, F.col("_brace"))).drop("_brace")
-        bodies = rows.filter("body IS NOT NULL").select("path", F.col("body").alias("j"), F.col("token").alias("type_name"))
-        rows = rows.join(bodies, ["path", "j"], "left")
-        closing = bodies.join(rows.select("path", "j", "partner"), ["path", "j"]).select("path", F.col("partner").alias("j"), F.lit(True).alias("_ends"))
-        rows = rows.join(closing, ["path", "j"], "left")
-        self.rows = saved(enclosing(rows, F.col("type_name").isNotNull(), F.coalesce("_ends", F.lit(False)), "type_at").drop("_ends"))
+        rows = rows.withColumn("_b", F.when((F.col("token") == "{") & F.col("partner").isNotNull(), F.struct("block", F.col("j").alias("body"), F.col("partner").alias("body_end"), F.col("_close_line").alias("end_line"))))
+        rows = rows.withColumn("_b", F.expr("lead(_b) IGNORE NULLS OVER (PARTITION BY path, _depth ORDER BY j, _as)"))
+        rows = rows.withColumn("_b", F.when(is_type & F.col("_b.block").eqNullSafe(F.col("block")), F.col("_b")))
+        self.rows = written(rows.select("*", "_b.body", "_b.body_end", "_b.end_line").drop("_b", "_depth", "_as", "_close_line"))
         package = files.select("path", F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"))
         self.imports_of = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*import\s+([\w.]+)\s*;"), F.lit(1))).alias("fqn"))
         self.types = self._types(package)
-        self.members = saved(self._members())
+        self.members = written(self._members())
+
+    def _in_types(self, rows: DataFrame) -> DataFrame:
+        """``rows(path, j, ..)`` with ``type_at``: the ``j`` of the innermost type's body around them."""
+        found = self.rows.filter("body IS NOT NULL").select("path", "body", "body_end").distinct()
+        mark = lambda c, n: found.select("path", F.col(c).alias("j"), F.lit(n).alias("_mark"))
+        both = rows.withColumn("_mark", F.lit(0)).unionByName(mark("body", 1).unionByName(mark("body_end", -1)), allowMissingColumns=True)
+        return enclosing(both, F.col("_mark") == 1, F.col("_mark") == -1, "type_at").filter("_mark = 0").drop("_mark")
 
     def _types(self, package: DataFrame) -> DataFrame:
         """``(path, body, fqn, simple, package, owner, line, end_line)``; a nested type has the names of those around it."""
-        at = self.rows.filter("body IS NOT NULL").select("path", F.col("body"), F.col("token").alias("simple"), "type_at", "line")
-        ends = self.rows.select("path", F.col("j").alias("body"), F.col("partner")).join(self.rows.select("path", F.col("j").alias("partner"), F.col("line").alias("end_line")), ["path", "partner"]).drop("partner")
+        at = self._in_types(self.rows.filter("body IS NOT NULL").select("path", "j", "body", F.col("token").alias("simple"), "line", "end_line")).drop("j")
         left = at.join(package, "path")
         full = lambda head: F.concat_ws(".", F.when(head != "", head), "simple")
         done = left.filter("type_at IS NULL").withColumns({"fqn": full(F.col("package")), "owner": F.lit(None).cast("string")})
@@ -124,14 +157,14 @@ class Source:
                 break
             left = saved(left.join(level.select("path", "body"), ["path", "body"], "left_anti"))
             out = out.unionByName(level)
-        return saved(out.join(ends, ["path", "body"]).select("path", "body", "fqn", "simple", "package", "owner", "line", "end_line"))
+        return saved(out.select("path", "body", "fqn", "simple", "package", "owner", "line", "end_line"))
 
     def _members(self) -> DataFrame:
         """``(path, fqn, simple, first, last, line, end_line, params, shape, ..)``: the tokens that stand directly in a type's body, part by part.
 
         ``shape`` is what is left without annotations and modifiers; brackets are empty in it. ``params`` is the last round bracket before a value.
         """
-        own = self.rows.join(self.types.select("path", F.col("body").alias("block"), "fqn", "simple"), ["path", "block"])
+        own = self.rows.filter("block_token = '{'").select("path", "j", "token", "partner", "line", "block").join(self.types.select("path", F.col("body").alias("block"), "fqn", "simple"), ["path", "block"])
         begun = Window.partitionBy("path", "block").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
         last_at = lambda token: F.coalesce(F.max(F.when(F.col("token") == token, F.col("j"))).over(begun), F.lit(-1))
         own = own.withColumn("_in_value", last_at("=") > last_at(";"))  # a value ends with a semicolon, whatever braces it has
@@ -147,7 +180,8 @@ class Source:
         head = F.when(value > 0, F.slice("m", F.lit(1), F.greatest(value - 1, F.lit(0)).cast("int"))).otherwise(F.col("m"))
         params = F.element_at(F.filter(head, lambda x: x["token"] == "("), -1)
         params = F.when(F.size(F.filter(head, lambda x: x["token"] == "(")) > 0, params)
-        return parts.withColumn("head", head).select("path", "block", "fqn", "simple", "first", "last", "line", "end_line", shape.alias("shape"), params["j"].alias("params"), params["partner"].alias("params_end"))
+        end = F.element_at("m", -1)
+        return parts.withColumn("head", head).select("path", "block", "fqn", "simple", "first", "last", "line", "end_line", shape.alias("shape"), params["j"].alias("params"), params["partner"].alias("params_end"), F.when(end["token"] == "}", end["partner"]).alias("body"))
 
     def methods(self) -> DataFrame:
         """See ``_methods``; written once."""
@@ -155,9 +189,9 @@ class Source:
 
     @cached_property
     def _methods(self) -> DataFrame:
-        """``(method_id, path, owner, name, arity, parameter_types, returns, kind, line, end_line, body, params)``; a constructor returns nothing.
+        """``(method_id, path, owner, name, arity, parameter_types, returns, kind, line, end_line, body, body_end, params, parameters)``; a constructor returns nothing.
 
-        ``returns`` is the type without generic arguments; ``body`` is the place of the brace, null where there is none.
+        ``returns`` is the type without generic arguments; ``body`` and ``body_end`` are the places of the braces, null where there are none.
         """
         kind = F.when(F.col("shape").rlike(r"^(?:< [^(]*? > )?[\w$]+ \( \)(?: throws [^{]*)? \{") & (F.regexp_extract("shape", r"([\w$]+) \( \)", 1) == F.col("simple")), "constructor")
         kind = kind.when(F.col("shape").rlike(r"^(?:< [^(=]*? > )?[\w$. ]+(?:<[^(=]*> )?(?:\[ \] )*[\w$]+ \( \)(?: \[ \])*(?: throws [^{;]*)?(?: default [^;]*)? [{;]") & ~F.col("shape").rlike(r"^(?:new|return|record|class|interface|enum) "), "method")
@@ -167,20 +201,14 @@ class Source:
         found = found.withColumns({"name": name, "returns": F.when((F.col("kind") == "method") & (returns != "void"), returns)})
         found = found.join(self._parameters(), ["path", "params"], "left")
         types = F.coalesce("parameter_types", F.array().cast("array<string>"))
-        brace = self.rows.filter("token = '{'").select("path", F.col("j").alias("body"), F.col("partner").alias("last"))
-        found = found.join(brace, ["path", "last"], "left")
         signature = F.concat("fqn", F.lit("#"), "name", F.lit("("), F.array_join(types, ","), F.lit(")"))
-        return saved(found.select(signature.alias("method_id"), "path", F.col("fqn").alias("owner"), "name", F.size(types).alias("arity"), types.alias("parameter_types"), "returns", "kind", "line", "end_line", "body", "params", F.coalesce("parameters", F.array().cast("array<string>")).alias("parameters")))
+        return written(found.select(signature.alias("method_id"), "path", F.col("fqn").alias("owner"), "name", F.size(types).alias("arity"), types.alias("parameter_types"), "returns", "kind", "line", "end_line", "body", F.when(F.col("body").isNotNull(), F.col("last")).alias("body_end"), "params", F.coalesce("parameters", F.array().cast("array<string>")).alias("parameters")))
 
     @cached_property
     def _arguments(self) -> DataFrame:
-        """``(path, params, n, text)``: what stands directly in a round bracket, between commas."""
-        inside = self.rows.filter("block IS NOT NULL").join(self.rows.filter("token = '('").select("path", F.col("j").alias("block")), ["path", "block"], "left_semi")
-        before = Window.partitionBy("path", "block").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-        inside = inside.withColumn("n", F.coalesce(F.sum(F.when(F.col("token") == ",", 1).otherwise(0)).over(before), F.lit(0)))
-        kept = inside.filter("token <> ','")
-        texts = kept.groupBy("path", F.col("block").alias("params"), "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "token"))), lambda x: x["token"]), " ").alias("text"))
-        return saved(texts)
+        """``(path, params, n, text)``: what stands directly in a round bracket, between commas; ``n`` grows with each comma of a bracket."""
+        kept = self.rows.filter("block_token = '(' AND token <> ','")
+        return written(kept.groupBy("path", F.col("block").alias("params"), "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "token"))), lambda x: x["token"]), " ").alias("text")))
 
     def _parameters(self) -> DataFrame:
         plain = F.trim(F.regexp_replace(F.regexp_replace("text", r"@ [\w$]+(?: \. [\w$]+)*+(?: \( \))?+ ?", ""), r"(?<![\w$])final ", ""))
@@ -201,13 +229,16 @@ class Source:
 
     @cached_property
     def in_bodies(self) -> DataFrame:
-        """All tokens that stand in the body of a callable, at any depth, with its ``method_id`` and ``owner``; of nested ones the innermost."""
-        own = self.methods().filter("body IS NOT NULL").select("path", "body", "method_id", "owner")
-        starts = own.select("path", F.col("body").alias("j"), F.lit(True).alias("_from"))
-        ends = own.join(self.rows.select("path", F.col("j").alias("body"), "partner"), ["path", "body"]).select("path", F.col("partner").alias("j"), F.lit(True).alias("_to"))
-        rows = self.rows.join(starts, ["path", "j"], "left").join(ends, ["path", "j"], "left")
-        inside = enclosing(rows, F.coalesce("_from", F.lit(False)), F.coalesce("_to", F.lit(False)), "callable_at").drop("_from", "_to")
-        return saved(inside.filter("callable_at IS NOT NULL").join(own.withColumnRenamed("body", "callable_at"), ["path", "callable_at"]))
+        """All tokens but curly brackets that stand in the body of a callable, at any depth, with its ``method_id`` and ``owner``; of nested ones the innermost."""
+        return written(self._in_bodies(self.rows.filter("token NOT IN ('{', '}')")))
+
+    def _in_bodies(self, rows: DataFrame) -> DataFrame:
+        """``rows``, without the curly brackets that bodies begin and end with, as in ``in_bodies``."""
+        own = self.methods().filter("body IS NOT NULL").withColumn("_own", F.struct(F.col("body").alias("callable_at"), "method_id", "owner"))
+        marks = [own.select("path", F.col(c).alias("j"), F.lit(n).alias("_mark"), "_own") for c, n in (("body", 1), ("body_end", -1))]
+        both = rows.withColumn("_mark", F.lit(0)).unionByName(marks[0].unionByName(marks[1]), allowMissingColumns=True)
+        inside = enclosing(_by_path(both), F.col("_mark") == 1, F.col("_mark") == -1, "_in", "_own").filter("_mark = 0 AND _in IS NOT NULL")
+        return inside.select("*", "_in.*").drop("_in", "_own", "_mark")
 
     def calls(self) -> DataFrame:
         """See ``_calls``; written once."""
@@ -219,22 +250,22 @@ class Source:
 
         ``receiver`` is null for a call without one, ``new T`` gives ``T``; ``?`` stands for any other expression. Calls of constructors aren't calls.
         """
-        rows = self.in_bodies
         by = Window.partitionBy("path").orderBy("j")
-        path_token = F.col("named") | F.col("token").isin(".", "this", "super")
-        rows = rows.withColumn("_gap", F.coalesce(F.lag("j").over(by) != F.col("j") - 1, F.lit(True)) | ~path_token | ~F.coalesce(F.lag(path_token).over(by), F.lit(False)))
-        rows = rows.withColumn("_joined", (F.col("token") == ".") | (F.col("prev") == "."))
-        rows = rows.withColumn("run", F.last(F.when(F.col("_gap") | ~F.col("_joined"), F.col("j")), ignorenulls=True).over(by))
-        texts = rows.filter(path_token).groupBy("path", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "token"))), lambda x: x["token"]), "").alias("text"), F.max("j").alias("last"))
-        heads = self.rows.select("path", F.col("j").alias("run"), F.col("prev").alias("head_prev"))
+        rows = self._in_bodies(self.rows.filter(F.col("named") | F.col("token").isin(".", "this", "super")))
+        starts = F.coalesce(F.lag("j").over(by) != F.col("j") - 1, F.lit(True)) | (F.col("token") != ".") & ~F.coalesce(F.col("prev") == ".", F.lit(False))
+        rows = rows.withColumn("_starts", starts).withColumn("run", F.last(F.when(F.col("_starts"), F.col("j")), ignorenulls=True).over(by))
+        runs = rows.groupBy("path", "run").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "token"))), lambda x: x["token"]), "").alias("text"), F.min(F.struct("j", "prev"))["prev"].alias("head_prev"),
+            F.max(F.struct("j", "token", "named", "prev", "prev2", "next", "next_partner", "method_id", "owner", "line")).alias("_last"),
+        )
         arity = self._arguments.groupBy("path", "params").agg(F.count("*").alias("n")).select("path", (F.col("params") - 1).alias("j"), F.col("n"))
-        closes = self.rows.filter("token = '('").select("path", (F.col("j") - 1).alias("j"), F.col("partner").alias("closes"))
         declared = F.col("prev").rlike(r"^[\p{L}_$]") & ~F.col("prev").isin(*OTHER_WORDS) | (F.col("prev") == "]") | F.col("prev").startswith("<") & (F.length("prev") > 1) & (F.col("prev2") != ".")
-        found = rows.filter(F.col("named") & (F.col("next") == "(") & ~F.col("prev").isin("@", "::") & ~declared).join(texts, ["path", "run"]).filter("last = j").join(heads, ["path", "run"]).join(closes, ["path", "j"]).join(arity, ["path", "j"], "left")
+        found = runs.select("path", "run", "text", "head_prev", "_last.*").withColumnRenamed("next_partner", "closes").filter(F.col("named") & (F.col("next") == "(") & ~F.col("prev").isin("@", "::") & ~declared)
+        found = found.join(arity, ["path", "j"], "left")
         found = found.withColumns({"n": F.coalesce("n", F.lit(0)).cast("int"), "made": F.coalesce(F.col("head_prev") == "new", F.lit(False)), "chained": F.col("text").startswith(".")})
         head = F.regexp_replace(F.regexp_replace("text", r"\.?[\w$]+$", ""), r"^\.$", "")
         found = found.withColumn("head", F.when(F.col("made"), F.col("text")).when(F.col("chained"), F.when(F.regexp_count("text", F.lit(r"\.")) > 1, "?")).when(head != "", head))
-        found = saved(found.select("path", "j", "run", "method_id", "owner", "token", "n", "made", "chained", "head", "line", "closes"))
+        found = written(found.select("path", "j", "run", "method_id", "owner", "token", "n", "made", "chained", "head", "line", "closes"))
         # a link leads from a call behind a closing bracket to the call that this bracket ends
         links = found.filter("chained").select("path", "j", (F.col("run") - 1).alias("closes")).join(found.select("path", F.col("j").alias("before"), "closes"), ["path", "closes"]).select("path", "j", "before")
         chains = _chains(found, links)
@@ -242,7 +273,7 @@ class Source:
         out = found.filter("NOT made").join(chains, ["path", "j"], "left")
         receiver = F.when(F.col("chained"), F.when(F.col("head").isNotNull() | F.col("root").isNull(), "?").otherwise(F.col("root_head"))).otherwise(F.col("head"))
         chain = F.when(F.col("chained") & (F.coalesce(receiver, F.lit("")) != "?"), F.coalesce(steps, F.array().cast("array<struct<name:string,arity:int>>"))).otherwise(F.array().cast("array<struct<name:string,arity:int>>"))
-        return saved(out.select(fn.sha_id("call", F.col("path"), F.col("j").cast("string")).alias("call_id"), "path", "method_id", "owner", receiver.alias("receiver"), chain.alias("chain"), F.col("token").alias("name"), F.col("n").alias("arity"), "line"))
+        return written(out.select(fn.sha_id("call", F.col("path"), F.col("j").cast("string")).alias("call_id"), "path", "method_id", "owner", receiver.alias("receiver"), chain.alias("chain"), F.col("token").alias("name"), F.col("n").alias("arity"), "line"))
 
     def used_names(self) -> tuple[DataFrame, DataFrame]:
         """``(method_id, owner, name, operator, qualified)`` of names that may be fields, and ``(method_id, name)`` of those declared in the callable.
@@ -273,7 +304,7 @@ class Source:
         stop = F.first(F.when(F.col("token").isin(",", ";"), F.col("line")), ignorenulls=True).over(ends)
         rows = self.rows.withColumn("_stop", stop)
         line_at = self.rows.select("path", F.col("j").alias("partner"), F.col("line").alias("partner_line"))
-        found = rows.filter("token = '->'").filter(~F.col("prev").isin("default"))
+        found = self._in_types(rows.filter("token = '->'").filter(~F.col("prev").isin("default")))
         braces = self.rows.filter("token = '{'").select("path", (F.col("j") - 1).alias("j"), "partner").join(line_at, ["path", "partner"]).select("path", "j", F.col("partner_line").alias("brace_end"))
         around = self.rows.filter(F.col("token").isin("(", "{", "[")).select("path", F.col("j").alias("block"), "partner", F.col("token").alias("around"), F.col("prev").alias("before_block")).join(line_at, ["path", "partner"], "left").drop("partner")
         found = found.join(braces, ["path", "j"], "left").join(around, ["path", "block"], "left")

@@ -137,3 +137,11 @@ def test_matched_brackets_of_a_kind(spark):
     assert got["a", 0] == (None, None) and got["a", 1][0] == 2 and got["a", 3][0] is None
     assert got["b", 0][0] is None
     assert (got["b", 3][0], got["b", 6][0]) == (5, 8)
+
+
+def test_texts_are_dealt_once_and_tokens_sorted_twice(spark):
+    """By place and by depth; what is at a depth, partners too, is read off one order."""
+    files = spark.createDataFrame([("a", "f(x[1]) { y }")], "path string, text string")
+    plan = java_source.matched(java_source.tokens(files))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate explode") < plan.index("Generate posexplode") < plan.index("Exchange")
+    assert plan.count("Sort [") == 3 and "[path#" in plan
