@@ -1,4 +1,4 @@
-"""Intervals inside intervals: the direct parent of each, met in dyadic bins.
+"""Intervals inside intervals: the direct parent of each, met by areas, in crowded ones in dyadic bins.
 
 An interval is cut into the largest stretches of length ``2 ** n`` that begin at multiples of it: two for each power at most,
 so that it has about two rows for each doubling of its length, however long it is. A point lies in one stretch of each
@@ -11,7 +11,9 @@ empty result; repeated rows hold as often as they are there, and each has the sa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lengths that are told apart: up to 2 ** 40.
@@ -41,14 +43,50 @@ def point_bins(point: Column, powers: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(powers)), lambda k: F.struct(k.alias("power"), F.floor(point / size(k)).alias("at")))
 
 
+#: An area is four times as long as all intervals but one in so many; in areas of more intervals, intervals and points meet in bins.
+ONE_LONG_IN, MOST_CLOSE = 1000, 200
+
+
+def _held(intervals: DataFrame, key: str, start: str, end: str, interval_id: str, powers: int = POWERS) -> list[DataFrame]:
+    """``(key, area, id, start, end, copies, holder, h_start, h_end)``: intervals and the longer ones of their key that hold them, or nulls.
+
+    Rows are dealt once, by key and area: an interval to the areas of its two ends, where it meets those that begin there;
+    all that follows stays in these partitions, but in crowded areas, whose bins are dealt anew. In areas between its ends,
+    long ones meet whatever is there. An interval's rows are all in one of the results.
+    """
+    own = intervals.select(F.col(key).alias("key"), F.col(interval_id).alias("id"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")).filter("key IS NOT NULL AND start <= end")
+    bits = dict(own.groupBy(F.length(F.bin(F.col("end") - F.col("start"))).alias("b")).count().collect())
+    usual = next((b for b in sorted(bits) if sum(n for other, n in bits.items() if other > b) * ONE_LONG_IN <= sum(bits.values())), 1)
+    c = min(usual + 2, powers)
+    area = lambda x: F.shiftright(x, c)
+    parts = int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = own.withColumn("area", F.explode(F.array_distinct(F.array(area("start"), area("end"))))).repartition(parts, "key", "area")
+    sides = sides.withColumn("_n", F.count("*").over(Window.partitionBy("key", "area")))
+    low, high = F.shiftleft("area", c), F.shiftleft(F.col("area") + 1, c) - 1
+    holds = (F.col("h_start") <= F.col("start")) & (F.col("h_end") >= F.col("end")) & (F.col("h_end") - F.col("h_start") > F.col("end") - F.col("start"))
+    names = ["key", "area", "id", "start", "end", "copies", "holder", "h_start", "h_end"]
+    found, all_points = [], []
+    for crowded in (False, True):
+        some = sides.filter((F.col("_n") > MOST_CLOSE) == F.lit(crowded)).drop("_n")
+        points = some.filter(F.col("area") == area("start")).groupBy("key", "area", "id", "start", "end").agg(F.count("*").alias("copies"))
+        holders = some.select(F.col("key").alias("h_key"), F.col("area").alias("h_area"), F.col("id").alias("holder"), F.col("start").alias("h_start"), F.col("end").alias("h_end"))
+        met = (F.col("key") == F.col("h_key")) & (F.col("area") == F.col("h_area"))
+        all_points.append(points)
+        if crowded:
+            holders = some.withColumn("h_bin", F.explode(dyadic_bins(F.greatest("start", low) - low, F.least("end", high) - low, c))).select("h_bin", F.col("key").alias("h_key"), F.col("area").alias("h_area"), F.col("id").alias("holder"), F.col("start").alias("h_start"), F.col("end").alias("h_end"))
+            points, met = points.withColumn("bin", F.explode(point_bins(F.col("start") - low, c))), met & (F.col("bin") == F.col("h_bin"))
+        found.append(points.join(holders, met & holds, "left").select(*names))
+    if max(bits, default=0) <= c:
+        return found
+    points, top = all_points[0].unionByName(all_points[1]), min(powers, max(bits) - c)
+    over = own.filter(area("end") - area("start") > 1).select("key", F.col("id").alias("holder"), F.col("start").alias("h_start"), F.col("end").alias("h_end"), F.explode(dyadic_bins(area("start") + 1, area("end") - 1, top)).alias("bin"))
+    between = points.select("key", "area").distinct().withColumn("bin", F.explode(point_bins(F.col("area"), top))).join(over, ["key", "bin"]).drop("bin")
+    return [found[0].unionByName(found[1]).unionByName(points.join(between, ["key", "area"]).filter(holds).select(*names))]
+
+
 def holding_pairs(intervals: DataFrame, key: str, start: str, end: str, interval_id: str, powers: int = POWERS) -> DataFrame:
     """``(key, id, start, end, holder, h_start, h_end)`` of intervals and the longer ones of their key that hold them."""
-    own = intervals.select(F.col(key).alias("key"), F.col(interval_id).alias("id"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")).filter("key IS NOT NULL AND start <= end")
-    longest = own.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 1
-    top = min(powers, max(0, int(longest - 1).bit_length()))
-    cut = own.select("key", F.col("id").alias("holder"), F.col("start").alias("h_start"), F.col("end").alias("h_end"), F.explode(dyadic_bins(F.col("start"), F.col("end"), top)).alias("bin"))
-    points = own.distinct().withColumn("bin", F.explode(point_bins(F.col("start"), top)))
-    return points.join(cut, ["key", "bin"]).filter("h_end >= end AND h_end - h_start > end - start").drop("bin")
+    return reduce(DataFrame.unionByName, _held(intervals, key, start, end, interval_id, powers)).filter("h_start IS NOT NULL").drop("area", "copies")
 
 
 def nested_intervals(intervals: DataFrame, key: str, start: str, end: str, interval_id: str) -> DataFrame:
@@ -56,13 +94,18 @@ def nested_intervals(intervals: DataFrame, key: str, start: str, end: str, inter
 
     ``parents`` are the shortest ones, ``holders`` all.
     """
-    pairs = holding_pairs(intervals, key, start, end, interval_id)
-    length = F.col("h_end") - F.col("h_start")
-    by_length = pairs.groupBy("key", "id", "start", "end", length.alias("length")).agg(F.count("*").alias("n"), F.min("holder").alias("h"))
-    best = by_length.groupBy("key", "id", "start", "end").agg(F.min(F.struct("length", "n", "h")).alias("m"), F.sum("n").alias("holders"))
-    own = intervals.select(F.col(key).alias("key"), F.col(interval_id).alias("id"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"))
-    out = own.join(best, ["key", "id", "start", "end"], "left")
-    return out.select("key", "id", F.when(F.col("m.n") == 1, F.col("m.h")).alias("parent"), F.coalesce("m.n", F.lit(0)).cast("long").alias("parents"), F.coalesce("holders", F.lit(0)).cast("long").alias("holders"))
+    own = ["key", "area", "id", "start", "end", "copies"]
+
+    def shortest(pairs: DataFrame) -> DataFrame:
+        by_length = pairs.groupBy(*own, (F.col("h_end") - F.col("h_start")).alias("length")).agg(F.count("h_start").alias("n"), F.min("holder").alias("h"))
+        return by_length.groupBy(*own).agg(F.min(F.when(F.col("length").isNotNull(), F.struct("length", "n", "h"))).alias("m"), F.sum("n").alias("holders"))
+
+    best = reduce(DataFrame.unionByName, [shortest(pairs) for pairs in _held(intervals, key, start, end, interval_id)])
+    best = best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    found = best.select("key", "id", F.when(F.col("m.n") == 1, F.col("m.h")).alias("parent"), F.coalesce("m.n", F.lit(0)).cast("long").alias("parents"), F.col("holders").cast("long").alias("holders"))
+    in_none = F.col(key).isNull() | ~F.coalesce(F.col(start).cast("long") <= F.col(end).cast("long"), F.lit(False))
+    none = intervals.filter(in_none).select(F.col(key).alias("key"), F.col(interval_id).alias("id"), F.lit(None).cast(found.schema["parent"].dataType).alias("parent"), F.lit(0).cast("long").alias("parents"), F.lit(0).cast("long").alias("holders"))
+    return found.unionByName(none)
 
 
 def enclosing_callables(lambdas: DataFrame, callables: DataFrame) -> DataFrame:

@@ -1,10 +1,19 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals
 
 
+def shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    if plan.nodeName() == "AdaptiveSparkPlan" or plan.nodeName().endswith("QueryStage"):
+        return shuffled_rows(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
 def test_bins_cover_an_interval_once(spark):
     rng = random.Random(5)
     pairs = [(s, s + rng.choice([0, 1, 2, 3, 7, 8, 100, 1000])) for s in [*range(-20, 60), *(rng.randrange(-5000, 5000) for _ in range(200))]]
@@ -32,6 +41,32 @@ def test_parents_agree_with_brute_force(spark):
     assert intervals.nested_intervals(frame.limit(0), "k", "a", "b", "i").count() == 0
 
 
+@pytest.mark.parametrize(("one_long_in", "most_close"), [(1000, 0), (10, 200), (10, 0), (3, 20)])
+def test_areas_and_bins_agree_with_brute_force(spark, monkeypatch, one_long_in, most_close):
+    """Also where long intervals go over many areas, and where rows are there twice."""
+    monkeypatch.setattr(intervals, "ONE_LONG_IN", one_long_in)
+    monkeypatch.setattr(intervals, "MOST_CLOSE", most_close)
+    rng = random.Random(7)
+    rows = [(rng.randrange(3), i, s, s + rng.choice([0, 1, 2, 5, 9, 300 if i % 9 == 0 else 3])) for i, s in enumerate(rng.randrange(-200, 200) for _ in range(400))]
+    rows += rows[:40] + [(None, 900, 1, 2), (1, 901, 5, 2), (2, 902, -10**12, 10**12)]
+    want = []
+    for k, i, s, e in rows:
+        holders = [(e2 - s2, i2) for k2, i2, s2, e2 in rows if k is not None and k2 == k and s2 <= s and e <= e2 and e2 - s2 > e - s and s <= e]
+        least = [h for n, h in holders if n == min(holders)[0]]
+        want.append((k, i, least[0] if len(least) == 1 else None, len(least), len(holders)))
+    frame = spark.createDataFrame(rows, "k long, i long, a long, b long")
+    got = [tuple(r) for r in intervals.nested_intervals(frame, "k", "a", "b", "i").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_intervals_are_shuffled_once(spark):
+    """Two rows an interval at most, where bins and pairs took tens."""
+    rows = [(i % 3, i, i, i + i % 90) for i in range(3000)]
+    out = intervals.nested_intervals(spark.createDataFrame(rows, "k long, i long, a long, b long"), "k", "a", "b", "i")
+    assert len(out.collect()) == 3000
+    assert 0 < shuffled_rows(out._jdf.queryExecution().executedPlan()) <= 4 * len(rows)  # an exchange that is read twice counts twice
+
+
 def test_lambdas_in_their_callable(spark):
     methods = spark.createDataFrame([("m1", "a", 1, 20), ("m2", "a", 5, 9), ("m3", "b", 1, 20), ("m4", "a", 30, 31), ("m5", "a", 30, 31)], "method_id string, path string, line int, end_line int")
     lambdas = spark.createDataFrame([("x", "a", 6, 6), ("y", "a", 10, 12), ("z", "a", 5, 9), ("v", "a", 19, 22), ("w", "a", 30, 30), ("u", "c", 1, 1)], "lambda_id string, path string, line int, end_line int")
