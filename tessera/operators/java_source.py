@@ -130,7 +130,7 @@ class Source:
         rows = rows.withColumn("_b", F.when((F.col("token") == "{") & F.col("partner").isNotNull(), F.struct("block", F.col("j").alias("body"), F.col("partner").alias("body_end"), F.col("_close_line").alias("end_line"))))
         rows = rows.withColumn("_b", F.expr("lead(_b) IGNORE NULLS OVER (PARTITION BY path, _depth ORDER BY j, _as)"))
         rows = rows.withColumn("_b", F.when(is_type & F.col("_b.block").eqNullSafe(F.col("block")), F.col("_b")))
-        self.rows = written(rows.select("*", "_b.body", "_b.body_end", "_b.end_line").drop("_b", "_depth", "_as", "_close_line"))
+        self.rows = written(rows.select("*", "_b.body", "_b.body_end", "_b.end_line").drop("_b", "_depth", "_as", "_close_line", "at"))
         package = files.select("path", F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"))
         self.imports_of = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*import\s+([\w.]+)\s*;"), F.lit(1))).alias("fqn"))
         self.types = self._types(package)
